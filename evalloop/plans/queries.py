@@ -1,0 +1,120 @@
+"""Registered queries: each takes (spark, sf_dir) and returns a DataFrame.
+
+Every query reads the given tables (through :mod:`evalloop.sources.fixtures`)
+in full; column names equal those of the matching SQL in
+:mod:`evalloop.plans.oracle`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evalloop.functions import text as tx
+from evalloop.operators import judge as jd
+from evalloop.operators import metrics as mt
+from evalloop.operators import sampling as sm
+from evalloop.sources import fixtures as fx
+
+KS = (1, 3, 8)
+DEFAULT_K = 8
+
+
+# ---------------------------------------------------------------------------
+# Evaluation: extraction, judging, pass@k, statistics
+# ---------------------------------------------------------------------------
+def final_answer_extract(spark: SparkSession, sf: str) -> DataFrame:
+    c = fx.candidates(spark, sf)
+    return c.select("sample_index", "cand_idx", tx.final_answer("text").alias("pred_final"))
+
+
+def answer_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    c = fx.candidates(spark, sf)
+    return c.select("sample_index", "cand_idx",
+                    tx.normalize_answer(tx.final_answer("text")).alias("pred_norm"))
+
+
+def verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    gold = fx.gold_problems(spark, sf)
+    return jd.judge_candidates(gold, fx.candidates(spark, sf), key="sample_index",
+                               keep=["judge_key", "dataset"])
+
+
+def judge_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return verdicts(spark, sf).select("judge_key", "cand_idx", "pred_final", "gt_final", "final_correct")
+
+
+def per_question(spark: SparkSession, sf: str, ks=KS) -> DataFrame:
+    return jd.pass_at_k(verdicts(spark, sf), ks, key="sample_index", carry=["judge_key", "dataset"])
+
+
+def pass_at_k(spark: SparkSession, sf: str) -> DataFrame:
+    return per_question(spark, sf).select("judge_key", "dataset", "k", "n_candidates", "pass_at_1", "pass_at_k")
+
+
+def stats_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return mt.stats_rollup(per_question(spark, sf))
+
+
+def bad_cases(spark: SparkSession, sf: str) -> DataFrame:
+    gold = fx.gold_problems(spark, sf)
+    pq = jd.pass_at_k(jd.judge_candidates(gold, fx.candidates(spark, sf), key="sample_index",
+                                          keep=["judge_key", "dataset", "question", "answer"]),
+                      [DEFAULT_K], key="sample_index", carry=["judge_key", "dataset", "question", "answer"])
+    return jd.bad_cases(pq, None).select("judge_key", "dataset", "sample_index", "question", "answer",
+                                         "n_candidates")
+
+
+def resume_anti_join(spark: SparkSession, sf: str) -> DataFrame:
+    """N1 + U3 + J5: odd orders were judged by an earlier run; judge the rest, merge, last wins."""
+    gold = fx.gold_problems(spark, sf)
+    cands = fx.candidates(spark, sf)
+
+    def run(problems, seq):
+        v = jd.judge_candidates(problems, cands, key="sample_index", keep=["judge_key"])
+        return jd.pass_at_k(v, [DEFAULT_K], key="sample_index", carry=["judge_key"]).withColumn(
+            "ingest_seq", F.lit(seq))
+
+    done = run(gold.filter(F.col("sample_index") % 2 == 1), 0).withColumn("resumed", F.lit(True))
+    todo = jd.resume(gold, done, key="sample_index")
+    fresh = run(todo, 1).withColumn("resumed", F.lit(False))
+    merged = jd.last_wins(done.unionByName(fresh), "judge_key", "ingest_seq")
+    return merged.select("judge_key", "n_candidates", "pass_at_1", "pass_at_k", "resumed")
+
+
+def last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """J5 on the event log: the latest event per user by (ts, event_id)."""
+    ev = fx.read_table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    latest = jd.last_wins(ev, "user_id", ["ts", "event_id"])
+    return latest.select("user_id", "event_id", "event_type", "value")
+
+
+def _summary_metrics(pq: DataFrame, k: int) -> DataFrame:
+    return mt.metric_table(mt.overall_summary(pq.filter(F.col("k") == k)))
+
+
+def compare_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Round a judged with k = 1, round b with k = 8."""
+    pq = per_question(spark, sf)
+    return mt.compare(_summary_metrics(pq, 1), _summary_metrics(pq, 8))
+
+
+def round_history(spark: SparkSession, sf: str) -> DataFrame:
+    """R2: rounds = k in (1, 2, 4, 8); metric series with previous value and change."""
+    pq = per_question(spark, sf, ks=(1, 2, 4, 8))
+    rounds = pq.groupBy("k").agg(
+        F.count(F.lit(1)).cast("double").alias("count"),
+        (F.sum(F.col("pass_at_1").cast("int")) / F.count(F.lit(1))).alias("pass@1"),
+        (F.sum(F.col("pass_at_k").cast("int")) / F.count(F.lit(1))).alias("pass@k"))
+    long = rounds.select(F.lit("fixture").alias("run_name"), F.col("k").alias("iter"), F.explode(F.array(
+        *[F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").alias("value")) for m in ("count", "pass@1", "pass@k")]
+    )).alias("x")).select("run_name", "iter", "x.metric", "x.value")
+    return mt.round_history(long)
+
+
+# ---------------------------------------------------------------------------
+# Shaping, sampling, counts
+# ---------------------------------------------------------------------------
+def dataset_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = fx.read_table(spark, sf, "documents").select(F.col("source").alias("dataset"))
+    return mt.dataset_counts(docs)
