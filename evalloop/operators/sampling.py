@@ -96,14 +96,14 @@ def _same_key(a: tuple, b: tuple) -> bool:
 
 
 def sample_per_group(df: DataFrame, group_col: str, key_col: str, n: int = 4, seed: int = 42,
-                     salt_buckets: int = 64) -> DataFrame:
+                     salt_buckets: int = 256, order=None) -> DataFrame:
     """L3: ``min(n, size)`` rows per group without replacement, seeded.
 
-    A row's rank is ``xxhash64(key, seed)`` (ties by key), independent of
-    input order.  Round 1 keeps the best ``n`` per (group, salt); round 2
+    A row's rank is ``xxhash64(key, seed)`` (or the given ``order`` column; ties
+    by key), independent of input order.  Round 1 keeps the best ``n`` per (group, salt); round 2
     ranks the at most ``n * salt_buckets`` survivors per group.
     """
-    h = F.xxhash64(F.col(key_col), F.lit(seed))
+    h = F.xxhash64(F.col(key_col), F.lit(seed)) if order is None else order
     ranked = df.withColumn("_h", h).withColumn("_salt", F.pmod(F.col("_h"), F.lit(salt_buckets)))
     w1 = Window.partitionBy(group_col, "_salt").orderBy("_h", key_col)
     pre = ranked.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n)

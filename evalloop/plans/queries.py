@@ -11,9 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloop.functions import text as tx
+from evalloop.operators import enrich as en
 from evalloop.operators import judge as jd
+from evalloop.operators import merge as mg
 from evalloop.operators import metrics as mt
+from evalloop.operators import prompts as pr
 from evalloop.operators import sampling as sm
+from evalloop.operators import shaping as sh
+from evalloop.operators import similarity as si
+from evalloop.operators import synth as sy
+from evalloop.operators import validate as va
 from evalloop.sources import fixtures as fx
 
 KS = (1, 3, 8)
@@ -118,3 +125,256 @@ def round_history(spark: SparkSession, sf: str) -> DataFrame:
 def dataset_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = fx.read_table(spark, sf, "documents").select(F.col("source").alias("dataset"))
     return mt.dataset_counts(docs)
+
+
+def seeded_order(col: str, seed: int = 42):
+    """Integer hash usable by both engines (Lehmer step), for seeded sampling."""
+    return (F.col(col) * 48271 + seed) % 2147483647
+
+
+def benchmark_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Problems table from heterogeneous raw rows."""
+    raw = fx.doc_problems(spark, sf)
+    return sh.benchmark_rows(raw, F.col("source"), F.concat(F.lit("docs/"), F.col("source")),
+                             order_cols=["doc_id"])
+
+
+def training_build(spark: SparkSession, sf: str) -> DataFrame:
+    """(user turn, next assistant turn) pairs as alpaca rows.
+
+    The pair is an equi-join on (conv_id, turn + 1): no window over a whole
+    conversation, so a huge conversation is not one task."""
+    conv = fx.read_table(spark, sf, "conversations")
+    users = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    bots = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    pairs = users.join(bots, ["conv_id", "turn"], "left")
+    return sh.training_rows(pairs, keep=["conv_id", "turn"])
+
+
+def sample_per_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """L3: 4 documents per source, seeded order."""
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", F.col("source").alias("dataset"))
+    s = sm.sample_per_group(docs, "dataset", "doc_id", n=4, order=seeded_order("doc_id"))
+    return s.select("dataset", "doc_id", F.col("sample_rank").cast("int").alias("sample_rank"))
+
+
+def dataset_select(spark: SparkSession, sf: str) -> DataFrame:
+    """U1 + L3 + L4 + P13: two fixed datasets and one dynamic one picked by seeded hash,
+    4 rows each, tagged with provenance and a per-dataset index."""
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    registry = spark.createDataFrame(
+        [("src0", 0, "fixed", "hard"), ("src1", 1, "fixed", "hard"), ("src2", 2, "dynamic", "dynamic"),
+         ("src3", 3, "dynamic", "dynamic"), ("src4", 4, "dynamic", "dynamic")],
+        "source string, spec_idx int, kind string, difficulty string")
+    dyn = registry.filter(F.col("kind") == "dynamic")
+    pick = dyn.select(F.min_by("source", F.struct(seeded_order("spec_idx"), F.col("spec_idx"))).alias("source"))
+    chosen = registry.filter(F.col("kind") == "fixed").select("source").unionByName(pick)
+    # The registry is a handful of rows by construction: a bounded broadcast.
+    spec = F.broadcast(registry.join(chosen, "source", "left_semi"))
+    rows = docs.join(spec, "source")
+    s = sm.sample_per_group(rows, "source", "doc_id", n=4, order=seeded_order("doc_id"))
+    return s.select(F.col("source").alias("dataset"), F.concat(F.lit("docs/"), F.col("source")).alias("dataset_id"),
+                    "difficulty", "doc_id", F.col("sample_rank").cast("long").alias("sample_index"))
+
+
+def head_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """L1: the first 25 problems by input order (a top-k plan, no full sort)."""
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    return sm.head_limit(docs, 25, ["doc_id"])
+
+
+def strip_think(spark: SparkSession, sf: str) -> DataFrame:
+    r = fx.raw_responses(spark, sf)
+    return r.select("doc_id", tx.strip_think("response").alias("cleaned"))
+
+
+def unwrap_tags(spark: SparkSession, sf: str) -> DataFrame:
+    r = fx.raw_responses(spark, sf)
+    return r.select("doc_id", tx.unwrap_tags("response").alias("unwrapped"))
+
+
+def three_sections(spark: SparkSession, sf: str) -> DataFrame:
+    r = fx.raw_responses(spark, sf)
+    return r.select("doc_id", tx.three_sections("response").alias("normalised"))
+
+
+def qa_parse(spark: SparkSession, sf: str) -> DataFrame:
+    r = fx.raw_responses(spark, sf).select("doc_id", tx.qa_parse("response").alias("p"))
+    return r.select("doc_id", F.col("p.question").alias("question"), F.col("p.answer").alias("answer"))
+
+
+def synthetic_accept(spark: SparkSession, sf: str) -> DataFrame:
+    r = sy.accept(fx.raw_responses(spark, sf))
+    return r.select("doc_id", "accepted", "reject_reason", "instruction", "output")
+
+
+def _attributions(spark: SparkSession, sf: str) -> DataFrame:
+    return en.parse_attribution(fx.json_responses(spark, sf))
+
+
+def tolerant_json(spark: SparkSession, sf: str) -> DataFrame:
+    a = _attributions(spark, sf)
+    return a.select("event_id", F.col("raw_text").isNull().alias("parsed"), "error_type", "missing_skill")
+
+
+def error_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return mt.profile(_attributions(spark, sf), ["error_type", "missing_skill"])
+
+
+def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", "text")
+    return si.near_duplicate_pairs(docs, "doc_id", "text")
+
+
+def decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", "text")
+    bench = fx.read_table(spark, sf, "benchmark").select("item_id", "text")
+    return si.cross_near_duplicates(docs, bench, "doc_id", "text", "item_id", "text")
+
+
+def merge_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """U4: documents without equal or near copies of a smaller id."""
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    return si.dedup(docs, "doc_id", "text").select("doc_id", "source")
+
+
+def merge_training(spark: SparkSession, sf: str) -> DataFrame:
+    """U2 plan: cumulative set = seed (conversation pairs) + accepted synthetic rows, in order."""
+    seed = training_build(spark, sf).select("instruction", "input", "output")
+    synth_rows = synthetic_accept(spark, sf).filter("accepted").select("instruction", F.lit("").alias("input"), "output")
+    return mg.merge_rows([seed, synth_rows]).select("part_idx", "instruction", "input", "output")
+
+
+def prompt_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Q1/Q4: inference prompts for every gold problem."""
+    p = pr.prompt_table(fx.gold_problems(spark, sf), key="judge_key")
+    return p.select("judge_key", "user_prompt", "system_prompt", F.size("messages").alias("n_messages"))
+
+
+def training_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Q3: training-style user prompts for the conversation pairs."""
+    rows = training_build(spark, sf)
+    return rows.select("conv_id", "turn", pr.training_style_prompt(rows, "instruction").alias("user_prompt"))
+
+
+def _bad_with_candidates(spark: SparkSession, sf: str):
+    gold = fx.gold_problems(spark, sf)
+    cands = fx.candidates(spark, sf)
+    pq = jd.pass_at_k(jd.judge_candidates(gold, cands, key="sample_index",
+                                          keep=["judge_key", "question", "answer"]),
+                      [DEFAULT_K], key="sample_index", carry=["judge_key", "question", "answer"])
+    return jd.bad_cases(pq), cands
+
+
+def attribution_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Q6: one prompt per bad case with its failed predictions in candidate order."""
+    bad, cands = _bad_with_candidates(spark, sf)
+    preds = cands.groupBy("sample_index").agg(
+        F.array_sort(F.collect_list(F.struct("cand_idx", "text"))).alias("_p"))
+    rows = bad.join(preds, "sample_index", "left").withColumn(
+        "predictions", F.transform(F.coalesce(F.col("_p"), F.array()), lambda s: s["text"]))
+    return rows.select("judge_key", pr.attribution_prompt("question", "answer", "predictions").alias("user_prompt"))
+
+
+def generation_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Q7: one generation prompt per parsed (or raw) attribution."""
+    a = _attributions(spark, sf).withColumn("question", F.concat(F.lit("Problem of user "), F.col("user_id").cast("string")))
+    return a.select("event_id", pr.generation_prompt("question", "error_type", "reason", "missing_skill",
+                                                     "fix_suggestion", "raw_text").alias("user_prompt"))
+
+
+def _validation_input(spark: SparkSession, sf: str) -> DataFrame:
+    r = fx.raw_responses(spark, sf)
+    m = F.col("doc_id") % 3
+    instr = (F.when(m == 0, F.col("source_question"))
+             .when(m == 1, F.concat(F.lit(pr.TRAINING_USER_PREFIX + " "), F.col("source_question")))
+             .otherwise(F.lit("short q")))
+    return r.select(F.col("doc_id").alias("row_idx"), instr.alias("instruction"), F.col("response").alias("output"))
+
+
+def validate_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return va.validate_rows(_validation_input(spark, sf), mode="raw")
+
+
+def validate_summary(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _validation_input(spark, sf)
+    return va.validate_summary(rows, va.validate_rows(rows, mode="raw"))
+
+
+def judge_array_form(spark: SparkSession, sf: str) -> DataFrame:
+    """P14 + P15 + J2 (array form): prediction rows, harmonised, judged without a shuffle."""
+    gold = fx.gold_problems(spark, sf)
+    comp = fx.candidates(spark, sf)
+    rows = sh.prediction_rows(gold, comp, key="sample_index")
+    rows = rows.withColumn("predictions", jd.harmonise_predictions(rows, "predictions"))
+    j = jd.judge_arrays(rows, DEFAULT_K, "predictions")
+    return j.select("judge_key", "n_candidates", "pass_at_1", "pass_at_k")
+
+
+# ---------------------------------------------------------------------------
+# Enrichment with stand-in models, streaming, loop
+# ---------------------------------------------------------------------------
+def _bad_for_jobs(spark: SparkSession, sf: str):
+    bad, cands = _bad_with_candidates(spark, sf)
+    return bad.select("sample_index", "judge_key", "question", "answer"), cands
+
+
+def attribution_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Bad cases -> attribution prompts -> model -> tolerant parse."""
+    from evalloop.plans import stubs
+    bad, cands = _bad_for_jobs(spark, sf)
+    out = en.attribution_job(bad, cands, stubs.attribution_model, key="sample_index", base_sleep=0.0)
+    return out.select("sample_index", F.col("raw_text").isNull().alias("parsed"), "error_type", "missing_skill")
+
+
+def generation_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Two samples per attribution, up to 4 attempts each, F2 gate."""
+    from evalloop.plans import stubs
+    bad, cands = _bad_for_jobs(spark, sf)
+    attr = en.attribution_job(bad, cands, stubs.attribution_model, key="sample_index", base_sleep=0.0)
+    gen = en.generation_job(attr, stubs.generation_model, key="sample_index", num_per_case=2, base_sleep=0.0)
+    return gen.select("sample_index", F.col("sample").cast("int").alias("sample"), "accepted", "attempt",
+                      "instruction")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+    from evalloop.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def incremental_judge(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates land in three drops; a streaming job judges each drop and
+    re-judges touched questions from all their candidates; readers take the latest."""
+    from evalloop.streaming import incremental as inc
+    root = _scratch(spark, "incremental")
+    gold = fx.gold_problems(spark, sf)
+    cands = fx.candidates(spark, sf).join(gold.select("sample_index", "judge_key"), "sample_index") \
+        .select("judge_key", "cand_idx", "text")
+    for drop in range(3):
+        cands.filter(F.col("cand_idx") % 3 == drop).write.mode("append").parquet(f"{root}/drops/d{drop}")
+    # Each drop is its own folder; the stream reads them all (file source, explicit schema).
+    q = inc.start_incremental_judge(spark, f"{root}/drops/*", gold, f"{root}/store", f"{root}/ckpt", k=DEFAULT_K)
+    q.awaitTermination()
+    v = inc.current_verdicts(spark, f"{root}/store")
+    return v.select("judge_key", "n_candidates", "pass_at_1", "pass_at_k")
+
+
+def loop_two_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rounds of the loop with stand-in models; inference answers more
+    candidates correctly as the training snapshot grows."""
+    from evalloop.plans import loop as lp
+    from evalloop.plans import stubs
+    root = _scratch(spark, "loop")
+    gold = fx.gold_problems(spark, sf)
+    base = fx.candidates(spark, sf).join(gold.select("sample_index", "judge_key", "answer"), "sample_index")
+
+    def infer(it: int, snapshot: str) -> DataFrame:
+        # Round it fixes the candidates of every (it+2)-th order: a stand-in for a better model.
+        fixed = F.when(F.col("sample_index") % (it + 2) == 0, F.col("answer")).otherwise(F.col("text"))
+        return base.select("judge_key", "cand_idx", fixed.alias("text"))
+
+    seed = training_build(spark, sf).select("instruction", "input", "output")
+    cfg = lp.LoopConfig(root=root, rounds=2, k=1, samples_per_case=1, max_attempts=2, base_sleep=0.0)
+    return lp.run_loop(spark, cfg, gold, seed, infer, stubs.attribution_model, stubs.generation_model)

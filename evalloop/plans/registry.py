@@ -18,4 +18,31 @@ REGISTRY = {
     "compare_rounds": (q.compare_rounds, oq.q_compare_rounds),
     "round_history": (q.round_history, oq.q_round_history),
     "dataset_counts": (q.dataset_counts, oq.q_dataset_counts),
+    "benchmark_build": (q.benchmark_build, oq.q_benchmark_build),
+    "training_build": (q.training_build, oq.q_training_build),
+    "sample_per_dataset": (q.sample_per_dataset, oq.q_sample_per_dataset),
+    "dataset_select": (q.dataset_select, oq.q_dataset_select),
+    "head_limit": (q.head_limit, oq.q_head_limit),
+    "strip_think": (q.strip_think, oq.q_strip_think),
+    "unwrap_tags": (q.unwrap_tags, oq.q_unwrap_tags),
+    "three_sections": (q.three_sections, oq.q_three_sections),
+    "qa_parse": (q.qa_parse, oq.q_qa_parse),
+    "synthetic_accept": (q.synthetic_accept, oq.q_synthetic_accept),
+    "tolerant_json": (q.tolerant_json, oq.q_tolerant_json),
+    "error_profile": (q.error_profile, oq.q_error_profile),
+    "near_dup_pairs": (q.near_dup_pairs, oq.q_near_dup_pairs),
+    "decontaminate": (q.decontaminate, oq.q_decontaminate),
+    "merge_dedup": (q.merge_dedup, oq.q_merge_dedup),
+    "merge_training": (q.merge_training, oq.q_merge_training),
+    "prompt_table": (q.prompt_table, oq.q_prompt_table),
+    "training_prompts": (q.training_prompts, oq.q_training_prompts),
+    "attribution_prompts": (q.attribution_prompts, oq.q_attribution_prompts),
+    "generation_prompts": (q.generation_prompts, oq.q_generation_prompts),
+    "validate_rows": (q.validate_rows, oq.q_validate_rows),
+    "validate_summary": (q.validate_summary, oq.q_validate_summary),
+    "judge_array_form": (q.judge_array_form, oq.q_judge_array_form),
+    "attribution_job": (q.attribution_job, oq.q_attribution_job),
+    "generation_job": (q.generation_job, oq.q_generation_job),
+    "incremental_judge": (q.incremental_judge, oq.q_incremental_judge),
+    "loop_two_rounds": (q.loop_two_rounds, None),
 }
