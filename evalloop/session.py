@@ -59,3 +59,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """True if ``path`` exists on whatever file system it names (local, HDFS, object store)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.format("binaryFile").load(path).limit(1).count()
+        return True
+    except AnalysisException:
+        return False
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """True if a Spark write to ``path`` completed (its ``_SUCCESS`` marker exists)."""
+    return path_exists(spark, path.rstrip("/") + "/_SUCCESS")
