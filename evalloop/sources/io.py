@@ -34,10 +34,7 @@ def read_keyed_jsonl(spark: SparkSession, path: str, schema: T.StructType, key:
     """Tolerant JSON lines: blank, malformed and non-object lines and rows
     without a non-empty string key are skipped.  Adds ``seq_col`` (file, line
     order) so that J5 can keep the last line per key."""
-    full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    df = (spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-          .json(path))
-    df = df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     df = df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
     # Order within the log: file name, then position inside the file.
     return df.withColumn(seq_col, F.struct(F.input_file_name().alias("file"),
@@ -66,9 +63,7 @@ def read_json_or_jsonl(spark: SparkSession, path: str, schema: T.StructType) ->
     """S3: array file or JSON lines (malformed lines dropped)."""
     if sniff_is_array(path):
         return read_json_array(spark, path, schema)
-    full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    df = spark.read.schema(full).option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",
@@ -99,8 +94,10 @@ def resolve_split(spark: SparkSession, root: str, requested: str | None = None,
 
 def seed_or_empty(spark: SparkSession, path: str, schema: T.StructType, seed_path: str | None = None) -> DataFrame:
     """Existing table, else the seed, else an empty table of the schema."""
+    from evalloop.session import path_exists
+
     for p in (path, seed_path):
-        if p and os.path.exists(p):
+        if p and path_exists(spark, p):
             return spark.read.schema(schema).parquet(p)
     return spark.createDataFrame([], schema)
 
