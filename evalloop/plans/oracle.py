@@ -637,3 +637,84 @@ def q_incremental_judge() -> str:
     return _with(GOLD, CANDS, VERDICTS, per_question((8,))) + """
 SELECT judge_key, n_candidates, pass_at_1, pass_at_k FROM pq
 WHERE sample_index IN (SELECT l_orderkey FROM lineitem)"""
+
+
+def q_flat_boxed() -> str:
+    flat = strip("coalesce(regexp_extract_all(text, '\\\\boxed\\{([^}]*)\\}', 1)[-1], '')")
+    return _with(CANDS) + f"\nSELECT sample_index, cand_idx, {flat} AS flat, {boxed('text')} AS balanced FROM cands"
+
+
+def q_response_text() -> str:
+    return """
+SELECT event_id,
+       CASE WHEN event_id % 3 = 0 AND trim(event_type) <> '' THEN trim(event_type)
+            ELSE 'part ' || CAST(user_id AS VARCHAR)
+                 || CASE WHEN event_id % 2 = 0 AND trim(event_type) <> '' THEN chr(10) || trim(event_type) ELSE '' END
+       END AS text
+FROM events"""
+
+
+def q_recover_user_text() -> str:
+    return f"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN {strip('text')} ELSE text END AS user_text FROM conversations"
+
+
+def q_cot_prompts() -> str:
+    pr = _prompt_consts()
+    cot_head = ("Write a detailed, numbered step-by-step solution inside <think></think> that reaches the "
+                "reference answer, then give the boxed answer exactly as given.\n\nProblem:\n")
+    ms_head = "Rewrite the solution as alternating <Plan> and <Solve> steps followed by <Answer>.\n\n[Problem]\n"
+    return f"""
+WITH b AS ({q_benchmark_build()})
+SELECT dataset, sample_index,
+       {lit(cot_head)} || question || {lit(chr(10) * 2 + 'Reference answer:' + chr(10))} || answer AS cot_prompt,
+       {lit(ms_head)} || question || {lit(chr(10) * 2 + '[Original solution]' + chr(10))} || answer AS milestone_prompt,
+       CASE WHEN strpos(question, {lit(pr.SECTIONS_INSTRUCTION)}) > 0 THEN question
+            WHEN rtrim(question, {WS_CHARS}) <> '' THEN rtrim(question, {WS_CHARS}) || chr(10) || chr(10) || {lit(pr.SECTIONS_INSTRUCTION)}
+            ELSE {lit(pr.SECTIONS_INSTRUCTION)} END AS sections_prompt
+FROM b"""
+
+
+def q_dataset_short_names() -> str:
+    return """
+SELECT 'Org/' || upper(source) AS dataset_id, lower(upper(source)) AS name, count(*) AS n
+FROM documents GROUP BY source"""
+
+
+def q_flat_accuracy() -> str:
+    return _with(GOLD, CANDS, VERDICTS) + """
+SELECT count(*) AS total, CAST(sum(CAST(final_correct AS INTEGER)) AS DOUBLE) / count(*) AS accuracy FROM verdicts"""
+
+
+def q_latest_checkpoint() -> str:
+    return """
+WITH l AS (
+  SELECT page_id % 5 AS run,
+         CASE WHEN page_id % 7 = 0 THEN 'tmp-' || CAST(page_id AS VARCHAR)
+              ELSE 'checkpoint-' || CAST(page_id * 10 AS VARCHAR) END AS name
+  FROM pages),
+v AS (SELECT run, name, CAST(regexp_extract(name, '^checkpoint-(\\d+)$', 1) AS BIGINT) AS step FROM l
+      WHERE regexp_matches(name, '^checkpoint-(\\d+)$'))
+SELECT run, arg_max(name, step) AS name, max(step) AS step FROM v GROUP BY run"""
+
+
+def q_cot_job() -> str:
+    nl = "(length({x}) - length(replace({x}, chr(10), '')))"
+    n = f"((6 + {nl.format(x='question')} + {nl.format(x='answer')}) % 3)"
+    return f"""
+WITH b AS ({q_benchmark_build()})
+SELECT dataset_id || '::' || CAST(sample_index AS VARCHAR) AS row_idx,
+       '<think>' || chr(10) || 'steps (' || CAST({n} AS VARCHAR) || ')' || chr(10) || '</think>' || chr(10)
+       || '**Final Answer:** done' AS output,
+       'You are a helpful assistant.' AS system
+FROM b"""
+
+
+def q_running_stats() -> str:
+    return _with(GOLD, CANDS, VERDICTS, per_question((8,))) + """
+SELECT CASE WHEN GROUPING(dataset) = 0 THEN 'dataset' ELSE 'overall' END AS scope,
+       CASE WHEN GROUPING(dataset) = 0 THEN coalesce(dataset, '') END AS dataset,
+       k, count(*) AS n,
+       CAST(sum(CAST(pass_at_1 AS INTEGER)) AS DOUBLE) / count(*) AS pass_at_1,
+       CAST(sum(CAST(pass_at_k AS INTEGER)) AS DOUBLE) / count(*) AS pass_at_k
+FROM pq WHERE sample_index IN (SELECT l_orderkey FROM lineitem)
+GROUP BY GROUPING SETS ((k, dataset), (k))"""

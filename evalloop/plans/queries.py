@@ -378,3 +378,91 @@ def loop_two_rounds(spark: SparkSession, sf: str) -> DataFrame:
     seed = training_build(spark, sf).select("instruction", "input", "output")
     cfg = lp.LoopConfig(root=root, rounds=2, k=1, samples_per_case=1, max_attempts=2, base_sleep=0.0)
     return lp.run_loop(spark, cfg, gold, seed, infer, stubs.attribution_model, stubs.generation_model)
+
+
+# ---------------------------------------------------------------------------
+# Further operators of the inventory
+# ---------------------------------------------------------------------------
+def flat_boxed(spark: SparkSession, sf: str) -> DataFrame:
+    """T2 next to T1: the flat regex truncates nested boxes."""
+    c = fx.candidates(spark, sf)
+    return c.select("sample_index", "cand_idx", tx.last_flat_boxed("text").alias("flat"),
+                    tx.last_boxed("text").alias("balanced"))
+
+
+def response_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Text of a raw API response (``output_text``, else message parts)."""
+    e = fx.read_table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    part = lambda t, txt: F.struct(F.lit(t).alias("type"), txt.alias("text"), F.lit(None).cast("string").alias("output_text"))
+    output = F.array(
+        F.struct(F.lit("message").alias("type"), F.array(
+            part("output_text", F.concat(F.lit("part "), F.col("user_id").cast("string"))),
+            part("refusal", F.lit("ignored")),
+            part("text", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(F.lit("  ")))
+        ).alias("content")),
+        F.struct(F.lit("reasoning").alias("type"), F.array(part("output_text", F.lit("hidden"))).alias("content")),
+    )
+    ot = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.lit(" "))
+    return e.select("event_id", tx.response_text(ot, output).alias("text"))
+
+
+def recover_user_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Q5: user text from chat markup, minus the step-by-step suffix."""
+    conv = fx.read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    markup = F.when(F.col("turn") % 2 == 0, F.concat(
+        F.lit("<|im_start|>system\nsys<|im_end|>\n<|im_start|>user\n"), F.col("text"),
+        F.lit("\nPlease reason step by step, and put your final answer within \\boxed{}.<|im_end|>\n"
+              "<|im_start|>assistant\n"))).otherwise(F.col("text"))
+    return conv.select("conv_id", "turn", tx.recover_user_text(markup).alias("user_text"))
+
+
+def cot_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Q8 + Q9 + Q2 over the problems table."""
+    b = benchmark_build(spark, sf)
+    return b.select("dataset", "sample_index",
+                    pr.cot_prompt("question", "answer").alias("cot_prompt"),
+                    pr.milestone_prompt("question", "answer").alias("milestone_prompt"),
+                    pr.append_instruction("question", pr.SECTIONS_INSTRUCTION).alias("sections_prompt"))
+
+
+def dataset_short_names(spark: SparkSession, sf: str) -> DataFrame:
+    """P10 over the dataset ids of the documents."""
+    d = fx.read_table(spark, sf, "documents").select(F.concat(F.lit("Org/"), F.upper("source")).alias("dataset_id"))
+    return d.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n")).select(
+        "dataset_id", sh.dataset_short_name("dataset_id").alias("name"), "n")
+
+
+def flat_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Correct / total over every judged candidate."""
+    return mt.flat_accuracy(verdicts(spark, sf), "final_correct")
+
+
+def latest_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    """Highest ``checkpoint-<n>`` per run over a listing derived from pages."""
+    p = fx.read_table(spark, sf, "pages").select(
+        (F.col("page_id") % 5).alias("run"),
+        F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("tmp-"), F.col("page_id").cast("string")))
+        .otherwise(F.concat(F.lit("checkpoint-"), (F.col("page_id") * 10).cast("string"))).alias("name"))
+    return sm.latest_by_step(p, ["run"], "name")
+
+
+def cot_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Worked-solution rows from the problems table with a stand-in model."""
+    from evalloop.plans import stubs
+    rows = benchmark_build(spark, sf).withColumn("row_idx", F.concat_ws("::", "dataset_id", F.col("sample_index").cast("string")))
+    out = en.cot_job(rows, stubs.cot_model, key="row_idx")
+    return out.select("row_idx", "output", "system")
+
+
+def running_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """pass@1 / pass@k over everything the incremental judge has stored."""
+    from evalloop.streaming import incremental as inc
+    root = _scratch(spark, "incremental-stats")
+    gold = fx.gold_problems(spark, sf)
+    cands = fx.candidates(spark, sf).join(gold.select("sample_index", "judge_key"), "sample_index") \
+        .select("judge_key", "cand_idx", "text")
+    for drop in range(2):
+        cands.filter(F.col("cand_idx") % 2 == drop).write.mode("append").parquet(f"{root}/drops/d{drop}")
+    q = inc.start_incremental_judge(spark, f"{root}/drops/*", gold, f"{root}/store", f"{root}/ckpt", k=DEFAULT_K)
+    q.awaitTermination()
+    return inc.running_stats(spark, f"{root}/store")

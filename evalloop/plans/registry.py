@@ -45,4 +45,13 @@ REGISTRY = {
     "generation_job": (q.generation_job, oq.q_generation_job),
     "incremental_judge": (q.incremental_judge, oq.q_incremental_judge),
     "loop_two_rounds": (q.loop_two_rounds, None),
+    "flat_boxed": (q.flat_boxed, oq.q_flat_boxed),
+    "response_text": (q.response_text, oq.q_response_text),
+    "recover_user_text": (q.recover_user_text, oq.q_recover_user_text),
+    "cot_prompts": (q.cot_prompts, oq.q_cot_prompts),
+    "dataset_short_names": (q.dataset_short_names, oq.q_dataset_short_names),
+    "flat_accuracy": (q.flat_accuracy, oq.q_flat_accuracy),
+    "latest_checkpoint": (q.latest_checkpoint, oq.q_latest_checkpoint),
+    "cot_job": (q.cot_job, oq.q_cot_job),
+    "running_stats": (q.running_stats, oq.q_running_stats),
 }
