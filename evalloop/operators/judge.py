@@ -72,17 +72,18 @@ def pass_at_k(verdicts: DataFrame, ks: Sequence[int], key: str = "judge_key",
     pass@k = any of the first ``clamp(k, 1, n)`` candidates is correct; with
     candidate indexes 0..n-1 that is ``cand_idx < max(k, 1)``.  All ks come
     from one aggregation (partial + final, so a hot question collapses
-    map-side); ``carry`` columns are constant per question and ride along with
-    ``any_value``.  The result is long: one row per (question, k).
+    map-side).  ``carry`` columns are constant per question: they join the
+    grouping keys, which keeps every aggregation buffer fixed-width (hash
+    aggregation, no sort) and still reuses the join's partitioning on ``key``.
+    The result is long: one row per (question, k).
     """
     ok = F.col("final_correct")
-    aggs = [F.any_value(c).alias(c) for c in carry]
-    aggs += [F.count(F.lit(1)).alias("n_candidates"),
+    aggs = [F.count(F.lit(1)).alias("n_candidates"),
              F.coalesce(F.bool_or(ok & (F.col("cand_idx") == 0)), F.lit(False)).alias("pass_at_1")]
     for k in ks:
         aggs.append(F.coalesce(F.bool_or(ok & (F.col("cand_idx") < max(int(k), 1))), F.lit(False))
                     .alias(f"_pk{k}"))
-    per_q = verdicts.groupBy(key).agg(*aggs)
+    per_q = verdicts.groupBy(key, *carry).agg(*aggs)
     stacked = F.explode(F.array(*[
         F.struct(F.lit(int(k)).alias("k"), F.col(f"_pk{k}").alias("pass_at_k")) for k in ks]))
     return per_q.select(key, *carry, "n_candidates", "pass_at_1", stacked.alias("_s")).select(

@@ -47,14 +47,14 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, tables: list[str],
     the inference job and every later stage reads the stored copy; the key
     covers the input folder and its files, so changed inputs get a new copy.
     """
-    from evalloop.session import committed, ensure_checkpoint_dir
+    from evalloop.session import committed, ensure_checkpoint_dir, spread
 
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/fixtures/{name}-{_fingerprint(sf_dir, tables)}"
     with _LOCK:
         if not committed(spark, path):
             build(spark, sf_dir).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spread(spark.read.parquet(path))
 
 
 def _s(c) -> F.Column:
