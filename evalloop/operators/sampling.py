@@ -73,12 +73,42 @@ def index_within_group(df: DataFrame, group_cols: Sequence[str], order_cols: Seq
 
     local = ranged.mapInPandas(local_index, out_schema)
     g = F.struct(*[F.col(c) for c in group_cols])
-    # Per partition: first group, last group and the rows of the last group.
-    summary = local.groupBy("_pid").agg(
-        F.min(g).alias("first_g"),
-        F.max(g).alias("last_g"),
-        (F.max_by(F.col("_local"), F.struct(g, F.col("_local"))) + 1).alias("n_last"),
-    )
+    # Per partition: first group, last group and the rows of the last group, from a
+    # narrow pass over the group columns of the same ranged data (shared exchange),
+    # so the full rows go through Python once.
+    key_schema = T.StructType([f for f in ranged.schema.fields if f.name in group_cols])
+    sum_schema = T.StructType([T.StructField("_pid", T.IntegerType(), False)]
+                              + [T.StructField("f_" + f.name, f.dataType) for f in key_schema.fields]
+                              + [T.StructField("l_" + f.name, f.dataType) for f in key_schema.fields]
+                              + [T.StructField("n_last", T.LongType(), False)])
+
+    def partition_summary(batches):
+        pid = TaskContext.get().partitionId()
+        first = cur = None
+        cur_len = 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            head = tuple(pdf.iloc[0][c] for c in group_cols)
+            if first is None:
+                first = head
+            starts = _null_safe_run_starts(pdf, group_cols).to_numpy().copy()
+            starts[0] = not (cur is not None and _same_key(cur, head))
+            if starts.any():
+                last_start = len(starts) - 1 - int(starts[::-1].argmax())
+                cur_len = len(pdf) - last_start
+            else:  # the whole batch continues the current run
+                cur_len += len(pdf)
+            cur = tuple(pdf.iloc[-1][c] for c in group_cols)
+        if first is not None:
+            yield pd.DataFrame([[pid, *first, *cur, cur_len]], columns=sum_schema.fieldNames())
+
+    s_raw = ranged.select(*group_cols).mapInPandas(partition_summary, sum_schema)
+    summary = s_raw.select(
+        "_pid",
+        F.struct(*[F.col("f_" + c).alias(c) for c in group_cols]).alias("first_g"),
+        F.struct(*[F.col("l_" + c).alias(c) for c in group_cols]).alias("last_g"),
+        "n_last")
     a, b = summary.alias("a"), summary.alias("b")
     offsets = (
         a.join(b, F.col("b.last_g").eqNullSafe(F.col("a.first_g")) & (F.col("b._pid") < F.col("a._pid")))

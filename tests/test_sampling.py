@@ -43,3 +43,12 @@ def test_latest_checkpoint(spark):
     df = spark.createDataFrame([("r", "checkpoint-10"), ("r", "checkpoint-9"), ("r", "other")], "run string, name string")
     r = sm.latest_by_step(df, ["run"], "name").first()
     assert (r.name, r.step) == ("checkpoint-10", 10)
+
+
+def test_index_within_group_small_batches(spark):
+    """Runs and carries cross Arrow batch boundaries."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        test_index_within_group_matches_window_with_hot_group(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
