@@ -1,11 +1,10 @@
 """Judging: per-candidate verdicts, pass@k per question, resume, last-wins.
 
 Long form throughout: one row per (judge_key, cand_idx).  The gold answer is
-extracted and normalised once per question, then joined to its candidates;
-the join and the per-question aggregation share one hash partitioning on
-``judge_key``, so the judge costs one shuffle of each side.  A hot question is
-handled by AQE's skew-join split on the join and by partial aggregation on
-the group-by (every aggregate here is algebraic).
+extracted and normalised once per question, then inner-joined to its
+candidates (one shuffle of each side; AQE splits a hot question on the
+candidate side).  The per-question aggregation is algebraic, so it combines
+map-side before its small shuffle.
 """
 
 from __future__ import annotations
@@ -49,20 +48,23 @@ def judge_candidates(problems: DataFrame, candidates: DataFrame, key: str = "jud
 
     ``problems``: (key, answer, *keep); ``candidates``: (key, cand_idx, text).
     Problems without candidates get one empty candidate (index 0), never correct.
+
+    Skew: candidates INNER JOIN gold lets AQE split a hot question on the big
+    side (an outer join with gold on the left could not); questions without
+    candidates come from an anti-join against the *distinct* candidate keys,
+    which a hot key reaches as one row per map task.
     """
     gold = gold_finals(problems, key, keep=keep)
     preds = candidate_finals(candidates, key)
-    j = gold.join(preds, key, "left")
-    correct = (~F.col("gold_missing")) & (F.coalesce(F.col("pred_norm"), F.lit("")) != "") & (
-        F.col("pred_norm") == F.col("gt_norm"))
-    return j.select(
-        key, *keep,
-        F.coalesce(F.col("cand_idx"), F.lit(0)).cast("int").alias("cand_idx"),
-        F.coalesce(F.col("pred_final"), F.lit("")).alias("pred_final"),
-        "gt_final",
-        correct.alias("final_correct"),
-        "gold_missing",
-    )
+    matched = preds.join(gold, key, "inner")
+    correct = (~F.col("gold_missing")) & (F.col("pred_norm") != "") & (F.col("pred_norm") == F.col("gt_norm"))
+    cols = [key, *keep]
+    hit = matched.select(*cols, F.col("cand_idx").cast("int").alias("cand_idx"), "pred_final", "gt_final",
+                         correct.alias("final_correct"), "gold_missing")
+    missing = gold.join(candidates.select(key).distinct(), key, "left_anti").select(
+        *cols, F.lit(0).alias("cand_idx"), F.lit("").alias("pred_final"), "gt_final",
+        F.lit(False).alias("final_correct"), "gold_missing")
+    return hit.unionByName(missing)
 
 
 def pass_at_k(verdicts: DataFrame, ks: Sequence[int], key: str = "judge_key",
