@@ -165,3 +165,8 @@ def bad_cases(per_question: DataFrame, problems: DataFrame | None = None, key: s
     if problems is None:
         return bad
     return bad.join(problems.select(key, *[c for c in cols if c in problems.columns and c != key]), key, "inner")
+
+
+def judged_only(rows: DataFrame, verdict: str = "pass_at_k") -> DataFrame:
+    """keep rows that carry a verdict (the others were never judged)."""
+    return rows.filter(F.col(verdict).isNotNull())

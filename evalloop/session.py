@@ -12,10 +12,14 @@ def get_spark(master: str | None = None, app: str = "evalloop",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session configured for these jobs.
 
-    On a cluster the master, memory and checkpoint folder come from the
-    submit configuration; the defaults here are for local runs and tests.
+    Local runs (no ``SPARK_MASTER`` in the environment, or an explicit
+    ``local[...]`` master) get ``local[$BENCH_CPUS]`` and one shuffle partition
+    per core.  On a cluster the master, memory, shuffle partitions and the
+    checkpoint folder come from the submit configuration; AQE then coalesces
+    small partitions and splits skewed ones at run time.
     """
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
+    local = (master or "").startswith("local") or not os.environ.get("SPARK_MASTER")
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
@@ -24,13 +28,15 @@ def get_spark(master: str | None = None, app: str = "evalloop",
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.icu.caseMappings.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("EVALLOOP_DRIVER_MEMORY", "16g"))
     )
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or f"local[{cpus}]")
+    if local:
+        builder = (builder.master(master or f"local[{cpus}]")
+                   .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+                   .config("spark.driver.memory", os.environ.get("EVALLOOP_DRIVER_MEMORY", "16g")))
+    elif shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -115,3 +115,11 @@ def test_overall_summary_empty(spark):
     empty = spark.createDataFrame([], "k int, pass_at_1 boolean, pass_at_k boolean")
     r = mt.overall_summary(empty).first()
     assert (r["count"], r.pass_at_1, r.pass_at_k) == (0, 0.0, 0.0)
+
+
+def test_judged_only_and_row_count(spark, tmp_path):
+    rows = spark.createDataFrame([("a", True), ("b", None)], "judge_key string, pass_at_k boolean")
+    assert [r.judge_key for r in jd.judged_only(rows).collect()] == ["a"]
+    p = str(tmp_path / "t")
+    rows.write.parquet(p)
+    assert mt.row_count(spark, p) == 2 and mt.row_count(spark, str(tmp_path / "missing")) == 0
