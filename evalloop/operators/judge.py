@@ -54,7 +54,9 @@ def judge_candidates(problems: DataFrame, candidates: DataFrame, key: str = "jud
     candidates come from an anti-join against the *distinct* candidate keys,
     which a hot key reaches as one row per map task.
     """
-    gold = gold_finals(problems, key, keep=keep)
+    # Key-less problems cannot be matched; filtering them up front makes both
+    # branches read the same gold subtree, so its exchange is computed once.
+    gold = gold_finals(problems.filter(F.col(key).isNotNull()), key, keep=keep)
     preds = candidate_finals(candidates, key)
     matched = preds.join(gold, key, "inner")
     correct = (~F.col("gold_missing")) & (F.col("pred_norm") != "") & (F.col("pred_norm") == F.col("gt_norm"))
