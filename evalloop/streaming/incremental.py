@@ -1,18 +1,24 @@
 """Incremental judging with Structured Streaming.
 
-New prediction files are judged as they land (file source, explicit schema,
-``availableNow`` trigger); each micro-batch appends its verdicts to a store
-keyed by ``(batch_id, seq)`` through ``foreachBatch``, idempotently: a batch
-that is replayed after a failure overwrites its own partition.  Readers apply
-last-wins (J5) over the store, so a late re-judgement replaces the older row
-and a restart never double-counts.  Running pass@k (I3) is recomputed over
-the store: a streaming ``complete`` aggregation cannot retract replaced rows.
+New candidate files are judged as they land (file source with an explicit
+schema, ``availableNow`` or processing-time trigger):
+
+* stream-static inner join with the gold answers (extracted once per question);
+* streaming ``dropDuplicates`` on (question, candidate): a re-delivered
+  candidate is counted once;
+* streaming aggregation per question in ``update`` mode: count, pass@1 and
+  pass@k flags are order-free aggregates, so the state is one row per
+  question, however many candidates it has;
+* ``foreachBatch`` writes each batch's updated rows to the verdict store under
+  its ``batch_id`` partition (a replayed batch overwrites itself: idempotent).
+
+Readers apply last-wins (J5) over the store, so a later update replaces the
+older row and a restart never double-counts.  Running pass@k (I3) is computed
+over the store: each question's latest row is complete.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,48 +32,40 @@ CANDIDATE_SCHEMA = T.StructType([
 ])
 
 
-def judge_batch(cands: DataFrame, problems: DataFrame, k: int) -> DataFrame:
-    """Per-question verdicts of the candidates in one batch."""
-    v = jd.judge_candidates(problems.join(cands.select("judge_key").distinct(), "judge_key", "left_semi"),
-                            cands, key="judge_key", keep=["dataset"])
-    return jd.pass_at_k(v, [k], key="judge_key", carry=["dataset"])
-
-
 def start_incremental_judge(spark: SparkSession, source_dir: str, problems: DataFrame, store_dir: str,
                             checkpoint_dir: str, k: int = 8, file_format: str = "parquet",
                             available_now: bool = True):
-    """Stream prediction files from ``source_dir`` into the verdict store.
+    """Stream candidate files from ``source_dir`` into the verdict store.
 
-    Returns the ``StreamingQuery`` (``awaitTermination`` it for availableNow).
-    A question whose candidates span several files is re-judged from all of
-    its candidates seen so far, so its latest row is always complete.
+    ``problems``: (judge_key, dataset, answer).  Returns the ``StreamingQuery``
+    (``awaitTermination`` it for availableNow).
     """
     stream = spark.readStream.schema(CANDIDATE_SCHEMA).format(file_format).load(source_dir)
-    seen_dir = os.path.join(store_dir, "_candidates")
+    gold = jd.gold_finals(problems.filter(F.col("judge_key").isNotNull()), "judge_key", keep=["dataset"])
+    cands = stream.dropDuplicates(["judge_key", "cand_idx"])
+    preds = jd.candidate_finals(cands, "judge_key")
+    j = preds.join(gold, "judge_key", "inner")
+    ok = (~F.col("gold_missing")) & (F.col("pred_norm") != "") & (F.col("pred_norm") == F.col("gt_norm"))
+    per_q = j.groupBy("judge_key", "dataset").agg(
+        F.count(F.lit(1)).alias("n_candidates"),
+        F.coalesce(F.bool_or(ok & (F.col("cand_idx") == 0)), F.lit(False)).alias("pass_at_1"),
+        F.coalesce(F.bool_or(ok & (F.col("cand_idx") < max(int(k), 1))), F.lit(False)).alias("pass_at_k"),
+    ).withColumn("k", F.lit(int(k)))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("batch_id", F.lit(batch_id))
-        # Idempotent per batch: a replay overwrites only its own partition.
-        (batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(seen_dir))
-        all_seen = spark.read.parquet(seen_dir)
-        touched = batch.select("judge_key").distinct()
-        # Latest copy of each candidate (a file may be re-delivered).
-        cands = jd.last_wins(all_seen.join(touched, "judge_key", "left_semi")
-                             .withColumn("_k", F.concat_ws("#", "judge_key", F.col("cand_idx").cast("string"))),
-                             "_k", "batch_id").drop("_k", "batch_id")
-        verdicts = judge_batch(cands, problems, k).withColumn("batch_id", F.lit(batch_id))
-        (verdicts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(os.path.join(store_dir, "verdicts")))
-
-    w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_dir)
+        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
+         .parquet(f"{store_dir.rstrip('/')}/verdicts"))
+
+    w = (per_q.writeStream.outputMode("update").foreachBatch(handle)
+         .option("checkpointLocation", checkpoint_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
 def current_verdicts(spark: SparkSession, store_dir: str) -> DataFrame:
     """I2 read side: the latest verdict per question."""
-    v = spark.read.parquet(os.path.join(store_dir, "verdicts"))
+    v = spark.read.parquet(f"{store_dir.rstrip('/')}/verdicts")
     return jd.last_wins(v, "judge_key", "batch_id").drop("batch_id")
 
 
