@@ -123,3 +123,26 @@ def test_judged_only_and_row_count(spark, tmp_path):
     p = str(tmp_path / "t")
     rows.write.parquet(p)
     assert mt.row_count(spark, p) == 2 and mt.row_count(spark, str(tmp_path / "missing")) == 0
+
+
+def test_hot_question_with_skew_split(spark):
+    """One question holds a third of all candidates; AQE may split it: results stay exact."""
+    hot = [("hot", i, "\\boxed{7}" if i == 5 else "\\boxed{1}") for i in range(600)]
+    cold = [(f"q{j}", i, f"\\boxed{{{j % 3}}}") for j in range(300) for i in range(4)]
+    p = _problems(spark, [("hot", "d", "\\boxed{7}")] + [(f"q{j}", "e", "\\boxed{0}") for j in range(300)]
+                  + [("none", "e", "\\boxed{0}")])
+    c = _cands(spark, hot + cold)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
+                                            "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "1k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.judge_key, r.k): (r.n_candidates, r.pass_at_1, r.pass_at_k)
+               for r in jd.pass_at_k(jd.judge_candidates(p, c), [1, 8]).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got[("hot", 1)] == (600, False, False) and got[("hot", 8)] == (600, False, True)
+    assert got[("q0", 1)] == (4, True, True) and got[("q1", 8)] == (4, False, False)
+    assert got[("none", 8)] == (1, False, False)
+    assert len(got) == 2 * 302
