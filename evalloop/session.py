@@ -81,15 +81,21 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+# Fan-out for spreading a coarse input: enough for the CPU work of one small
+# file, without thousands of near-empty tasks on a large cluster (an explicit
+# repartition count is not coalesced by AQE).
+SPREAD_MAX = 256
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a too-coarse input over the cluster's cores.
+    """Round-robin a too-coarse input over the cores.
 
     A file stored as one row group scans as one task, which would leave every
     per-row text rule on one core.  Inputs that already scan in at least as
-    many partitions as there are cores (any large table) are left alone, so no
-    extra shuffle is added at scale.
+    many partitions (any large table) are left alone, so no extra shuffle is
+    added at scale.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
+    want = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_MAX)
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
