@@ -172,3 +172,19 @@ def bad_cases(per_question: DataFrame, problems: DataFrame | None = None, key: s
 def judged_only(rows: DataFrame, verdict: str = "pass_at_k") -> DataFrame:
     """keep rows that carry a verdict (the others were never judged)."""
     return rows.filter(F.col(verdict).isNotNull())
+
+
+def log_key(df: DataFrame, key: str = "_judge_key") -> Column:
+    """J5 key: the stored key when it is a non-empty string, else rebuilt by J3.
+
+    (The resume reader S2 instead skips key-less lines; the final dedup keeps them.)"""
+    cols = set(df.columns)
+    stored = F.nullif(F.col(key).cast("string"), F.lit("")) if key in cols else F.lit(None).cast("string")
+
+    def c(name):
+        return F.col(name) if name in cols else F.lit(None)
+
+    ds = F.coalesce(F.nullif(c("dataset_id").cast("string"), F.lit("")),
+                    F.nullif(c("dataset").cast("string"), F.lit("")), F.lit(""))
+    rebuilt = F.concat(ds, F.lit("::"), F.coalesce(c("sample_index").cast("string"), F.lit("")))
+    return F.coalesce(stored, rebuilt)

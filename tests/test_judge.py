@@ -146,3 +146,12 @@ def test_hot_question_with_skew_split(spark):
     assert got[("q0", 1)] == (4, True, True) and got[("q1", 8)] == (4, False, False)
     assert got[("none", 8)] == (1, False, False)
     assert len(got) == 2 * 302
+
+
+def test_log_key_rebuilds_missing(spark):
+    log = spark.createDataFrame([("k1", "ds", "d", 1, 0), (None, "ds", "d", 2, 1), ("", "", "d", 3, 2),
+                                 ("k1", "ds", "d", 1, 3)],
+                                "_judge_key string, dataset_id string, dataset string, sample_index long, seq int")
+    keyed = log.withColumn("k", jd.log_key(log))
+    got = {r.k: r.seq for r in jd.last_wins(keyed.drop("_judge_key"), "k", "seq").collect()}
+    assert got == {"k1": 3, "ds::2": 1, "d::3": 2}
