@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,25 +54,30 @@ def index_within_group(df: DataFrame, group_cols: Sequence[str], order_cols: Seq
         T.StructField("_pid", T.IntegerType(), False), T.StructField("_local", T.LongType(), False)])
 
     def local_index(batches):
+        # Arrow batches in, Arrow batches out: only the group columns become
+        # pandas objects; wide columns (texts) pass through as Arrow buffers.
         pid = TaskContext.get().partitionId()
         prev_key, carry = None, 0
-        for pdf in batches:
-            if pdf.empty:
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
+            pdf = pd.DataFrame({c: rb.column(c).to_pandas() for c in group_cols})
             starts = _null_safe_run_starts(pdf, group_cols)
             first_key = tuple(pdf.iloc[0][c] for c in group_cols)
-            if prev_key is not None and _same_key(prev_key, first_key):
+            cont = prev_key is not None and _same_key(prev_key, first_key)
+            if cont:
                 starts.iloc[0] = False
             run = starts.cumsum()
             local = pdf.groupby(run).cumcount().astype("int64")
-            if prev_key is not None and _same_key(prev_key, first_key):
+            if cont:
                 local = local + (run == run.iloc[0]) * carry
-            last_run = run == run.iloc[-1]
-            carry = int(local[last_run].iloc[-1]) + 1
+            carry = int(local[run == run.iloc[-1]].iloc[-1]) + 1
             prev_key = tuple(pdf.iloc[-1][c] for c in group_cols)
-            yield pdf.assign(_pid=pid, _local=local)
+            yield pa.RecordBatch.from_arrays(
+                list(rb.columns) + [pa.array([pid] * rb.num_rows, pa.int32()), pa.array(local.to_numpy(), pa.int64())],
+                names=list(rb.schema.names) + ["_pid", "_local"])
 
-    local = ranged.mapInPandas(local_index, out_schema)
+    local = ranged.mapInArrow(local_index, out_schema)
     g = F.struct(*[F.col(c) for c in group_cols])
     # Per partition: first group, last group and the rows of the last group, from a
     # narrow pass over the group columns of the same ranged data (shared exchange),

@@ -10,13 +10,15 @@ def test_index_within_group_matches_window_with_hot_group(spark):
     # Group 0 holds a third of the rows; a null group is present too.
     rows = [(0, i) for i in range(300)] + [(g, i) for g in range(1, 101) for i in range(6)] + \
            [(None, i) for i in range(5)]
-    df = spark.createDataFrame(rows, "g long, o long").repartition(7)
+    df = spark.createDataFrame(rows, "g long, o long").repartition(7) \
+        .withColumn("t", F.concat(F.lit("text é "), F.col("o").cast("string")))
     got = sm.index_within_group(df, ["g"], ["o"], "idx", num_partitions=16)
     w = Window.partitionBy("g").orderBy("o")
     ref = df.withColumn("ref", F.row_number().over(w) - 1)
     j = got.alias("a").join(ref.alias("b"), F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.o") == F.col("b.o")))
     assert j.count() == len(rows)
     assert j.filter(F.col("a.idx") != F.col("b.ref")).count() == 0
+    assert j.filter(F.col("a.t") != F.col("b.t")).count() == 0  # wide columns pass through intact
 
 
 def test_sample_per_group(spark):
