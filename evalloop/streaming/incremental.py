@@ -32,14 +32,22 @@ CANDIDATE_SCHEMA = T.StructType([
 ])
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def start_incremental_judge(spark: SparkSession, source_dir: str, problems: DataFrame, store_dir: str,
                             checkpoint_dir: str, k: int = 8, file_format: str = "parquet",
-                            available_now: bool = True):
+                            available_now: bool = True, rocksdb_state: bool = False):
     """Stream candidate files from ``source_dir`` into the verdict store.
 
     ``problems``: (judge_key, dataset, answer).  Returns the ``StreamingQuery``
-    (``awaitTermination`` it for availableNow).
+    (``awaitTermination`` it for availableNow).  The dedup state keeps every
+    (question, candidate) seen, which is exact but grows with the stream: on a
+    cluster pass ``rocksdb_state=True`` for a new checkpoint (the provider of an
+    existing checkpoint cannot change).
     """
+    if rocksdb_state:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     stream = spark.readStream.schema(CANDIDATE_SCHEMA).format(file_format).load(source_dir)
     gold = jd.gold_finals(problems.filter(F.col("judge_key").isNotNull()), "judge_key", keep=["dataset"])
     cands = stream.dropDuplicates(["judge_key", "cand_idx"])
