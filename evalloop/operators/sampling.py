@@ -3,7 +3,7 @@
 Hot groups: one dataset (or question) may hold a third of all rows, so no
 operator here puts a whole group into one task.  Positions are computed after
 a range partitioning on (group, order) keys, which splits a hot group across
-many tasks; per-group samples are taken in two salted rounds.
+many tasks; per-group samples keep a map-side top-n per partition first.
 """
 
 from __future__ import annotations
@@ -131,21 +131,46 @@ def _same_key(a: tuple, b: tuple) -> bool:
     return all((x == y) or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
 
 
+def _top_n_rows(table: "pa.Table", group_col: str, key_col: str, n: int) -> "pa.Table":
+    """Rows with the ``n`` smallest (_h, key) per group; only three narrow columns go to pandas."""
+    pdf = pd.DataFrame({"g": table.column(group_col).to_pandas(), "h": table.column("_h").to_pandas(),
+                        "k": table.column(key_col).to_pandas()})
+    keep = pdf.sort_values(["h", "k"], kind="stable").groupby("g", dropna=False, sort=False).head(n)
+    return table.take(pa.array(keep.index.to_numpy(), pa.int64()))
+
+
 def sample_per_group(df: DataFrame, group_col: str, key_col: str, n: int = 4, seed: int = 42,
-                     salt_buckets: int = 256, order=None) -> DataFrame:
+                     order=None, compact_rows: int = 65536) -> DataFrame:
     """L3: ``min(n, size)`` rows per group without replacement, seeded.
 
     A row's rank is ``xxhash64(key, seed)`` (or the given ``order`` column; ties
-    by key), independent of input order.  Round 1 keeps the best ``n`` per (group, salt); round 2
-    ranks the at most ``n * salt_buckets`` survivors per group.
+    by key), independent of input order.  Map-side top-n first: every input
+    partition keeps only its ``n`` best rows per group (Arrow batches; wide
+    columns are never converted), so a hot group sends at most ``n`` rows per
+    partition to the final ranking window.  Exact: the global top ``n`` of a
+    group is among the union of the per-partition top ``n``.
     """
     h = F.xxhash64(F.col(key_col), F.lit(seed)) if order is None else order
-    ranked = df.withColumn("_h", h).withColumn("_salt", F.pmod(F.col("_h"), F.lit(salt_buckets)))
-    w1 = Window.partitionBy(group_col, "_salt").orderBy("_h", key_col)
-    pre = ranked.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n)
-    w2 = Window.partitionBy(group_col).orderBy("_h", key_col)
-    return (pre.withColumn("sample_rank", F.row_number().over(w2) - 1)
-            .filter(F.col("sample_rank") < n).drop("_h", "_salt", "_r"))
+    ranked = df.withColumn("_h", h)
+
+    def top_n(batches):
+        kept, rows = [], 0
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            t = _top_n_rows(pa.Table.from_batches([rb]), group_col, key_col, n)
+            kept.append(t)
+            rows += t.num_rows
+            if rows > compact_rows:  # keep memory at n rows per group seen so far
+                merged = _top_n_rows(pa.concat_tables(kept).combine_chunks(), group_col, key_col, n)
+                kept, rows = [merged], merged.num_rows
+        if kept:
+            yield from _top_n_rows(pa.concat_tables(kept).combine_chunks(), group_col, key_col, n).to_batches()
+
+    pre = ranked.mapInArrow(top_n, ranked.schema)
+    w = Window.partitionBy(group_col).orderBy("_h", key_col)
+    return (pre.withColumn("sample_rank", F.row_number().over(w) - 1)
+            .filter(F.col("sample_rank") < n).drop("_h"))
 
 
 def pick_one(df: DataFrame, key_col: str, seed: int = 42) -> DataFrame:

@@ -24,14 +24,19 @@ def test_index_within_group_matches_window_with_hot_group(spark):
 def test_sample_per_group(spark):
     rows = [("a", i) for i in range(100)] + [("b", i) for i in range(2)]
     df = spark.createDataFrame(rows, "ds string, k long")
-    s = sm.sample_per_group(df, "ds", "k", n=4, salt_buckets=8).collect()
+    s = sm.sample_per_group(df.repartition(5), "ds", "k", n=4, compact_rows=3).collect()
     by = {}
     for r in s:
         by.setdefault(r.ds, []).append(r)
     assert len(by["a"]) == 4 and len(by["b"]) == 2
     # deterministic and independent of input order
-    s2 = sm.sample_per_group(df.orderBy(F.desc("k")), "ds", "k", n=4, salt_buckets=8).collect()
+    s2 = sm.sample_per_group(df.orderBy(F.desc("k")), "ds", "k", n=4).collect()
     assert sorted((r.ds, r.k) for r in s) == sorted((r.ds, r.k) for r in s2)
+    # equals a plain window over all rows
+    from pyspark.sql import Window
+    w = Window.partitionBy("ds").orderBy(F.xxhash64("k", F.lit(42)), "k")
+    ref = df.withColumn("r", F.row_number().over(w)).filter("r <= 4").collect()
+    assert sorted((r.ds, r.k) for r in s) == sorted((r.ds, r.k) for r in ref)
 
 
 def test_head_limit_truthiness(spark):
