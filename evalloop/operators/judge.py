@@ -105,7 +105,7 @@ def judge_arrays(judged_rows: DataFrame, k: int, preds: str = "predictions") ->
     flags = F.transform(arr, lambda p: (tx.normalize_answer(tx.final_answer(p)) != "") & (
         tx.normalize_answer(tx.final_answer(p)) == F.col("_gt")) & F.col("answer").isNotNull())
     return (judged_rows.withColumn("_gt", gt).withColumn("_flags", flags).select(
-        "*", F.size("_flags").alias("n_candidates"),
+        "*", F.size("_flags").cast("long").alias("n_candidates"),
         F.lit(int(k)).alias("k"),
         F.col("_flags")[0].alias("pass_at_1"),
         F.exists(F.slice("_flags", 1, max(int(k), 1)), lambda x: x).alias("pass_at_k"),

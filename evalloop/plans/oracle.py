@@ -627,7 +627,7 @@ def q_generation_job() -> str:
     return _with(GOLD, CANDS, VERDICTS, per_question((8,))) + """,
 s AS (SELECT sample_index, CAST(x AS INTEGER) AS sample, (5 - (sample_index + x) % 5) % 5 AS a
       FROM pq, (SELECT unnest([0, 1]) AS x) WHERE NOT pass_at_k)
-SELECT sample_index, sample, a <> 0 AS accepted, CASE WHEN a = 0 THEN 4 ELSE a END AS attempt,
+SELECT sample_index, sample, a <> 0 AS accepted, CAST(CASE WHEN a = 0 THEN 4 ELSE a END AS INTEGER) AS attempt,
        CASE WHEN a <> 0 THEN 'Variant ' || CAST(sample AS VARCHAR) || ' of order ' || CAST(sample_index AS VARCHAR)
             || ': find the check digit of ' || CAST(sample_index AS VARCHAR) || ' times seven.' END AS instruction
 FROM s"""
