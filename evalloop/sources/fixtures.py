@@ -28,14 +28,25 @@ CAND_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 _LOCK = threading.Lock()
 
 
-def _fingerprint(sf_dir: str, tables: list[str]) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+def _fingerprint(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
+    """Identity of the input files: local paths by ``stat``; other file systems
+    through Spark's file listing (count, total size, latest change: one row)."""
+    h = hashlib.sha1(sf_dir.rstrip("/").encode())
+    local = "://" not in sf_dir or sf_dir.startswith("file://")
     for t in tables:
         p = f"{sf_dir.rstrip('/')}/{t}.parquet"
+        if local:
+            try:
+                st = os.stat(p.replace("file://", ""))
+                h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
+                continue
+            except OSError:
+                pass
         try:
-            st = os.stat(p)
-            h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
+            r = (spark.read.format("binaryFile").load(p)
+                 .agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")).first())
+            h.update(f"{t}:{r[0]}:{r[1]}:{r[2]}".encode())
+        except Exception:
             h.update(t.encode())
     return h.hexdigest()[:16]
 
@@ -50,7 +61,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, tables: list[str],
     from evalloop.session import committed, ensure_checkpoint_dir, spread
 
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/fixtures/{name}-{_fingerprint(sf_dir, tables)}"
+    path = f"{root}/fixtures/{name}-{_fingerprint(spark, sf_dir, tables)}"
     with _LOCK:
         if not committed(spark, path):
             build(spark, sf_dir).write.mode("overwrite").parquet(path)
