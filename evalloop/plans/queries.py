@@ -64,12 +64,13 @@ def stats_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bad_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Judged on keys only; question and answer texts join back to the failing rows."""
     gold = fx.gold_problems(spark, sf)
     pq = jd.pass_at_k(jd.judge_candidates(gold, fx.candidates(spark, sf), key="sample_index",
-                                          keep=["judge_key", "dataset", "question", "answer"]),
-                      [DEFAULT_K], key="sample_index", carry=["judge_key", "dataset", "question", "answer"])
-    return jd.bad_cases(pq, None).select("judge_key", "dataset", "sample_index", "question", "answer",
-                                         "n_candidates")
+                                          keep=["judge_key", "dataset"]),
+                      [DEFAULT_K], key="sample_index", carry=["judge_key", "dataset"])
+    return jd.bad_cases(pq, gold, key="sample_index", cols=("question", "answer")).select(
+        "judge_key", "dataset", "sample_index", "question", "answer", "n_candidates")
 
 
 def resume_anti_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,10 +262,9 @@ def training_prompts(spark: SparkSession, sf: str) -> DataFrame:
 def _bad_with_candidates(spark: SparkSession, sf: str):
     gold = fx.gold_problems(spark, sf)
     cands = fx.candidates(spark, sf)
-    pq = jd.pass_at_k(jd.judge_candidates(gold, cands, key="sample_index",
-                                          keep=["judge_key", "question", "answer"]),
-                      [DEFAULT_K], key="sample_index", carry=["judge_key", "question", "answer"])
-    return jd.bad_cases(pq), cands
+    pq = jd.pass_at_k(jd.judge_candidates(gold, cands, key="sample_index", keep=["judge_key"]),
+                      [DEFAULT_K], key="sample_index", carry=["judge_key"])
+    return jd.bad_cases(pq, gold, key="sample_index", cols=("question", "answer")), cands
 
 
 def attribution_prompts(spark: SparkSession, sf: str) -> DataFrame:
