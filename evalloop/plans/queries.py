@@ -270,6 +270,7 @@ def _bad_with_candidates(spark: SparkSession, sf: str):
 def attribution_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """Q6: one prompt per bad case with its failed predictions in candidate order."""
     bad, cands = _bad_with_candidates(spark, sf)
+    cands = cands.join(bad.select("sample_index").distinct(), "sample_index", "left_semi")
     preds = cands.groupBy("sample_index").agg(
         F.array_sort(F.collect_list(F.struct("cand_idx", "text"))).alias("_p"))
     rows = bad.join(preds, "sample_index", "left").withColumn(
