@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloop.llm import bpe, simhash
+from evalloop.llm import bpe, mixing, oracle, quality, secret_scan, simhash
 from evalloop.llm.common import prepare, table
 
 
@@ -15,6 +15,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -25,10 +35,18 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
+    "op10_quality": op10_quality,
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
