@@ -12,123 +12,49 @@ from collections.abc import Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-
-def _num_partitions(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+from evalloop.session import cut_lineage
 
 
-def _null_safe_run_starts(pdf: pd.DataFrame, cols: Sequence[str]) -> pd.Series:
-    """True where the group key differs from the previous row (rows are sorted)."""
-    start = pd.Series(False, index=pdf.index)
-    for c in cols:
-        cur, prev = pdf[c], pdf[c].shift(1)
-        same = (cur == prev) | (cur.isna() & prev.isna())
-        start |= ~same
-    if len(start):
-        start.iloc[0] = True
-    return start
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for a, b in zip(left, right):
+        cond &= F.col(a).eqNullSafe(F.col(b))
+    return cond
 
 
 def index_within_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                        index_col: str = "idx", num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row inside its group, by ``order_cols``.
 
-    The order must be unique within a group for the result to be
-    deterministic.  Plan: one range shuffle on (group, order); a per-partition
-    running count (Arrow batches); an offset for each partition's first group
-    from the counts of earlier partitions.  The offset table has at most one
-    row per partition, so broadcasting it is bounded by the partition count,
-    not by the data.
+    The order should be unique within a group; rows that tie share the first of
+    their positions.  Only the keys are indexed: they are range-partitioned on
+    (group, order), so a hot group spreads over many tasks, and stored with the
+    number of their partition.  Offsets (rows of the group in earlier
+    partitions) and local positions both come from this one stored copy, so
+    they always belong to the same partitioning; the positions are then joined
+    back to the wide rows on (group, order).
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
     keys = group_cols + order_cols
-    n = num_partitions or _num_partitions(df)
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    out_schema = T.StructType(ranged.schema.fields + [
-        T.StructField("_pid", T.IntegerType(), False), T.StructField("_local", T.LongType(), False)])
-
-    def local_index(batches):
-        # Arrow batches in, Arrow batches out: only the group columns become
-        # pandas objects; wide columns (texts) pass through as Arrow buffers.
-        pid = TaskContext.get().partitionId()
-        prev_key, carry = None, 0
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            pdf = pd.DataFrame({c: rb.column(c).to_pandas() for c in group_cols})
-            starts = _null_safe_run_starts(pdf, group_cols)
-            first_key = tuple(pdf.iloc[0][c] for c in group_cols)
-            cont = prev_key is not None and _same_key(prev_key, first_key)
-            if cont:
-                starts.iloc[0] = False
-            run = starts.cumsum()
-            local = pdf.groupby(run).cumcount().astype("int64")
-            if cont:
-                local = local + (run == run.iloc[0]) * carry
-            carry = int(local[run == run.iloc[-1]].iloc[-1]) + 1
-            prev_key = tuple(pdf.iloc[-1][c] for c in group_cols)
-            yield pa.RecordBatch.from_arrays(
-                list(rb.columns) + [pa.array([pid] * rb.num_rows, pa.int32()), pa.array(local.to_numpy(), pa.int64())],
-                names=list(rb.schema.names) + ["_pid", "_local"])
-
-    local = ranged.mapInArrow(local_index, out_schema)
-    g = F.struct(*[F.col(c) for c in group_cols])
-    # Per partition: first group, last group and the rows of the last group, from a
-    # narrow pass over the group columns of the same ranged data (shared exchange),
-    # so the full rows go through Python once.
-    key_schema = T.StructType([f for f in ranged.schema.fields if f.name in group_cols])
-    sum_schema = T.StructType([T.StructField("_pid", T.IntegerType(), False)]
-                              + [T.StructField("f_" + f.name, f.dataType) for f in key_schema.fields]
-                              + [T.StructField("l_" + f.name, f.dataType) for f in key_schema.fields]
-                              + [T.StructField("n_last", T.LongType(), False)])
-
-    def partition_summary(batches):
-        pid = TaskContext.get().partitionId()
-        first = cur = None
-        cur_len = 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            head = tuple(pdf.iloc[0][c] for c in group_cols)
-            if first is None:
-                first = head
-            starts = _null_safe_run_starts(pdf, group_cols).to_numpy().copy()
-            starts[0] = not (cur is not None and _same_key(cur, head))
-            if starts.any():
-                last_start = len(starts) - 1 - int(starts[::-1].argmax())
-                cur_len = len(pdf) - last_start
-            else:  # the whole batch continues the current run
-                cur_len += len(pdf)
-            cur = tuple(pdf.iloc[-1][c] for c in group_cols)
-        if first is not None:
-            yield pd.DataFrame([[pid, *first, *cur, cur_len]], columns=sum_schema.fieldNames())
-
-    s_raw = ranged.select(*group_cols).mapInPandas(partition_summary, sum_schema)
-    summary = s_raw.select(
-        "_pid",
-        F.struct(*[F.col("f_" + c).alias(c) for c in group_cols]).alias("first_g"),
-        F.struct(*[F.col("l_" + c).alias(c) for c in group_cols]).alias("last_g"),
-        "n_last")
-    a, b = summary.alias("a"), summary.alias("b")
-    offsets = (
-        a.join(b, F.col("b.last_g").eqNullSafe(F.col("a.first_g")) & (F.col("b._pid") < F.col("a._pid")))
-        .groupBy(F.col("a._pid").alias("o_pid"), F.col("a.first_g").alias("o_g"))
-        .agg(F.sum("b.n_last").alias("offset"))
-    )
-    joined = local.withColumn("_g", g).join(
-        F.broadcast(offsets), (F.col("_pid") == F.col("o_pid")) & F.col("_g").eqNullSafe(F.col("o_g")), "left")
-    return joined.withColumn(index_col, F.col("_local") + F.coalesce(F.col("offset"), F.lit(0))).drop(
-        "_pid", "_local", "_g", "o_pid", "o_g", "offset")
-
-
-def _same_key(a: tuple, b: tuple) -> bool:
-    return all((x == y) or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+    g, k = [f"_g{i}" for i in range(len(group_cols))], [f"_k{i}" for i in range(len(keys))]
+    narrow = df.groupBy(*[F.col(c).alias(n) for c, n in zip(keys, k)]).agg(F.count(F.lit(1)).alias("_n"))
+    spark = df.sparkSession
+    parts = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    stored = cut_lineage(narrow.repartitionByRange(parts, *k).withColumn("_pid", F.spark_partition_id()), "positions")
+    own = k[:len(group_cols)]
+    # one row per partition and group in it
+    sizes = stored.groupBy("_pid", *own).agg(F.sum("_n").alias("_n"))
+    before = Window.partitionBy(*own).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_pid").alias("_opid"), *[F.col(c).alias(n) for c, n in zip(own, g)],
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    local = Window.partitionBy("_pid", *own).orderBy(*k).rowsBetween(Window.unboundedPreceding, -1)
+    placed = stored.withColumn("_local", F.coalesce(F.sum("_n").over(local), F.lit(0))).join(
+        offsets, (F.col("_pid") == F.col("_opid")) & _same(own, g))
+    placed = placed.select(*k, (F.col("_local") + F.col("_offset")).alias("_position"))
+    return df.join(placed, _same(keys, k)).select(*[F.col(f"`{c}`") for c in df.columns], F.col("_position").alias(index_col))
 
 
 def _top_n_rows(table: "pa.Table", group_col: str, key_col: str, n: int) -> "pa.Table":
