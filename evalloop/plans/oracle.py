@@ -468,15 +468,23 @@ def q_near_dup_pairs() -> str:
     return _with(_nd_ctes("documents", "doc_id", "text", "d")) + f"""
 SELECT g.rep AS id_a, n.id AS id_b, 'equal' AS kind FROM dnf2 n JOIN dgrp g ON n.nf = g.nf WHERE n.id <> g.rep
 UNION ALL
-SELECT a.rep, b.rep, 'near' FROM dsets a JOIN dsets b ON a.rep < b.rep AND {_jacc_ok('a', 'b')}"""
+SELECT min(a.rep), b.rep, 'near' FROM dsets a JOIN dsets b ON a.rep < b.rep AND {_jacc_ok('a', 'b')} GROUP BY b.rep"""
+
+
+ITEMS = """
+items AS (
+  SELECT item_id, text FROM benchmark
+  UNION ALL SELECT 10000000 + doc_id, replace(text, ' ', '  ') || '  ' FROM documents WHERE doc_id % 37 = 0
+  UNION ALL SELECT 20000000 + doc_id, text || ' zzextra' FROM documents WHERE doc_id % 41 = 0)"""
 
 
 def q_decontaminate() -> str:
-    return _with(_nd_ctes("documents", "doc_id", "text", "d"), _nd_ctes("benchmark", "item_id", "text", "b")) + f""",
+    return _with(ITEMS, _nd_ctes("documents", "doc_id", "text", "d"), _nd_ctes("items", "item_id", "text", "b")) + f""",
 dmap AS (SELECT n.id, g.rep FROM dnf2 n JOIN dgrp g ON n.nf = g.nf)
 SELECT n.id AS left_id, g.rep AS right_id, 'equal' AS kind FROM dnf2 n JOIN bgrp g ON n.nf = g.nf
 UNION ALL
-SELECT m.id, b.rep, 'near' FROM dsets a JOIN bsets b ON {_jacc_ok('a', 'b')} JOIN dmap m ON m.rep = a.rep"""
+SELECT m.id, min(b.rep), 'near' FROM dsets a JOIN bsets b ON {_jacc_ok('a', 'b')} JOIN dmap m ON m.rep = a.rep
+GROUP BY m.id"""
 
 
 def q_merge_dedup() -> str:

@@ -163,7 +163,7 @@ def sample_per_dataset(spark: SparkSession, sf: str) -> DataFrame:
 def dataset_select(spark: SparkSession, sf: str) -> DataFrame:
     """U1 + L3 + L4 + P13: two fixed datasets and one dynamic one picked by seeded hash,
     4 rows each, tagged with provenance and a per-dataset index."""
-    docs = fx.read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", "source")
     registry = spark.createDataFrame(
         [("src0", 0, "fixed", "hard"), ("src1", 1, "fixed", "hard"), ("src2", 2, "dynamic", "dynamic"),
          ("src3", 3, "dynamic", "dynamic"), ("src4", 4, "dynamic", "dynamic")],
@@ -230,7 +230,7 @@ def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     docs = fx.read_table(spark, sf, "documents").select("doc_id", "text")
-    bench = fx.read_table(spark, sf, "benchmark").select("item_id", "text")
+    bench = fx.benchmark_items(spark, sf)
     return si.cross_near_duplicates(docs, bench, "doc_id", "text", "item_id", "text")
 
 

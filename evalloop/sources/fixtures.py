@@ -177,3 +177,13 @@ def json_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(m == 3, F.substring(obj, F.lit(1), F.length(obj) - 2))
             .otherwise(F.concat(obj, F.lit(" and "), F.col("props"))))
     return e.select("event_id", "user_id", text.alias("text"))
+
+
+def benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F_items: the benchmark, and documents that leaked into it: with other blanks, or with one more word."""
+    bench = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    spaced = docs.filter(F.col("doc_id") % 37 == 0).select(
+        F.col("doc_id") + 10_000_000, F.concat(F.replace("text", F.lit(" "), F.lit("  ")), F.lit("  ")))
+    longer = docs.filter(F.col("doc_id") % 41 == 0).select(F.col("doc_id") + 20_000_000, F.concat("text", F.lit(" zzextra")))
+    return bench.union(spaced).union(longer)

@@ -52,10 +52,31 @@ def test_latest_checkpoint(spark):
     assert (r.name, r.step) == ("checkpoint-10", 10)
 
 
-def test_index_within_group_small_batches(spark):
-    """Runs and carries cross Arrow batch boundaries."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        test_index_within_group_matches_window_with_hot_group(spark)
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+def test_positions_of_many_wide_rows(spark):
+    """400,000 rows in 5 groups with a text beside them: more than a range sample holds."""
+    df = spark.range(400_000).select(
+        F.concat(F.lit("g"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5).cast("string")).alias("g"),
+        ((F.col("id") * 48271) % 1_000_003).alias("o"), F.repeat(F.col("id").cast("string"), 20).alias("text"))
+    got = sm.index_within_group(df, ["g"], ["o"], "idx", num_partitions=24)
+    want = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy("o")) - 1)
+    both = got.join(want, ["g", "o", "text"])
+    assert got.count() == 400_000 == both.count()
+    assert both.filter("idx <> want").count() == 0
+
+
+def test_ties_share_their_first_position(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("a", 2, "z"), (None, None, "n")], "g string, o int, t string")
+    got = {r.t: r.idx for r in sm.index_within_group(df, ["g"], ["o"]).collect()}
+    assert got == {"x": 0, "y": 0, "z": 2, "n": 0}
+
+
+def test_only_keys_are_range_partitioned_and_only_once(spark):
+    """The wide rows meet their positions in a join; what is left of the plan holds no range exchange and no Python."""
+    import contextlib
+    import io
+
+    df = spark.range(1000).select((F.col("id") % 5).alias("g"), F.col("id").alias("o"), F.lit("text").alias("t"))
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        sm.index_within_group(df, ["g"], ["o"]).explain("formatted")
+    assert "rangepartitioning" not in out.getvalue() and "Python" not in out.getvalue() and "MapIn" not in out.getvalue()
