@@ -95,6 +95,31 @@ def pass_at_k(verdicts: DataFrame, ks: Sequence[int], key: str = "judge_key",
         F.col("_s.pass_at_k").alias("pass_at_k"))
 
 
+def pass_at_k_from_candidates(problems: DataFrame, candidates: DataFrame, ks: Sequence[int], key: str = "judge_key",
+                              carry: Sequence[str] = ()) -> DataFrame:
+    """J1 + J2/J4 in one pass over the candidates: same rows as ``pass_at_k`` over ``judge_candidates``.
+
+    Candidates are counted per (key, normalised answer) first, with the smallest
+    index of each answer: this combines on the map side and spreads a question
+    that holds a third of all candidates over its answers.  Only these counts
+    meet the gold answers; a question is one grouped sum of them.  Questions
+    without candidates come from the left join with gold.
+    """
+    gold = gold_finals(problems.filter(F.col(key).isNotNull()), key, keep=carry)
+    answers = candidate_finals(candidates, key).groupBy(key, "pred_norm").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("cand_idx").alias("_first"))
+    target = gold.select(F.col(key).alias("_key"), F.when(~F.col("gold_missing"), F.col("gt_norm")).alias("_gt"))
+    hit = (F.col("pred_norm") != "") & (F.col("pred_norm") == F.col("_gt"))
+    per_key = answers.join(target, F.col(key) == F.col("_key")).groupBy(F.col("_key")).agg(
+        F.sum("_n").alias("_n"), F.min(F.when(hit, F.col("_first"))).alias("_hit"))
+    rows = gold.select(key, *carry).join(per_key, F.col(key) == F.col("_key"), "left")
+    below = lambda k: F.coalesce(F.col("_hit") < max(int(k), 1), F.lit(False))
+    stacked = F.explode(F.array(*[F.struct(F.lit(int(k)).alias("k"), below(k).alias("pass_at_k")) for k in ks]))
+    return rows.select(key, *carry, F.coalesce("_n", F.lit(1)).alias("n_candidates"),
+                       F.coalesce(F.col("_hit") == 0, F.lit(False)).alias("pass_at_1"), stacked.alias("_s")).select(
+        key, *carry, "_s.k", "n_candidates", "pass_at_1", "_s.pass_at_k")
+
+
 def judge_arrays(judged_rows: DataFrame, k: int, preds: str = "predictions") -> DataFrame:
     """J2 in array form: no shuffle when each row already holds its candidates.
 
@@ -102,8 +127,8 @@ def judge_arrays(judged_rows: DataFrame, k: int, preds: str = "predictions") ->
     """
     gt = tx.normalize_answer(tx.final_answer("answer"))
     arr = F.when(F.size(F.coalesce(F.col(preds), F.array())) == 0, F.array(F.lit(""))).otherwise(F.col(preds))
-    flags = F.transform(arr, lambda p: (tx.normalize_answer(tx.final_answer(p)) != "") & (
-        tx.normalize_answer(tx.final_answer(p)) == F.col("_gt")) & F.col("answer").isNotNull())
+    finals = F.transform(arr, lambda p: tx.normalize_answer(tx.final_answer(p)))
+    flags = F.transform(finals, lambda p: (p != "") & (p == F.col("_gt")) & F.col("answer").isNotNull())
     return (judged_rows.withColumn("_gt", gt).withColumn("_flags", flags).select(
         "*", F.size("_flags").cast("long").alias("n_candidates"),
         F.lit(int(k)).alias("k"),
@@ -115,25 +140,31 @@ def judge_arrays(judged_rows: DataFrame, k: int, preds: str = "predictions") ->
 def harmonise_predictions(df: DataFrame, col: str = "predictions", for_judging: bool = True) -> Column:
     """Normalise the prediction shapes to ``array<string>``.
 
-    array<struct<output,...>> -> outputs (non-string/null -> ""); array<string>;
-    scalar ``prediction``; nothing -> ``[""]`` for judging, ``[]`` for attribution.
+    Shapes: ``array<struct<output, ...>>``, ``array<string>``, a scalar, or a
+    column ``prediction``.  Only text is an answer: an entry that is no string
+    (or null) becomes ``""`` for judging and is left out for attribution.
+    Nothing at all gives ``[""]`` for judging, ``[]`` for attribution.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     empty = F.array(F.lit("")) if for_judging else F.array().cast("array<string>")
+
+    def text(value: Column, kind) -> Column:
+        return value if kind.typeName() == "string" else F.lit(None).cast("string")
+
     if col in fields:
-        dt = fields[col]
-        elem = getattr(dt, "elementType", None)
-        if elem is not None and hasattr(elem, "fieldNames") and "output" in elem.fieldNames():
-            arr = F.transform(F.col(col), lambda p: F.coalesce(p["output"].cast("string"), F.lit("")))
-        elif elem is not None:
-            arr = F.transform(F.col(col), lambda p: F.coalesce(p.cast("string"), F.lit("")))
+        kind = fields[col]
+        if kind.typeName() == "array":
+            elem = kind.elementType
+            inner = elem["output"].dataType if elem.typeName() == "struct" and "output" in elem.fieldNames() else None
+            arr = F.transform(F.col(col), lambda p: text(p["output"], inner) if inner is not None else text(p, elem))
         else:
-            arr = F.array(F.col(col).cast("string"))
-        return F.when(F.size(F.coalesce(arr, F.array())) > 0, arr).otherwise(empty)
-    if "prediction" in fields:
-        p = F.col("prediction").cast("string")
-        return F.when(F.coalesce(p, F.lit("")) != "", F.array(p)).otherwise(empty)
-    return empty
+            arr = F.array(text(F.col(col), kind))
+    elif "prediction" in fields:
+        arr = F.filter(F.array(text(F.col("prediction"), fields["prediction"])), lambda p: F.coalesce(p, F.lit("")) != "")
+    else:
+        return empty
+    arr = F.transform(arr, lambda p: F.coalesce(p, F.lit(""))) if for_judging else F.filter(arr, lambda p: p.isNotNull())
+    return F.when(F.size(F.coalesce(arr, F.array())) > 0, arr).otherwise(empty)
 
 
 def resume(todo: DataFrame, done: DataFrame, key: str = "judge_key") -> DataFrame:

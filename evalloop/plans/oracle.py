@@ -624,17 +624,19 @@ def q_judge_array_form() -> str:
 
 
 def q_attribution_job() -> str:
-    return _with(GOLD, CANDS, VERDICTS, per_question((8,))) + """
-SELECT sample_index, sample_index % 3 <> 2 AS parsed,
-       CASE WHEN sample_index % 3 <> 2 THEN 'arithmetic' END AS error_type,
-       CASE WHEN sample_index % 3 <> 2 THEN 'skill_' || CAST(sample_index % 5 AS VARCHAR) END AS missing_skill
-FROM pq WHERE NOT pass_at_k"""
+    return _with(GOLD, CANDS, VERDICTS, per_question((8,))) + """,
+c AS (SELECT sample_index, sample_index % 13 = 0 AS failed, sample_index % 3 <> 2 AND sample_index % 13 <> 0 AS parsed
+      FROM pq WHERE NOT pass_at_k)
+SELECT sample_index, parsed, CASE WHEN parsed THEN 'arithmetic' END AS error_type,
+       CASE WHEN parsed THEN 'skill_' || CAST(sample_index % 5 AS VARCHAR) END AS missing_skill,
+       CASE WHEN failed THEN 'RuntimeError: refused' END AS error
+FROM c"""
 
 
 def q_generation_job() -> str:
     return _with(GOLD, CANDS, VERDICTS, per_question((8,))) + """,
 s AS (SELECT sample_index, CAST(x AS INTEGER) AS sample, (5 - (sample_index + x) % 5) % 5 AS a
-      FROM pq, (SELECT unnest([0, 1]) AS x) WHERE NOT pass_at_k)
+      FROM pq, (SELECT unnest([0, 1]) AS x) WHERE NOT pass_at_k AND sample_index % 13 <> 0)
 SELECT sample_index, sample, a <> 0 AS accepted, CAST(CASE WHEN a = 0 THEN 4 ELSE a END AS INTEGER) AS attempt,
        CASE WHEN a <> 0 THEN 'Variant ' || CAST(sample AS VARCHAR) || ' of order ' || CAST(sample_index AS VARCHAR)
             || ': find the check digit of ' || CAST(sample_index AS VARCHAR) || ' times seven.' END AS instruction

@@ -52,7 +52,8 @@ def judge_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def per_question(spark: SparkSession, sf: str, ks=KS) -> DataFrame:
-    return jd.pass_at_k(verdicts(spark, sf), ks, key="sample_index", carry=["judge_key", "dataset"])
+    return jd.pass_at_k_from_candidates(fx.gold_problems(spark, sf), fx.candidates(spark, sf), ks, key="sample_index",
+                                        carry=["judge_key", "dataset"])
 
 
 def pass_at_k(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,9 +67,8 @@ def stats_rollup(spark: SparkSession, sf: str) -> DataFrame:
 def bad_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Judged on keys only; question and answer texts join back to the failing rows."""
     gold = fx.gold_problems(spark, sf)
-    pq = jd.pass_at_k(jd.judge_candidates(gold, fx.candidates(spark, sf), key="sample_index",
-                                          keep=["judge_key", "dataset"]),
-                      [DEFAULT_K], key="sample_index", carry=["judge_key", "dataset"])
+    pq = jd.pass_at_k_from_candidates(gold, fx.candidates(spark, sf), [DEFAULT_K], key="sample_index",
+                                      carry=["judge_key", "dataset"])
     return jd.bad_cases(pq, gold, key="sample_index", cols=("question", "answer")).select(
         "judge_key", "dataset", "sample_index", "question", "answer", "n_candidates")
 
@@ -79,8 +79,7 @@ def resume_anti_join(spark: SparkSession, sf: str) -> DataFrame:
     cands = fx.candidates(spark, sf)
 
     def run(problems, seq):
-        v = jd.judge_candidates(problems, cands, key="sample_index", keep=["judge_key"])
-        return jd.pass_at_k(v, [DEFAULT_K], key="sample_index", carry=["judge_key"]).withColumn(
+        return jd.pass_at_k_from_candidates(problems, cands, [DEFAULT_K], key="sample_index", carry=["judge_key"]).withColumn(
             "ingest_seq", F.lit(seq))
 
     done = run(gold.filter(F.col("sample_index") % 2 == 1), 0).withColumn("resumed", F.lit(True))
@@ -262,8 +261,7 @@ def training_prompts(spark: SparkSession, sf: str) -> DataFrame:
 def _bad_with_candidates(spark: SparkSession, sf: str):
     gold = fx.gold_problems(spark, sf)
     cands = fx.candidates(spark, sf)
-    pq = jd.pass_at_k(jd.judge_candidates(gold, cands, key="sample_index", keep=["judge_key"]),
-                      [DEFAULT_K], key="sample_index", carry=["judge_key"])
+    pq = jd.pass_at_k_from_candidates(gold, cands, [DEFAULT_K], key="sample_index", carry=["judge_key"])
     return jd.bad_cases(pq, gold, key="sample_index", cols=("question", "answer")), cands
 
 
@@ -326,7 +324,8 @@ def attribution_job(spark: SparkSession, sf: str) -> DataFrame:
     from evalloop.plans import stubs
     bad, cands = _bad_for_jobs(spark, sf)
     out = en.attribution_job(bad, cands, stubs.attribution_model, key="sample_index", base_sleep=0.0)
-    return out.select("sample_index", F.col("raw_text").isNull().alias("parsed"), "error_type", "missing_skill")
+    return out.select("sample_index", (F.col("raw_text").isNull() & F.col("error").isNull()).alias("parsed"), "error_type",
+                      "missing_skill", "error")
 
 
 def generation_job(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,13 +1,13 @@
 """Sources and sinks.
 
 JSON arrays and JSON-lines logs come in through Spark's readers with an
-explicit schema; stages exchange parquet.  Nothing is read on the driver
-except the first bytes of a file to tell an array from JSON lines (S3).
+explicit schema; stages exchange parquet.  No file is opened on the driver.
+A value that does not fit its column becomes null and the raw line is kept in
+``_corrupt_record``: a well-formed object is never dropped.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,41 +29,59 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType | None
     return r.json(path)
 
 
+def _with_corrupt(schema: T.StructType) -> T.StructType:
+    return schema if CORRUPT in schema.fieldNames() else T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
+
+
+def _object_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+    """The lines that are JSON objects, parsed; ``_raw_file`` and ``_raw_pos`` give file and order within it.
+
+    Blank lines, arrays, scalars and text that does not parse at all give no row.
+    """
+    full = _with_corrupt(schema)
+    lines = spark.read.text(paths).select(
+        "value", F.input_file_name().alias("_raw_file"), F.monotonically_increasing_id().alias("_raw_pos"))
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = lines.filter(F.ltrim("value").startswith("{")).withColumn("_o", parsed)
+    # a line that does not parse has no key at all; one with a wrong value keeps the others
+    whole = F.try_parse_json("value").isNotNull()
+    return rows.filter(whole).select("_o.*", "_raw_file", "_raw_pos")
+
+
 def read_keyed_jsonl(spark: SparkSession, path: str, schema: T.StructType, key: str,
                      seq_col: str = "ingest_seq") -> DataFrame:
     """Tolerant JSON lines: blank, malformed and non-object lines and rows
-    without a non-empty string key are skipped.  Adds ``seq_col`` (file, line
-    order) so that J5 can keep the last line per key."""
-    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    df = df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
-    # Order within the log: file name, then position inside the file.
-    return df.withColumn(seq_col, F.struct(F.input_file_name().alias("file"),
-                                           F.monotonically_increasing_id().alias("pos")))
-
-
-def sniff_is_array(path: str) -> bool:
-    """S3 helper: first non-blank character of the (first) file is ``[``."""
-    target = path
-    if os.path.isdir(path):
-        files = sorted(f for f in os.listdir(path) if not f.startswith((".", "_")))
-        if not files:
-            return False
-        target = os.path.join(path, files[0])
-    with open(target, encoding="utf-8") as fh:
-        while True:
-            chunk = fh.read(4096)
-            if not chunk:
-                return False
-            s = chunk.lstrip()
-            if s:
-                return s[0] == "["
+    without a non-empty string key are skipped; all other rows stay, also those
+    with a value of another type (null there, the line in ``_corrupt_record``).
+    Adds ``seq_col`` (file, line order) so that J5 can keep the last line per key."""
+    df = _object_lines(spark, path, schema).filter(F.col(key).isNotNull() & (F.col(key) != ""))
+    return df.withColumn(seq_col, F.struct(F.col("_raw_file").alias("file"), F.col("_raw_pos").alias("pos"))).drop(
+        "_raw_file", "_raw_pos")
+
+
+def array_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """S3 helper: the files below ``path`` whose first non-blank character is ``[``, and the others.
+
+    One Spark pass over the first non-blank lines; a row per file reaches the driver.
+    """
+    lines = spark.read.text(path).select(
+        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos"), F.ltrim("value").alias("line"))
+    heads = lines.filter(F.col("line") != "").groupBy("file").agg(
+        F.min_by(F.substring("line", 1, 1), "pos").alias("head")).collect()
+    return [r["file"] for r in heads if r["head"] == "["], [r["file"] for r in heads if r["head"] != "["]
 
 
 def read_json_or_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """S3: array file or JSON lines (malformed lines dropped)."""
-    if sniff_is_array(path):
-        return read_json_array(spark, path, schema)
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """S3: array files and JSON lines, decided for every file on its own."""
+    arrays, lines = array_files(spark, path)
+    full = _with_corrupt(schema)
+    out = spark.createDataFrame([], full)
+    if arrays:
+        rows = spark.read.schema(full).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT).json(arrays)
+        out = out.unionByName(rows)
+    if lines:
+        out = out.unionByName(_object_lines(spark, lines, schema).drop("_raw_file", "_raw_pos"))
+    return out
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",

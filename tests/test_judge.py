@@ -78,7 +78,12 @@ def test_harmonise_prediction_shapes(spark):
     df2 = spark.createDataFrame([("p",), ("",)], "prediction string")
     assert [r.p for r in df2.select(jd.harmonise_predictions(df2).alias("p")).collect()] == [["p"], [""]]
     att = [r.p for r in df.select(jd.harmonise_predictions(df, for_judging=False).alias("p")).collect()]
-    assert att == [["x", ""], []]
+    assert att == [["x"], []]
+    odd = spark.createDataFrame([([{"output": 7}],)], "predictions array<struct<output:int>>")  # only text is an answer
+    assert odd.select(jd.harmonise_predictions(odd).alias("p")).first().p == [""]
+    assert odd.select(jd.harmonise_predictions(odd, for_judging=False).alias("p")).first().p == []
+    flat = spark.createDataFrame([([1.5, 2.0],)], "predictions array<double>")
+    assert flat.select(jd.harmonise_predictions(flat).alias("p")).first().p == ["", ""]
 
 
 

@@ -24,19 +24,31 @@ def test_keyed_jsonl_last_wins(spark):
     assert got == {"a": 2, "b": 5}
 
 
+def test_values_of_another_type_keep_their_row(spark):
+    d = tempfile.mkdtemp(prefix="evalloop-jsonl-")
+    with open(os.path.join(d, "log.jsonl"), "w") as f:
+        f.write('{"_judge_key": "a", "v": "x"}\n{"_judge_key": "b", "v": 1.5}\n{"_judge_key": "c", "v": 3}\n{"_judge_key": "d", "v": \n'
+                '"text"\n7\n{"_judge_key": "", "v": 1}\n{"_judge_key": null}\n')
+    rows = {r._judge_key: r for r in io.read_keyed_jsonl(spark, d, SCHEMA, "_judge_key").collect()}
+    assert {k: r.v for k, r in rows.items()} == {"a": None, "b": None, "c": 3}
+    assert '"x"' in rows["a"][io.CORRUPT] and rows["c"][io.CORRUPT] is None
+    assert io.read_json_or_jsonl(spark, d, SCHEMA).filter("_judge_key is not null").count() == 4
+
+
 def test_array_and_auto_reader(spark):
     d = tempfile.mkdtemp(prefix="evalloop-json-")
     arr = os.path.join(d, "a.json")
     with open(arr, "w") as f:
         json.dump([{"_judge_key": "x", "v": 1}, {"_judge_key": "y", "v": 2}], f, indent=2)
     assert io.read_json_array(spark, arr, SCHEMA).count() == 2
-    assert io.sniff_is_array(arr)
+    assert [f.rsplit("/", 1)[1] for f in io.array_files(spark, arr)[0]] == ["a.json"]
     assert io.read_json_or_jsonl(spark, arr, SCHEMA).count() == 2
     lines = os.path.join(d, "b.jsonl")
     with open(lines, "w") as f:
         f.write('{"_judge_key": "x", "v": 1}\nnot json\n')
-    assert not io.sniff_is_array(lines)
+    assert io.array_files(spark, lines)[0] == []
     assert io.read_json_or_jsonl(spark, lines, SCHEMA).count() == 1
+    assert io.read_json_or_jsonl(spark, d, SCHEMA).count() == 3  # each file by its own first character
 
 
 def test_seed_or_empty(spark):
@@ -60,6 +72,14 @@ def test_snapshot_merge(spark):
     assert spark.read.parquet(p1).count() == 3  # merge count = sum
     with pytest.raises(FileExistsError):
         mg.merge_training_snapshot(spark, root, 1, b)
+    with pytest.raises(FileNotFoundError):  # snapshot 2 is missing
+        mg.merge_training_snapshot(spark, root, 3, b)
+    os.remove(os.path.join(p1, "_SUCCESS"))  # a write that did not end: no predecessor, and written anew
+    with pytest.raises(FileNotFoundError):
+        mg.merge_training_snapshot(spark, root, 2, b)
+    mg.merge_training_snapshot(spark, root, 1, b, shuffle_seed=1)
+    first = [r.instruction for r in spark.read.parquet(p1).collect()]
+    assert sorted(first) == ["q1", "q2", "q3"]
 
 
 def test_union_datasets(spark):

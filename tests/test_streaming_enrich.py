@@ -49,3 +49,22 @@ def test_parse_attribution(spark):
     rows = en.parse_attribution(df).collect()
     assert rows[0].error_type == "x" and rows[0].raw_text is None
     assert rows[1].raw_text == "no json" and rows[2].raw_text == "{}"
+
+
+def test_attribution_keeps_cases_whose_call_failed(spark):
+    def model(system, user, params):
+        if "Q2" in user:
+            raise ValueError("refused")
+        return '{"error_type": "x"}' if "Q1" in user else user[:0] + "no object"
+
+    bad = spark.createDataFrame([("a", "Q1", "1"), ("b", "Q2", "2"), ("c", " ", "3")], "judge_key string, question string, answer string")
+    cands = spark.createDataFrame([("a", 0, "p"), ("c", 0, "q")], "judge_key string, cand_idx int, text string")
+    rows = {r.judge_key: r for r in en.attribution_job(bad, cands, model, retries=1, base_sleep=0.0).collect()}
+    assert set(rows) == {"a", "b", "c"}
+    assert rows["a"].error_type == "x" and rows["a"].error is None
+    assert rows["b"].error == "ValueError: refused" and rows["b"].raw_text is None and rows["b"].attempts == 2
+    assert rows["c"].raw_text == "no object" and '"answer":"3"' in rows["c"].question  # Q10: the row stands in for a blank question
+    out = en.attribution_job(bad, cands, model, retries=0, base_sleep=0.0)
+    assert [r.judge_key for r in en.failed_calls(out).collect()] == ["b"]
+    made = en.generation_job(out, lambda s, u, p: "", base_sleep=0.0, max_attempts=1).collect()
+    assert sorted(r.judge_key for r in made) == ["a", "c"] and not any(r.accepted for r in made)
