@@ -217,7 +217,7 @@ rawp AS (
            WHEN 0 THEN 'Reasoning.' || chr(10) || 'So $\boxed{\frac{' || CAST(n_chars AS VARCHAR) || '}{' || CAST(doc_id % 7 + 1 AS VARCHAR) || '}}$.'
            WHEN 1 THEN 'Reasoning.' || chr(10) || '#### ' || CAST(n_chars AS VARCHAR)
            WHEN 2 THEN 'Reasoning without a final line'
-           WHEN 3 THEN '' END AS solution,
+           WHEN 3 THEN '' WHEN 5 THEN text END AS solution,
          CASE WHEN doc_id % 6 IN (2, 3) THEN CAST(n_chars % 97 AS VARCHAR) WHEN doc_id % 6 = 4 THEN ' ' END AS final_answer
   FROM documents)"""
 
@@ -289,14 +289,14 @@ RAW = r"""
 raw AS (
   SELECT doc_id, source, text AS source_question,
          CASE doc_id % 8
-           WHEN 0 THEN 'Question:' || chr(10) || text || chr(10) || 'Answer:' || chr(10) || 'We compute it step by step.' || chr(10) || 'The value is ' || CAST(n_chars % 100 AS VARCHAR) || '.' || chr(10) || '$\boxed{' || CAST(n_chars % 100 AS VARCHAR) || '}$.'
-           WHEN 1 THEN '<think>draft</think>' || chr(10) || 'Question: New problem about item ' || CAST(doc_id AS VARCHAR) || ' and its parts?' || chr(10) || 'Answer: ' || 'We compute it step by step.' || chr(10) || 'The value is ' || CAST(n_chars % 100 AS VARCHAR) || '.' || chr(10) || '$\boxed{' || CAST(n_chars % 100 AS VARCHAR) || '}$.'
-           WHEN 2 THEN 'Question: Short?' || chr(10) || 'Answer: ' || 'We compute it step by step.' || chr(10) || 'The value is ' || CAST(n_chars % 100 AS VARCHAR) || '.' || chr(10) || '$\boxed{' || CAST(n_chars % 100 AS VARCHAR) || '}$.'
-           WHEN 3 THEN 'Question: A different question about ' || CAST(n_chars AS VARCHAR) || ' things.' || chr(10) || 'Answer: ' || 'We compute it step by step.' || chr(10) || 'The value is ' || CAST(n_chars % 100 AS VARCHAR) || '.' || chr(10) || 'no box here'
-           WHEN 4 THEN 'question: first draft about ' || CAST(doc_id AS VARCHAR) || ' items and more' || chr(10) || 'ANSWER: answer: ' || 'We compute it step by step.' || chr(10) || 'The value is ' || CAST(n_chars % 100 AS VARCHAR) || '.' || chr(10) || '$\boxed{' || CAST(n_chars % 100 AS VARCHAR) || '}$.' || chr(10) || 'Question:'
-           WHEN 5 THEN '<Plan>plan ' || CAST(doc_id AS VARCHAR) || '<Solve>solve</Solve><Answer>' || '$\boxed{' || CAST(n_chars % 100 AS VARCHAR) || '}$.' || '</Answer>'
-           WHEN 6 THEN 'Question: Find the value for record ' || CAST(doc_id AS VARCHAR) || ' please.' || chr(10) || 'Answer: Question: leaked header' || chr(10) || '$\boxed{' || CAST(n_chars % 100 AS VARCHAR) || '}$.'
-           ELSE '<think>' || chr(10) || 'steps for ' || CAST(doc_id AS VARCHAR) || chr(10) || '</think>' || chr(10) || 'We compute it step by step.' || chr(10) || 'The value is ' || CAST(n_chars % 100 AS VARCHAR) || '.' || chr(10) || '**Final Answer:** \boxed{' || CAST(n_chars % 100 AS VARCHAR) || '}'
+           WHEN 0 THEN 'Question:' || chr(10) || text || chr(10) || 'Answer:' || chr(10) || 'We compute it step by step.' || chr(10) || text || chr(10) || 'The value is ' || CAST(n_chars % 100 AS VARCHAR) || '.' || chr(10) || '$\boxed{' || CAST(n_chars % 100 AS VARCHAR) || '}$.'
+           WHEN 1 THEN '<think>draft</think>' || chr(10) || 'Question: New problem about item ' || CAST(doc_id AS VARCHAR) || ' and its parts?' || chr(10) || 'Answer: ' || 'We compute it step by step.' || chr(10) || text || chr(10) || 'The value is ' || CAST(n_chars % 100 AS VARCHAR) || '.' || chr(10) || '$\boxed{' || repeat('{', 20) || CAST(n_chars % 100 AS VARCHAR) || repeat('}', 20) || '}$.'
+           WHEN 2 THEN 'Question: Short?' || chr(10) || 'Answer: ' || 'We compute it step by step.' || chr(10) || text || chr(10) || 'The value is ' || CAST(n_chars % 100 AS VARCHAR) || '.' || chr(10) || '$\boxed{' || CAST(n_chars % 100 AS VARCHAR) || '}$.'
+           WHEN 3 THEN 'Question: A different question about ' || CAST(n_chars AS VARCHAR) || ' things.' || chr(10) || 'Answer: ' || 'We compute it step by step.' || chr(10) || text || chr(10) || 'The value is ' || CAST(n_chars % 100 AS VARCHAR) || '.' || chr(10) || 'no box here'
+           WHEN 4 THEN 'question: first draft about ' || CAST(doc_id AS VARCHAR) || ' items and more' || chr(10) || 'ANSWER: answer: ' || 'We compute it step by step.' || chr(10) || text || chr(10) || 'The value is ' || CAST(n_chars % 100 AS VARCHAR) || '.' || chr(10) || '$\boxed{' || CAST(n_chars % 100 AS VARCHAR) || '}$.' || chr(10) || 'Question:'
+           WHEN 5 THEN '<Plan>plan ' || CAST(doc_id AS VARCHAR) || ' ' || text || '<Solve>solve</Solve><Answer>' || '$\boxed{' || CAST(n_chars % 100 AS VARCHAR) || '}$.' || '</Answer>'
+           WHEN 6 THEN 'Question: Find the value for record ' || CAST(doc_id AS VARCHAR) || ' please.' || chr(10) || 'Answer: Question: leaked header' || chr(10) || text || chr(10) || '$\boxed{' || CAST(n_chars % 100 AS VARCHAR) || '}$.'
+           ELSE '<think>' || chr(10) || 'steps for ' || CAST(doc_id AS VARCHAR) || chr(10) || '</think>' || chr(10) || 'We compute it step by step.' || chr(10) || text || chr(10) || 'The value is ' || CAST(n_chars % 100 AS VARCHAR) || '.' || chr(10) || '**Final Answer:** \boxed{' || CAST(n_chars % 100 AS VARCHAR) || '}'
          END AS response
   FROM documents)"""
 
@@ -357,7 +357,15 @@ FROM t2"""
 
 
 QA_RE = r"(?is)^.*question:(.*?)answer:(.*)$"
-GATE_RE = r"\\boxed\{(?:[^{}]|\{[^{}]*\})+\}\s*\$?\s*[.。]?\s*$"
+def _nested(depth: int) -> str:
+    """A character, or braces around text nested at most ``depth`` levels deeper (RE2 has no recursion)."""
+    unit = "[^{}]"
+    for _ in range(depth):
+        unit = r"(?:[^{}]|\{" + unit + r"*\})"
+    return unit
+
+
+GATE_RE = r"\\boxed\{" + _nested(21) + r"+\}\s*\$?\s*[.。]?\s*$"
 
 QA = f"""
 qa0 AS (

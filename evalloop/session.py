@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,28 +46,54 @@ def get_spark(master: str | None = None, app: str = "evalloop",
 
 
 def tune_session(spark: SparkSession) -> None:
-    """Session settings the jobs rely on for speed (results are unchanged).
+    """Session settings the jobs rely on for speed (results are unchanged), and the package for the workers.
 
     JVM case mapping: ``lower`` via ICU is several times slower on long texts.
     """
     spark.conf.set("spark.sql.icu.caseMappings.enabled", "false")
+    ship_package(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local
-    runs, tests) do we pick a fresh scratch folder of our own.
+    A cluster names a shared folder there, and without one this raises: a folder of
+    our own would be another one on every machine.  Only local runs and tests,
+    where all tasks share the machine, get a fresh scratch folder.
     """
     conf = spark.sparkContext.getConf()
     path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         path = tempfile.mkdtemp(prefix="evalloop-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    Functions of the package are sent to the workers by name; without it they can
+    only be found where the driver's folder is on the workers' path.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_evalloop_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="evalloop-code-"), "evalloop.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("evalloop", os.path.relpath(path, home)))
+    sc.addPyFile(archive)
+    sc._evalloop_shipped = True
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as a parquet table in the shared checkpoint folder and read it back.
 
@@ -73,14 +101,27 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     executor can read, so a lost executor never recomputes upstream work) but
     computed once: an uncached ``checkpoint()`` evaluates the plan twice.
     """
-    import uuid
-
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
+def tables_root(spark: SparkSession) -> str:
+    """Where this application's stored tables lie: a folder of its own below the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Delete the tables that :func:`cut_lineage` stored in this application; call it when their readers are done.
+
+    Tables of other applications stay.  Works on any file system Spark can write.
+    """
+    jvm, root = spark.sparkContext._jvm, tables_root(spark)
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # Fan-out for spreading a coarse input: enough for the CPU work of one small
 # file, without thousands of near-empty tasks on a large cluster (an explicit
 # repartition count is not coalesced by AQE).

@@ -14,7 +14,6 @@ that the DuckDB oracle in :mod:`evalloop.plans.oracle` builds the same rows):
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,25 +28,12 @@ _LOCK = threading.Lock()
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
-    """Identity of the input files: local paths by ``stat``; other file systems
-    through Spark's file listing (count, total size, latest change: one row)."""
+    """Identity of the input files on any file system: path, size and time of each, summed up by Spark."""
     h = hashlib.sha1(sf_dir.rstrip("/").encode())
-    local = "://" not in sf_dir or sf_dir.startswith("file://")
     for t in tables:
-        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        if local:
-            try:
-                st = os.stat(p.replace("file://", ""))
-                h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
-                continue
-            except OSError:
-                pass
-        try:
-            r = (spark.read.format("binaryFile").load(p)
-                 .agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")).first())
-            h.update(f"{t}:{r[0]}:{r[1]}:{r[2]}".encode())
-        except Exception:
-            h.update(t.encode())
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        r = files.agg(F.count("*"), F.sum("length"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+        h.update(f"{t}:{r[0]}:{r[1]}:{r[2]}".encode())
     return h.hexdigest()[:16]
 
 
@@ -130,7 +116,8 @@ def doc_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     solution = (F.when(m == 0, F.concat(F.lit("Reasoning.\n"), boxed_answer))
                 .when(m == 1, F.concat(F.lit("Reasoning.\n#### "), _s("n_chars")))
                 .when(m == 2, F.lit("Reasoning without a final line"))
-                .when(m == 3, F.lit("")))
+                .when(m == 3, F.lit(""))
+                .when(m == 5, F.col("text")))
     final = F.when(m.isin(2, 3), _s(F.col("n_chars") % 97)).when(m == 4, F.lit(" "))
     return d.select("doc_id", "source", problem.alias("problem"), question.alias("question"),
                     solution.alias("solution"), final.alias("final_answer"))
@@ -145,20 +132,21 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("doc_id") % 8
     q = F.col("text")
     box = F.concat(F.lit("$\\boxed{"), _s(F.col("n_chars") % 100), F.lit("}$."))
-    work = F.concat(F.lit("We compute it step by step.\nThe value is "), _s(F.col("n_chars") % 100), F.lit(".\n"))
+    deep = F.concat(F.lit("$\\boxed{" + "{" * 20), _s(F.col("n_chars") % 100), F.lit("}" * 20 + "}$."))
+    work = F.concat(F.lit("We compute it step by step.\n"), q, F.lit("\nThe value is "), _s(F.col("n_chars") % 100), F.lit(".\n"))
     resp = (
         F.when(m == 0, F.concat(F.lit("Question:\n"), q, F.lit("\nAnswer:\n"), work, box))
         .when(m == 1, F.concat(F.lit("<think>draft</think>\nQuestion: New problem about item "), _s("doc_id"),
-                               F.lit(" and its parts?\nAnswer: "), work, box))
+                               F.lit(" and its parts?\nAnswer: "), work, deep))
         .when(m == 2, F.concat(F.lit("Question: Short?\nAnswer: "), work, box))
         .when(m == 3, F.concat(F.lit("Question: A different question about "), _s("n_chars"),
                                F.lit(" things.\nAnswer: "), work, F.lit("no box here")))
         .when(m == 4, F.concat(F.lit("question: first draft about "), _s("doc_id"), F.lit(" items and more"),
                                F.lit("\nANSWER: answer: "), work, box, F.lit("\nQuestion:")))
-        .when(m == 5, F.concat(F.lit("<Plan>plan ") , _s("doc_id"), F.lit("<Solve>solve</Solve><Answer>"),
+        .when(m == 5, F.concat(F.lit("<Plan>plan "), _s("doc_id"), F.lit(" "), q, F.lit("<Solve>solve</Solve><Answer>"),
                                box, F.lit("</Answer>")))
         .when(m == 6, F.concat(F.lit("Question: Find the value for record "), _s("doc_id"),
-                               F.lit(" please.\nAnswer: Question: leaked header\n"), box))
+                               F.lit(" please.\nAnswer: Question: leaked header\n"), q, F.lit("\n"), box))
         .otherwise(F.concat(F.lit("<think>\nsteps for "), _s("doc_id"), F.lit("\n</think>\n"), work,
                             F.lit("**Final Answer:** \\boxed{"), _s(F.col("n_chars") % 100), F.lit("}")))
     )

@@ -32,6 +32,7 @@ CANDIDATE_SCHEMA = T.StructType([
 ])
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -46,8 +47,6 @@ def start_incremental_judge(spark: SparkSession, source_dir: str, problems: Data
     cluster pass ``rocksdb_state=True`` for a new checkpoint (the provider of an
     existing checkpoint cannot change).
     """
-    if rocksdb_state:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     stream = spark.readStream.schema(CANDIDATE_SCHEMA).format(file_format).load(source_dir)
     gold = jd.gold_finals(problems.filter(F.col("judge_key").isNotNull()), "judge_key", keep=["dataset"])
     cands = stream.dropDuplicates(["judge_key", "cand_idx"])
@@ -68,7 +67,15 @@ def start_incremental_judge(spark: SparkSession, source_dir: str, problems: Data
     w = (per_q.writeStream.outputMode("update").foreachBatch(handle)
          .option("checkpointLocation", checkpoint_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    # The provider is read when a query starts; other queries of the session keep theirs.
+    before = spark.conf.get(PROVIDER, None)
+    if rocksdb_state:
+        spark.conf.set(PROVIDER, ROCKSDB_PROVIDER)
+    try:
+        return w.start()
+    finally:
+        if rocksdb_state:
+            spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
 
 
 def current_verdicts(spark: SparkSession, store_dir: str) -> DataFrame:
