@@ -99,10 +99,10 @@ def sample_per_group(df: DataFrame, group_col: str, key_col: str, n: int = 4, se
             .filter(F.col("sample_rank") < n).drop("_h"))
 
 
-def pick_one(df: DataFrame, key_col: str, seed: int = 42) -> DataFrame:
-    """L4: one row chosen by the smallest seeded hash (deterministic 'random')."""
-    h = F.xxhash64(F.col(key_col), F.lit(seed))
-    best = df.select(F.min_by(F.col(key_col), F.struct(h, F.col(key_col))).alias("_pick"))
+def pick_one(df: DataFrame, key_col: str, seed: int = 42, order: Column | None = None) -> DataFrame:
+    """L4: the row whose key has the smallest seeded hash, or the smallest ``order`` (ties by key)."""
+    h = F.xxhash64(F.col(key_col), F.lit(seed)) if order is None else order
+    best = df.select(F.min_by(F.col(key_col), F.struct(h, F.col(key_col))).alias("_pick"))  # one row
     return df.join(F.broadcast(best), F.col(key_col) == F.col("_pick"), "left_semi")
 
 
@@ -113,9 +113,9 @@ def head_limit(df: DataFrame, n: int | None, order_cols: Sequence[str]) -> DataF
     return df.orderBy(*order_cols).limit(int(n))
 
 
-def seeded_shuffle(df: DataFrame, key_cols: Sequence[str], seed: int = 42) -> DataFrame:
-    """Reproducible shuffle order, exposed as a ``shuffle_rank`` sort key."""
-    h = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
+def seeded_shuffle(df: DataFrame, key_cols: Sequence[str], seed: int = 42, order: Column | None = None) -> DataFrame:
+    """Reproducible shuffle order, exposed as a ``shuffle_key`` to sort by."""
+    h = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)) if order is None else order
     return df.withColumn("shuffle_key", h)
 
 

@@ -531,7 +531,7 @@ SELECT judge_key,
        CASE WHEN strpos(question, {lit(pr.FINAL_ANSWER_INSTRUCTION)}) > 0 THEN question
             WHEN rtrim(question, {WS_CHARS}) <> '' THEN rtrim(question, {WS_CHARS}) || chr(10) || chr(10) || {lit(pr.FINAL_ANSWER_INSTRUCTION)}
             ELSE {lit(pr.FINAL_ANSWER_INSTRUCTION)} END AS user_prompt,
-       {lit(pr.DEFAULT_SYSTEM_PROMPT)} AS system_prompt, 2 AS n_messages
+       {lit(pr.DEFAULT_SYSTEM_PROMPT)} AS system_prompt, 'system: ' || {lit(pr.DEFAULT_SYSTEM_PROMPT)} || chr(10) || 'user: ' || user_prompt AS messages
 FROM gold"""
 
 
@@ -736,3 +736,93 @@ SELECT CASE WHEN GROUPING(dataset) = 0 THEN 'dataset' ELSE 'overall' END AS scop
        CAST(sum(CAST(pass_at_k AS INTEGER)) AS DOUBLE) / count(*) AS pass_at_k
 FROM pq WHERE sample_index IN (SELECT l_orderkey FROM lineitem)
 GROUP BY GROUPING SETS ((k, dataset), (k))"""
+
+
+def q_provenance() -> str:
+    return """
+SELECT doc_id, source AS dataset, 'docs/' || source AS dataset_id, CASE source WHEN 'src0' THEN 'hard' ELSE 'easy' END AS difficulty,
+       row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS sample_index
+FROM documents WHERE source IN ('src0', 'src1')"""
+
+
+def q_difficulty_preset() -> str:
+    return """
+SELECT source AS dataset, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS sample_index,
+       CASE WHEN source = 'src0' THEN 'hard' ELSE 'unknown' END AS difficulty
+FROM documents"""
+
+
+def q_pick_one() -> str:
+    return f"SELECT doc_id, source FROM documents ORDER BY {SEEDED.format(c='doc_id')}, doc_id LIMIT 1"
+
+
+def q_seeded_shuffle() -> str:
+    return """
+SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY (o_orderkey * 48271 + 7) % 2147483647, o_orderkey) - 1 AS place
+FROM orders"""
+
+
+def q_missing_shards() -> str:
+    return """
+SELECT DISTINCT 'shard-' || CAST(l_partkey % 97 AS VARCHAR) AS file FROM lineitem
+WHERE l_partkey % 97 NOT IN (SELECT p_partkey % 97 FROM part WHERE p_partkey % 97 < 60)"""
+
+
+def q_union_columns() -> str:
+    return """
+SELECT doc_id AS id, lang, CAST(NULL AS INTEGER) AS size FROM documents
+UNION ALL SELECT item_id, NULL, CAST(length(text) AS INTEGER) FROM benchmark"""
+
+
+def q_judged_rows() -> str:
+    return _with(GOLD, CANDS, VERDICTS, per_question((8,))) + """
+SELECT judge_key, n_candidates, pass_at_k FROM pq WHERE n_candidates > 2 AND sample_index % 4 <> 0"""
+
+
+def q_mixed_k_summary() -> str:
+    return _with(GOLD, CANDS, VERDICTS, per_question((1, 3, 8))) + """
+SELECT count(*) AS count, avg(CAST(pass_at_1 AS INTEGER)) AS pass_at_1, avg(CAST(pass_at_k AS INTEGER)) AS pass_at_k,
+       CAST(max(k) AS INTEGER) AS k, count(DISTINCT k) AS n_distinct_k, count(*) FILTER (WHERE k <> n_candidates) AS k_mismatch
+FROM pq WHERE k = CASE sample_index % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 8 END"""
+
+
+def q_stripped_validation() -> str:
+    msgs = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in _rule_messages().items())
+    return _with(RAW, VALID_IN) + f""",
+own AS (
+  SELECT row_idx, rule FROM rules WHERE rule NOT IN ('no_leading_think', 'think_count', 'think_order', 'empty_think')
+  UNION ALL SELECT row_idx, 'unexpected_think' FROM v4 WHERE outs <> '' AND (strpos(output, '<think>') > 0 OR strpos(output, '</think>') > 0))
+SELECT row_idx, rule, CASE rule {msgs} END AS message FROM own"""
+
+
+def q_tolerant_log() -> str:
+    return """
+SELECT 'k' || CAST(event_id AS VARCHAR) AS key, CASE WHEN event_id % 6 = 0 THEN CAST(user_id AS BIGINT) END AS v
+FROM events WHERE event_id % 6 IN (0, 1)"""
+
+
+def q_manifest() -> str:
+    return """
+SELECT o_orderpriority AS dataset_name, 'f' || CAST(max(o_orderkey) AS VARCHAR) AS file_name, max(o_orderkey) AS version
+FROM orders GROUP BY 1"""
+
+
+def q_split_choice() -> str:
+    return "SELECT doc_id, 'validation' AS split FROM documents WHERE doc_id % 3 = 0"
+
+
+def q_loop_two_rounds() -> str:
+    """Round ``iter`` answers every (iter + 2)-th order with the gold answer; k = 1."""
+    return _with(GOLD, CANDS, VERDICTS) + """,
+rounds AS (SELECT unnest([0, 1, 2]) AS iter),
+firsts AS (
+  SELECT iter, CAST(v.final_correct OR (v.sample_index % (iter + 2) = 0 AND v.sample_index IN (SELECT l_orderkey FROM lineitem)) AS INTEGER) AS ok
+  FROM verdicts v, rounds WHERE v.cand_idx = 0),
+rates AS (SELECT iter, CAST(count(*) AS DOUBLE) AS n, CAST(sum(ok) AS DOUBLE) / count(*) AS rate FROM firsts GROUP BY iter),
+long AS (
+  SELECT CAST(iter AS INTEGER) AS iter, 'count' AS metric, n AS value FROM rates
+  UNION ALL SELECT CAST(iter AS INTEGER), 'pass@1', rate FROM rates
+  UNION ALL SELECT CAST(iter AS INTEGER), 'pass@k', rate FROM rates)
+SELECT iter, metric, value, lag(value) OVER w AS prev_value, value - lag(value) OVER w AS delta,
+       first_value(value) OVER w AS base_value, value - first_value(value) OVER w AS base_delta
+FROM long WINDOW w AS (PARTITION BY metric ORDER BY iter)"""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalloop.functions import text as tx
 from evalloop.operators import enrich as en
@@ -249,7 +250,8 @@ def merge_training(spark: SparkSession, sf: str) -> DataFrame:
 def prompt_table(spark: SparkSession, sf: str) -> DataFrame:
     """Q1/Q4: inference prompts for every gold problem."""
     p = pr.prompt_table(fx.gold_problems(spark, sf), key="judge_key")
-    return p.select("judge_key", "user_prompt", "system_prompt", F.size("messages").alias("n_messages"))
+    text = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return p.select("judge_key", "user_prompt", "system_prompt", F.array_join(text, "\n").alias("messages"))
 
 
 def training_prompts(spark: SparkSession, sf: str) -> DataFrame:
@@ -377,7 +379,7 @@ def loop_two_rounds(spark: SparkSession, sf: str) -> DataFrame:
 
     seed = training_build(spark, sf).select("instruction", "input", "output")
     cfg = lp.LoopConfig(root=root, rounds=2, k=1, samples_per_case=1, max_attempts=2, base_sleep=0.0)
-    return lp.run_loop(spark, cfg, gold, seed, infer, stubs.attribution_model, stubs.generation_model)
+    return lp.run_loop(spark, cfg, gold, seed, infer, stubs.attribution_model, stubs.generation_model).drop("run_name")
 
 
 # ---------------------------------------------------------------------------
@@ -466,3 +468,107 @@ def running_stats(spark: SparkSession, sf: str) -> DataFrame:
     q = inc.start_incremental_judge(spark, f"{root}/drops/*", gold, f"{root}/store", f"{root}/ckpt", k=DEFAULT_K)
     q.awaitTermination()
     return inc.running_stats(spark, f"{root}/store")
+
+
+def provenance(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of two sources, tagged with where they come from and indexed within it."""
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", "source")
+    parts = [sh.tag_provenance(docs.filter(F.col("source") == s), s, f"docs/{s}", level, ["doc_id"])
+             for s, level in (("src0", "hard"), ("src1", "easy"))]
+    return mg.union_datasets(parts).select(
+        "doc_id", *[F.col("_" + c).alias(c) for c in ("dataset", "dataset_id", "difficulty", "sample_index")])
+
+
+def difficulty_preset(spark: SparkSession, sf: str) -> DataFrame:
+    """The dataset whose id has a preset difficulty, among others."""
+    raw = fx.doc_problems(spark, sf)
+    ident = F.when(F.col("source") == "src0", F.lit(sh.MATH500_ID)).otherwise(F.concat(F.lit("docs/"), F.col("source")))
+    rows = sh.benchmark_rows(raw, F.col("source"), ident, order_cols=["doc_id"])
+    return rows.select("dataset", "sample_index", "difficulty")
+
+
+def pick_one(spark: SparkSession, sf: str) -> DataFrame:
+    """L4: one document by seeded hash."""
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", "source")
+    return sm.pick_one(docs, "doc_id", order=seeded_order("doc_id"))
+
+
+def seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
+    """L5/L6 + L2: the orders' places in a seeded shuffle."""
+    o = fx.read_table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    shuffled = sm.seeded_shuffle(o, ["o_orderkey"], order=seeded_order("o_orderkey", 7))
+    return sm.index_within_group(shuffled, ["o_orderpriority"], ["shuffle_key", "o_orderkey"], "place").select(
+        "o_orderkey", "place")
+
+
+def missing_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """Shards that an index of the line items' parts names and a listing of the stored ones lacks."""
+    index = fx.read_table(spark, sf, "lineitem").select(F.create_map(
+        F.concat(F.lit("layer."), F.col("l_linenumber").cast("string")),
+        F.concat(F.lit("shard-"), (F.col("l_partkey") % 97).cast("string"))).alias("weight_map"))
+    listing = fx.read_table(spark, sf, "part").filter(F.col("p_partkey") % 97 < 60).select(
+        F.concat(F.lit("shard-"), (F.col("p_partkey") % 97).cast("string")).alias("file")).distinct()
+    return sm.missing_shards(index, listing)
+
+
+def union_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of different columns as one table, the missing ones null."""
+    docs = fx.read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
+    items = fx.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.length("text").alias("size"))
+    return mg.union_datasets([docs, items]).select("id", "lang", "size")
+
+
+def judged_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """F6 + D7: rows that have a verdict and whose question is in the current set."""
+    pq = per_question(spark, sf, ks=(DEFAULT_K,))
+    partly = pq.withColumn("pass_at_k", F.when(F.col("n_candidates") > 2, F.col("pass_at_k")))
+    current = fx.gold_problems(spark, sf).filter(F.col("sample_index") % 4 != 0).select("judge_key")
+    return jd.judged_only(jd.restrict_to_current(partly, current)).select("judge_key", "n_candidates", "pass_at_k")
+
+
+def mixed_k_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """J8 + J4: one summary over rows judged with different k, with the mismatches counted."""
+    own = F.when(F.col("sample_index") % 3 == 0, 1).when(F.col("sample_index") % 3 == 1, 3).otherwise(8)
+    return mt.overall_summary(per_question(spark, sf).filter(F.col("k") == own)).select(
+        "count", "pass_at_1", "pass_at_k", "k", "n_distinct_k", "k_mismatch")
+
+
+def stripped_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """V1 in stripped mode."""
+    return va.validate_rows(_validation_input(spark, sf), mode="stripped")
+
+
+def tolerant_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A log of JSON lines with defects, written and read back; every object with a key stays."""
+    from evalloop.sources import io
+    e = fx.read_table(spark, sf, "events").select("event_id", "user_id")
+    m, key, v = F.col("event_id") % 6, F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    line = (F.when(m == 0, F.concat(F.lit('{"key": "k'), key, F.lit('", "v": '), v, F.lit("}")))
+            .when(m == 1, F.concat(F.lit('  {"v": "text", "key": "k'), key, F.lit('"}')))
+            .when(m == 2, F.concat(F.lit('{"key": "k'), key, F.lit('", "v": ')))
+            .when(m == 3, F.concat(F.lit('{"key": "", "v": '), v, F.lit("}")))
+            .when(m == 4, F.concat(F.lit('[{"key": "k'), key, F.lit('"}]'))).otherwise(F.lit("")))
+    path = _scratch(spark, "log")
+    e.select(line.alias("value")).write.text(path)
+    return io.read_keyed_jsonl(spark, path, T.StructType([T.StructField("key", T.StringType()), T.StructField("v", T.LongType())]),
+                               "key").select("key", "v")
+
+
+def manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """A registry of files per dataset; the highest version wins."""
+    from evalloop.sources import io
+    o = fx.read_table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("dataset_name"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("file_name"),
+        F.col("o_orderkey").alias("version"))
+    odd = F.col("version") % 2 == 1
+    return io.upsert_manifest(o.filter(~odd), o.filter(odd)).select("dataset_name", "file_name", "version")
+
+
+def split_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents stored by split; without the asked one, the first of the preference order is read."""
+    from evalloop.sources import io
+    docs = fx.read_table(spark, sf, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 3 == 0, "validation").otherwise("train").alias("split"))
+    path = _scratch(spark, "splits")
+    io.write_table(docs, path, partition_by=["split"])
+    return io.resolve_split(spark, path, "test").select("doc_id", "split")

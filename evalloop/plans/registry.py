@@ -44,7 +44,7 @@ REGISTRY = {
     "attribution_job": (q.attribution_job, oq.q_attribution_job),
     "generation_job": (q.generation_job, oq.q_generation_job),
     "incremental_judge": (q.incremental_judge, oq.q_incremental_judge),
-    "loop_two_rounds": (q.loop_two_rounds, None),
+    "loop_two_rounds": (q.loop_two_rounds, oq.q_loop_two_rounds),
     "flat_boxed": (q.flat_boxed, oq.q_flat_boxed),
     "response_text": (q.response_text, oq.q_response_text),
     "recover_user_text": (q.recover_user_text, oq.q_recover_user_text),
@@ -54,4 +54,16 @@ REGISTRY = {
     "latest_checkpoint": (q.latest_checkpoint, oq.q_latest_checkpoint),
     "cot_job": (q.cot_job, oq.q_cot_job),
     "running_stats": (q.running_stats, oq.q_running_stats),
+    "provenance": (q.provenance, oq.q_provenance),
+    "difficulty_preset": (q.difficulty_preset, oq.q_difficulty_preset),
+    "pick_one": (q.pick_one, oq.q_pick_one),
+    "seeded_shuffle": (q.seeded_shuffle, oq.q_seeded_shuffle),
+    "missing_shards": (q.missing_shards, oq.q_missing_shards),
+    "union_columns": (q.union_columns, oq.q_union_columns),
+    "judged_rows": (q.judged_rows, oq.q_judged_rows),
+    "mixed_k_summary": (q.mixed_k_summary, oq.q_mixed_k_summary),
+    "stripped_validation": (q.stripped_validation, oq.q_stripped_validation),
+    "tolerant_log": (q.tolerant_log, oq.q_tolerant_log),
+    "manifest": (q.manifest, oq.q_manifest),
+    "split_choice": (q.split_choice, oq.q_split_choice),
 }
