@@ -106,6 +106,22 @@ def pick_one(df: DataFrame, key_col: str, seed: int = 42, order: Column | None =
     return df.join(F.broadcast(best), F.col(key_col) == F.col("_pick"), "left_semi")
 
 
+#: Outputs per question that the sampler may draw; arrays of outputs hold no more.
+SAMPLER_N = 1024
+
+
+def bounded_outputs(candidates: DataFrame, most: int = SAMPLER_N, cand_idx: str = "cand_idx") -> DataFrame:
+    """``candidates``, checked row by row: an index of ``most`` or more is an error.
+
+    Outputs of a question are numbered from 0, so what is gathered into one row
+    per question (prompts, prediction arrays) stays below ``most`` outputs; a
+    question beyond the sampler's n stops the job instead of filling one task.
+    """
+    ok = F.when(F.col(cand_idx) < most, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit(f"more than {most} outputs of a question: index "), F.col(cand_idx).cast("string"))).cast("boolean"))
+    return candidates.filter(ok)
+
+
 def head_limit(df: DataFrame, n: int | None, order_cols: Sequence[str]) -> DataFrame:
     """L1: first ``n`` rows by input order; ``None``/0 keeps all (CLI truthiness)."""
     if not n:

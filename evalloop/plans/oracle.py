@@ -826,3 +826,29 @@ long AS (
 SELECT iter, metric, value, lag(value) OVER w AS prev_value, value - lag(value) OVER w AS delta,
        first_value(value) OVER w AS base_value, value - first_value(value) OVER w AS base_delta
 FROM long WINDOW w AS (PARTITION BY metric ORDER BY iter)"""
+
+
+def q_answer_values() -> str:
+    return """
+WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, o_orderkey % 8 AS m FROM orders)
+SELECT o_orderkey,
+       CASE m WHEN 1 THEN '' WHEN 2 THEN '{"x":' || k || '}' WHEN 4 THEN '[' || k || ',2]' WHEN 5 THEN '' ELSE k END AS "any",
+       CASE WHEN m = 1 THEN '' ELSE k END AS boxed,
+       CASE m WHEN 0 THEN k WHEN 1 THEN '["' || k || '","2"]' ELSE '' END AS listed,
+       CASE WHEN m % 2 = 0 THEN k WHEN m = 1 THEN '{"x":"' || k || '"}' ELSE '' END AS mapped
+FROM o"""
+
+
+def q_prompt_questions() -> str:
+    rowjson = "to_json(struct_pack(doc_id := doc_id, problem := problem, question := question, _dataset_id := ident))::VARCHAR"
+    return _with(DOC_PROBLEMS) + f""",
+p AS (SELECT *, CASE source WHEN 'src0' THEN 'openai/gsm8k' WHEN 'src1' THEN 'HuggingFaceH4/MATH-500' ELSE 'docs' END AS ident FROM rawp)
+SELECT doc_id, CASE WHEN source = 'src0' THEN coalesce({nonblank('question')}, {rowjson})
+                    ELSE coalesce({nonblank('problem')}, {nonblank('question')}, {rowjson}) END AS asked
+FROM p"""
+
+
+def q_completions_to_predictions() -> str:
+    return _with(GOLD, CANDS, VERDICTS) + """,
+f AS (SELECT sample_index, string_agg(fa, '|' ORDER BY cand_idx) AS finals FROM pf GROUP BY sample_index)
+SELECT g.sample_index, coalesce(f.finals, '') AS finals FROM gold g LEFT JOIN f ON g.sample_index = f.sample_index"""

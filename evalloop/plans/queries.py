@@ -271,7 +271,7 @@ def attribution_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """Q6: one prompt per bad case with its failed predictions in candidate order."""
     bad, cands = _bad_with_candidates(spark, sf)
     cands = cands.join(bad.select("sample_index").distinct(), "sample_index", "left_semi")
-    preds = cands.groupBy("sample_index").agg(
+    preds = sm.bounded_outputs(cands).groupBy("sample_index").agg(
         F.array_sort(F.collect_list(F.struct("cand_idx", "text"))).alias("_p"))
     rows = bad.join(preds, "sample_index", "left").withColumn(
         "predictions", F.transform(F.coalesce(F.col("_p"), F.array()), lambda s: s["text"]))
@@ -572,3 +572,34 @@ def split_choice(spark: SparkSession, sf: str) -> DataFrame:
     path = _scratch(spark, "splits")
     io.write_table(docs, path, partition_by=["split"])
     return io.resolve_split(spark, path, "test").select("doc_id", "split")
+
+
+def answer_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of every shape (a variant by row, a struct, an array, a map) as text."""
+    k = F.col("o_orderkey").cast("string")
+    m = F.col("o_orderkey") % 8
+    raw = (F.when(m == 0, F.concat(F.lit('{"value": " '), k, F.lit(' "}'))).when(m == 1, F.lit('{"value": null}'))
+           .when(m == 2, F.concat(F.lit('{"x":'), k, F.lit("}"))).when(m == 3, F.concat(F.lit("["), k, F.lit("]")))
+           .when(m == 4, F.concat(F.lit("["), k, F.lit(",2]"))).when(m == 5, F.lit("null"))
+           .when(m == 6, F.concat(F.lit('" '), k, F.lit('  "'))).otherwise(k))
+    o = fx.read_table(spark, sf, "orders").select("o_orderkey").select(
+        "o_orderkey", F.parse_json(raw).alias("any"), F.struct(F.when(m != 1, F.concat(F.lit(" "), k)).alias("value")).alias("boxed"),
+        F.when(m == 0, F.array(k)).when(m == 1, F.array(k, F.lit("2"))).alias("listed"),
+        F.when(m % 2 == 0, F.create_map(F.lit("value"), k)).when(m == 1, F.create_map(F.lit("x"), k)).alias("mapped"))
+    return o.select("o_orderkey", *[sh.answer_value(o, c).alias(c) for c in ("any", "boxed", "listed", "mapped")])
+
+
+def prompt_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The question field that a row's dataset uses, else the row's JSON."""
+    raw = fx.doc_problems(spark, sf)
+    ident = F.when(F.col("source") == "src0", "openai/gsm8k").when(F.col("source") == "src1", sh.MATH500_ID).otherwise("docs")
+    rows = raw.select("doc_id", "problem", "question", ident.alias("_dataset_id"))
+    return rows.select("doc_id", sh.prompt_question(rows).alias("asked"))
+
+
+def completions_to_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """T9 + T5 + P14: completions, normalised to three sections first, as one row of predictions per question."""
+    gold = fx.gold_problems(spark, sf)
+    comp = fx.candidates(spark, sf).withColumn("text", tx.three_sections("text"))
+    rows = sh.prediction_rows(gold, comp, key="sample_index")
+    return rows.select("sample_index", F.array_join(F.transform("predictions", lambda p: p["final_answer"]), "|").alias("finals"))

@@ -66,4 +66,7 @@ REGISTRY = {
     "tolerant_log": (q.tolerant_log, oq.q_tolerant_log),
     "manifest": (q.manifest, oq.q_manifest),
     "split_choice": (q.split_choice, oq.q_split_choice),
+    "answer_values": (q.answer_values, oq.q_answer_values),
+    "prompt_questions": (q.prompt_questions, oq.q_prompt_questions),
+    "completions_to_predictions": (q.completions_to_predictions, oq.q_completions_to_predictions),
 }

@@ -80,3 +80,12 @@ def test_only_keys_are_range_partitioned_and_only_once(spark):
     with contextlib.redirect_stdout(out):
         sm.index_within_group(df, ["g"], ["o"]).explain("formatted")
     assert "rangepartitioning" not in out.getvalue() and "Python" not in out.getvalue() and "MapIn" not in out.getvalue()
+
+
+def test_more_outputs_than_the_sampler_draws_are_an_error(spark):
+    import pytest
+
+    c = spark.createDataFrame([("q", 0), ("q", 1), ("q", 2)], "key string, cand_idx int")
+    assert sm.bounded_outputs(c, 3).count() == 3
+    with pytest.raises(Exception, match="more than 2 outputs"):
+        sm.bounded_outputs(c, 2).collect()
