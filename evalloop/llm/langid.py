@@ -8,6 +8,8 @@ number of words); the largest proportion of the chosen set is the prediction.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +22,8 @@ from evalloop.llm.terms import Remembered, gram_slots, words
 SAMPLE = 3_000
 SLOTS, GRAMS, SMOOTHING = 1 << 16, (3,), 0.5
 STEPS, MOST_LANGUAGES = 12, 4
+#: Documents that take their steps together.
+TOGETHER = 64
 
 
 def _word(word: str) -> bool:
@@ -51,40 +55,76 @@ class Languages:
     def mixtures(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """The best language and its proportion for documents given as (word logs, counts), none empty.
 
-        All documents of a batch take their steps together.
+        Languages join a document's set in order of their proportions in the mixture of all, as long as the
+        likelihood gains more than the penalty.  All documents of a batch take their steps together.
         """
         logs = np.concatenate([d[0] for d in docs])
         counts = np.concatenate([d[1] for d in docs])
-        starts = np.cumsum([0, *[len(d[1]) for d in docs[:-1]]])
-        doc = np.repeat(np.arange(len(docs)), [len(d[1]) for d in docs])
-        sizes = np.add.reduceat(counts, starts)
-        top = logs.max(axis=1, keepdims=True)
-        like = np.exp(logs - top)
-        floor = np.add.reduceat(counts * top[:, 0], starts)
-
-        def steps(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            share = allowed / allowed.sum(axis=1, keepdims=True)
-            for k in range(STEPS + 1):
-                joint = share[doc] * like
-                total = np.maximum(joint.sum(axis=1), 1e-300)
-                if k < STEPS:
-                    share = np.add.reduceat(joint * (counts / total)[:, None], starts) / sizes[:, None]
-            return share, floor + np.add.reduceat(counts * np.log(total), starts)
-
-        whole, _ = steps(np.ones((len(docs), len(self.names))))
+        lengths = np.array([len(d[1]) for d in docs])
+        whole, _ = self._steps(logs, counts, lengths, np.ones((len(docs), len(self.names))))
+        starts = np.cumsum(lengths) - lengths
         single = np.add.reduceat(counts[:, None] * logs, starts)
-        rank = np.argsort(np.argsort(-whole - 1e-9 * (single - single.max(axis=1, keepdims=True) > -1e-9), axis=1), axis=1)
-        best = single.argmax(axis=1)
-        score, chosen = single.max(axis=1), np.zeros_like(whole)
-        chosen[np.arange(len(docs)), best] = 1.0
+        score, best = single.max(axis=1), single.argmax(axis=1)
+        rank = np.argsort(np.argsort(-whole, axis=1, kind="stable"), axis=1)
+        going = np.arange(len(docs))
         for k in range(2, min(MOST_LANGUAGES, len(self.names)) + 1):
-            share, fit = steps((rank < k).astype(float))
+            some = np.isin(np.repeat(np.arange(len(docs)), lengths), going)
+            share, fit = self._steps(logs[some], counts[some], lengths[going], (rank[going] < k).astype(float))
+            sizes = np.add.reduceat(counts[some], np.cumsum(lengths[going]) - lengths[going])
             fit = fit - 0.5 * (k - 1) * np.log(sizes + 1)
-            better = fit > score
-            score[better], chosen[better] = fit[better], share[better]
-        best = chosen.argmax(axis=1)
+            better = fit > score[going]
+            going = going[better]
+            if not len(going):
+                break
+            score[going], best[going] = fit[better], share[better].argmax(axis=1)
         return best, np.clip(whole[np.arange(len(docs)), best], 0.0, 1.0)
 
+    @staticmethod
+    def _steps(logs: np.ndarray, counts: np.ndarray, lengths: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions of the allowed languages after the steps of EM, and the log-likelihood under them."""
+        starts = np.cumsum(lengths) - lengths
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        sizes = np.add.reduceat(counts, starts)
+        top = logs.max(axis=1)
+        like = np.exp(logs - top[:, None])
+        share = allowed / allowed.sum(axis=1, keepdims=True)
+        for _ in range(STEPS):
+            joint = share[doc] * like
+            joint *= (counts / np.maximum(joint.sum(axis=1), 1e-300))[:, None]
+            share = np.add.reduceat(joint, starts) / sizes[:, None]
+        total = np.maximum((share[doc] * like).sum(axis=1), 1e-300)
+        return share, np.add.reduceat(counts * (top + np.log(total)), starts)
+
+
+class KnownWords:
+    """Word logs of one worker, by place; forgotten between batches when there are more than ``most``."""
+
+    def __init__(self, languages: Languages, most: int = 300_000):
+        self.languages, self.most = languages, most
+        self.place: dict[str, int] = {}
+        self.logs = np.zeros((0, len(languages.names)))
+
+    def learn(self, words_of_batch: set[str]) -> None:
+        """Adds the new words of a batch: their slots are summed together.  A word without a letter has place -1."""
+        if len(self.place) > self.most:
+            self.place.clear()
+            self.logs = self.logs[:0]
+        new = [w for w in words_of_batch if w not in self.place]
+        self.place.update((w, -1) for w in new)
+        new = [w for w in new if _word(w)]
+        if new:
+            slots = [gram_slots(w, GRAMS, SLOTS) for w in new]
+            starts = np.cumsum([0, *map(len, slots[:-1])])
+            sums = np.add.reduceat(self.languages.logs[[s for row in slots for s in row]], starts)
+            self.place.update(zip(new, range(len(self.logs), len(self.logs) + len(new))))
+            self.logs = np.concatenate([self.logs, sums])
+
+    def of(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Word logs and counts of a document."""
+        at = np.fromiter(map(self.place.__getitem__, counts), np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        return (self.logs[at], n) if (at >= 0).all() else (self.logs[at[at >= 0]], n[at >= 0])
+
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> Languages:
     """Trigram counts by language, summed by Spark; languages times ``SLOTS`` numbers at most reach the driver."""
@@ -127,22 +167,18 @@ def identify(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text
 
     def run(batches):
         own = shared.value
-        known = Remembered(lambda w: own.word_logs(w) if own.names and _word(w) else False, 150_000)
+        known = KnownWords(own)
         for batch in batches:
             names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            at, held = [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                counts: dict[str, int] = {}
-                for w in words(text):
-                    counts[w] = counts.get(w, 0) + 1
-                logs = [(x, n) for x, n in ((known[w], n) for w, n in counts.items()) if x is not False]
-                if logs:
-                    at.append(k)
-                    held.append((np.array([x for x, _ in logs]), np.array([n for _, n in logs], float)))
-            if held:
-                best, share = own.mixtures(held)
-                for k, b, s in zip(at, best.tolist(), share.tolist()):
-                    names[k], scores[k] = own.names[b], s
+            counts = [Counter(words(t)) for t in batch.column("text").to_pylist()] if own.names else []
+            for first in range(0, len(counts), TOGETHER):
+                some = counts[first:first + TOGETHER]
+                known.learn(set().union(*some))
+                held = [(first + k, x) for k, x in enumerate(map(known.of, some)) if len(x[1])]
+                if held:
+                    best, share = own.mixtures([x for _, x in held])
+                    for (k, _), b, s in zip(held, best.tolist(), share.tolist()):
+                        names[k], scores[k] = own.names[b], s
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(names, pa.string()), pa.array(scores)],
                                              names=["_id", "lang_pred", "score"])
 
