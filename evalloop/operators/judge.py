@@ -96,15 +96,18 @@ def pass_at_k(verdicts: DataFrame, ks: Sequence[int], key: str = "judge_key",
 
 
 def pass_at_k_from_candidates(problems: DataFrame, candidates: DataFrame, ks: Sequence[int], key: str = "judge_key",
-                              carry: Sequence[str] = ()) -> DataFrame:
+                              carry: Sequence[str] = (), redelivered: bool = False) -> DataFrame:
     """J1 + J2/J4 in one pass over the candidates: same rows as ``pass_at_k`` over ``judge_candidates``.
 
     Candidates are counted per (key, normalised answer) first, with the smallest
     index of each answer: this combines on the map side and spreads a question
     that holds a third of all candidates over its answers.  Only these counts
     meet the gold answers; a question is one grouped sum of them.  Questions
-    without candidates come from the left join with gold.
+    without candidates come from the left join with gold.  ``redelivered``: a
+    (key, cand_idx) may come more than once and counts once, as in the stream.
     """
+    if redelivered:
+        candidates = candidates.dropDuplicates([key, "cand_idx"])
     gold = gold_finals(problems.filter(F.col(key).isNotNull()), key, keep=carry)
     answers = candidate_finals(candidates, key).groupBy(key, "pred_norm").agg(
         F.count(F.lit(1)).alias("_n"), F.min("cand_idx").alias("_first"))

@@ -65,9 +65,9 @@ def _top_n_rows(table: "pa.Table", group_col: str, key_col: str, n: int) -> "pa.
     return table.take(pa.array(keep.index.to_numpy(), pa.int64()))
 
 
-def sample_per_group(df: DataFrame, group_col: str, key_col: str, n: int = 4, seed: int = 42,
+def sample_per_group(df: DataFrame, group_col: str, key_col: str, n: int | None = 4, seed: int = 42,
                      order=None, compact_rows: int = 65536) -> DataFrame:
-    """L3: ``min(n, size)`` rows per group without replacement, seeded.
+    """L3: ``min(n, size)`` rows per group without replacement, seeded; ``n=None`` keeps all (full mode).
 
     A row's rank is ``xxhash64(key, seed)`` (or the given ``order`` column; ties
     by key), independent of input order.  Map-side top-n first: every input
@@ -78,6 +78,8 @@ def sample_per_group(df: DataFrame, group_col: str, key_col: str, n: int = 4, se
     """
     h = F.xxhash64(F.col(key_col), F.lit(seed)) if order is None else order
     ranked = df.withColumn("_h", h)
+    if n is None:
+        return index_within_group(ranked, [group_col], ["_h", key_col], "sample_rank").drop("_h")
 
     def top_n(batches):
         kept, rows = [], 0

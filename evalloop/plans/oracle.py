@@ -514,9 +514,9 @@ g AS (
               WHEN starts_with(lower(ltrim(a0, chr(32)||chr(9)||chr(10)||chr(13))), 'question:') THEN 'x'
               WHEN length({strip('q0')}) < 20 THEN 'x' END AS reason
   FROM qa)
-SELECT 0 AS part_idx, instruction, input, output FROM training
+SELECT 0 AS part_idx, row_number() OVER (ORDER BY conv_id, turn) - 1 AS part_row, instruction, input, output FROM training
 UNION ALL
-SELECT 1, q0, '', out FROM g WHERE reason IS NULL AND {strip('out')} <> ''"""
+SELECT 1, row_number() OVER (ORDER BY doc_id) - 1, q0, '', out FROM g WHERE reason IS NULL AND {strip('out')} <> ''"""
 
 
 def _prompt_consts():
@@ -852,3 +852,17 @@ def q_completions_to_predictions() -> str:
     return _with(GOLD, CANDS, VERDICTS) + """,
 f AS (SELECT sample_index, string_agg(fa, '|' ORDER BY cand_idx) AS finals FROM pf GROUP BY sample_index)
 SELECT g.sample_index, coalesce(f.finals, '') AS finals FROM gold g LEFT JOIN f ON g.sample_index = f.sample_index"""
+
+
+def q_dataset_full() -> str:
+    return f"""
+SELECT source AS dataset, doc_id, row_number() OVER (PARTITION BY source ORDER BY {SEEDED.format(c='doc_id')}, doc_id) - 1 AS sample_rank
+FROM documents"""
+
+
+def q_validation_report() -> str:
+    return f"SELECT * FROM ({q_validate_rows()}) ORDER BY row_idx, rule LIMIT 20"
+
+
+def q_redelivered_candidates() -> str:
+    return _with(GOLD, CANDS, VERDICTS, per_question((8,))) + "\nSELECT judge_key, n_candidates, pass_at_1, pass_at_k FROM pq"

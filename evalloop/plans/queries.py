@@ -242,9 +242,10 @@ def merge_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def merge_training(spark: SparkSession, sf: str) -> DataFrame:
     """U2 plan: cumulative set = seed (conversation pairs) + accepted synthetic rows, in order."""
-    seed = training_build(spark, sf).select("instruction", "input", "output")
-    synth_rows = synthetic_accept(spark, sf).filter("accepted").select("instruction", F.lit("").alias("input"), "output")
-    return mg.merge_rows([seed, synth_rows]).select("part_idx", "instruction", "input", "output")
+    seed = training_build(spark, sf).select("instruction", "input", "output", F.col("conv_id").alias("a"), F.col("turn").cast("long").alias("b"))
+    synth_rows = synthetic_accept(spark, sf).filter("accepted").select(
+        "instruction", F.lit("").alias("input"), "output", F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"))
+    return mg.merge_rows([seed, synth_rows], order_cols=["a", "b"]).select("part_idx", "part_row", "instruction", "input", "output")
 
 
 def prompt_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -603,3 +604,23 @@ def completions_to_predictions(spark: SparkSession, sf: str) -> DataFrame:
     comp = fx.candidates(spark, sf).withColumn("text", tx.three_sections("text"))
     rows = sh.prediction_rows(gold, comp, key="sample_index")
     return rows.select("sample_index", F.array_join(F.transform("predictions", lambda p: p["final_answer"]), "|").alias("finals"))
+
+
+def dataset_full(spark: SparkSession, sf: str) -> DataFrame:
+    """L3 in full mode: every document with its place in the seeded order of its source."""
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", F.col("source").alias("dataset"))
+    return sm.sample_per_group(docs, "dataset", "doc_id", n=None, order=seeded_order("doc_id")).select(
+        "dataset", "doc_id", "sample_rank")
+
+
+def validation_report(spark: SparkSession, sf: str) -> DataFrame:
+    """V2: the first 20 error lines."""
+    return va.first_errors(validate_rows(spark, sf), 20)
+
+
+def redelivered_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """J2 + I1 in batch: every third output is delivered twice and counts once."""
+    cands = fx.candidates(spark, sf)
+    twice = cands.unionByName(cands.filter(F.col("sample_index") % 3 == 0))
+    return jd.pass_at_k_from_candidates(fx.gold_problems(spark, sf), twice, [DEFAULT_K], key="sample_index", carry=["judge_key"],
+                                        redelivered=True).select("judge_key", "n_candidates", "pass_at_1", "pass_at_k")

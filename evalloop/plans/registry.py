@@ -69,4 +69,7 @@ REGISTRY = {
     "answer_values": (q.answer_values, oq.q_answer_values),
     "prompt_questions": (q.prompt_questions, oq.q_prompt_questions),
     "completions_to_predictions": (q.completions_to_predictions, oq.q_completions_to_predictions),
+    "dataset_full": (q.dataset_full, oq.q_dataset_full),
+    "validation_report": (q.validation_report, oq.q_validation_report),
+    "redelivered_candidates": (q.redelivered_candidates, oq.q_redelivered_candidates),
 }
