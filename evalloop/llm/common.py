@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloop.session import ensure_checkpoint_dir
+from evalloop.session import ensure_checkpoint_dir, ship_package
 
 __all__ = ["WORD", "held_out", "table", "prepare", "cut_lineage", "ensure_checkpoint_dir", "small_side",
            "pair_blocks", "runs_of"]
@@ -23,7 +23,8 @@ BROADCAST_ROWS = 200_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound what one Arrow batch carries to a Python worker, by rows and by bytes."""
+    """Bound what one Arrow batch carries to a Python worker, by rows and by bytes; give the workers this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     ensure_checkpoint_dir(spark)

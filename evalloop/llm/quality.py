@@ -239,4 +239,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     stats = cut_lineage(statistics(docs, text_col, [F.col(id_col)]).withColumnRenamed("_keep0", "_id"), "quality-statistics")
     rules = learn(labelled_cells(stats, labels, "_id"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text_col).alias("_body"))
-    return statistics(whole, "_body", [F.col("_doc")]).filter(verdict(rules)).select("_keep0.*")
+    judged = statistics(whole, "_body", [F.col("_doc")])
+    # not a filter: pushed below the statistics, it would hold a copy of them for every condition that names one
+    return judged.select(F.explode(F.when(verdict(rules), F.array("_keep0"))).alias("_doc")).select("_doc.*")
