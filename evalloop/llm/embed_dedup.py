@@ -62,9 +62,9 @@ def buckets(unit: np.ndarray, signs: np.ndarray, probes: int = PROBES) -> np.nda
     return np.concatenate([own[:, None], np.take_along_axis(moved, near, axis=1)], axis=1)
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    x = np.array(rows, dtype=np.float64)
+def _units(column: pa.ListArray) -> np.ndarray:
+    """Vectors of one length, scaled to length 1 in double precision."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -72,7 +72,8 @@ def classes(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, D
     """Stored tables: ``_id``, ``digest`` of every row (null digest: links with nothing), and the classes of equal vectors."""
     v = F.col("_vec")
     sound = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_vec"))
+    single = vectors.schema[vec_col].dataType.elementType.typeName() == "float"  # half the bytes to shuffle
+    rows = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).cast(f"array<{'float' if single else 'double'}>").alias("_vec"))
     name = F.when(F.coalesce(sound, F.lit(False)), F.sha2(F.concat_ws(",", F.transform(v, lambda x: (x + 0.0).cast("string"))).cast("binary"), 256))
     rows = cut_lineage(rows.select("_id", "_vec", name.alias("digest")), "vectors")
     own = rows.filter("digest IS NOT NULL").groupBy("digest").agg(
