@@ -48,4 +48,21 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM firsts
 """
 
-SQL = {"op1_mixing": MIXING, "op2_warc": WARC}
+EMBEDDINGS = """
+WITH RECURSIVE sound AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (
+    SELECT vec_id AS id, vec_id AS other FROM embeddings
+    UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, component_id = vec_id AS kept
+FROM embeddings JOIN least ON id = vec_id LEFT JOIN degree ON a = vec_id
+"""
+
+SQL = {"op1_mixing": MIXING, "op2_warc": WARC, "op8_embeddings": EMBEDDINGS}
