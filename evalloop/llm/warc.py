@@ -21,8 +21,10 @@ from evalloop.llm.common import cut_lineage, ensure_checkpoint_dir, prepare, run
 
 #: Payloads below this size are never revisits.
 LEAST_BYTES = 100
-#: Records of one archive file at most, which bounds what a reader holds.
-RECORDS_PER_FILE = 4_000
+#: Archives hold about so many bytes (or one larger record), which bounds what a reader holds.
+ARCHIVE_BYTES = 64 << 20
+#: Payloads up to each of these sizes share archives; larger ones have one each.
+SIZE_CLASSES = (1 << 14, 1 << 18, 1 << 22)
 #: Entries that a merging task holds, about.
 MERGE_ROWS = 500_000
 END = "\r\n\r\n"
@@ -80,8 +82,16 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     shared = _shared(rows)
     revisit = (F.col("bytes") >= LEAST_BYTES) & F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
     tagged = rows.join(shared, F.col("digest") == F.col("of"), "left").withColumn("refers_to", F.when(revisit, F.col("first")))
-    tagged.select(_record().alias("value")).write.option("lineSep", END).option(
-        "maxRecordsPerFile", RECORDS_PER_FILE).mode("errorifexists").text(path)
+    used = {r["k"] for r in rows.groupBy(_size_class().alias("k")).count().collect()} or {0}  # a row per class at most
+    for k in sorted(used):
+        # the records of a class are no larger than its limit, so their number bounds the archive
+        limit = ARCHIVE_BYTES // SIZE_CLASSES[k] if k < len(SIZE_CLASSES) else 1
+        tagged.filter(_size_class() == k).select(_record().alias("value")).write.option("lineSep", END).option(
+            "maxRecordsPerFile", limit).mode("errorifexists").text(f"{path.rstrip('/')}/size-{k}")
+
+
+def _size_class() -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, SIZE_CLASSES)), lambda limit: F.col("bytes") > limit))
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
@@ -133,12 +143,12 @@ def _batch(entries: Iterable[tuple]) -> pa.RecordBatch:
 
 def sorted_runs(spark, path: str) -> DataFrame:
     """The index entries of all archives below ``path``: each archive is parsed in its task and sorted as one run."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
     def run(batches):
         for batch in batches:
             for file, data in zip(batch.column(0), batch.column(1)):
-                name = file.as_py().rpartition("/")[2]
+                name = "/".join(file.as_py().rsplit("/", 2)[1:])
                 entries = sorted((_entry(h, p, name, at, size) for h, p, at, size in records(data.as_py())), key=order)
                 for k in range(0, len(entries), 4096):
                     yield _batch(entries[k:k + 4096])

@@ -45,7 +45,7 @@ def test_round_trip_of_odd_rows(pages):
 def test_histories_are_in_global_order(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(k, rng.choice(["http://hot.example/x", f"http://h{k % 50}.org/{rng.randint(0, 9)}"]), f"body {k}") for k in range(3000)]
-    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 150)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 150 * warc.SIZE_CLASSES[0])
     pages = spark.createDataFrame(rows, PAGES).repartition(6)
     runs = warc.cut_lineage(_runs(pages))
     assert runs.select("file").distinct().count() >= 18
@@ -57,6 +57,19 @@ def test_histories_are_in_global_order(spark, monkeypatch):
         assert [r.position for r in got if r.part == p] == list(range(sum(r.part == p for r in got)))
 
 
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    import glob
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "SIZE_CLASSES", (1_000, 10_000))
+    rows = [(k, f"http://h/{k}", chr(97 + k % 26) * size) for k, size in enumerate([10] * 300 + [5_000] * 30 + [60_000] * 3)]
+    path = f"{warc.ensure_checkpoint_dir(spark)}/warc-test-{random.random()}"
+    warc.write(spark.createDataFrame(rows, PAGES).repartition(1), path)
+    sizes = sorted(len(open(f, "rb").read()) for f in glob.glob(f"{path.removeprefix('file://')}/*/part-*"))
+    assert len([s for s in sizes if s > 60_000]) == 3 and all(s < 60_000 * 1.1 for s in sizes)
+    assert warc.histories(spark, path).count() == len(rows)
+
+
 def _runs(pages):
     spark = pages.sparkSession
     path = f"{warc.ensure_checkpoint_dir(spark)}/warc-test-{random.random()}"
