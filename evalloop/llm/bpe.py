@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from evalloop.llm.common import prepare
 
 #: Pieces whose ids a worker remembers, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Longer pieces are encoded anew each time, which bounds the memory of what is remembered.
 LONGEST_REMEMBERED = 64
+#: Pairs of neighbours whose test a worker remembers.
+REMEMBERED_PAIRS = 400_000
 
 # White space as Unicode defines it, and the piece pattern of the vocabulary.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -132,7 +134,7 @@ class Codec:
         key = a << 20 | b
         known = self._tolerated.get(key)
         if known is None:
-            if len(self._tolerated) > 2_000_000:
+            if len(self._tolerated) >= REMEMBERED_PAIRS:
                 self._tolerated.clear()
             known = self._tolerated[key] = self._stable(a, b, _NEVER, _NEVER)
         return known
