@@ -87,3 +87,24 @@ def test_union_datasets(spark):
     b = spark.createDataFrame([(2, "y")], "id long, question string")
     u = mg.union_datasets([a, b])
     assert set(u.columns) == {"id", "problem", "question"} and u.count() == 2
+
+
+def test_stored_tables_are_released(spark):
+    from evalloop.session import cut_lineage, path_exists, release_tables, tables_root
+
+    root = tables_root(spark)
+    assert cut_lineage(spark.range(3), "t").count() == 3 and path_exists(spark, root)
+    release_tables(spark)
+    assert not path_exists(spark, root)
+    assert cut_lineage(spark.range(4), "t").count() == 4
+
+
+def test_a_cluster_must_name_its_checkpoint_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from evalloop.session import ensure_checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(cluster)
