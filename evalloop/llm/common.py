@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloop.session import ensure_checkpoint_dir, ship_package
+from evalloop.session import ensure_checkpoint_dir, ship_package, tables_root
 
 __all__ = ["WORD", "held_out", "table", "prepare", "cut_lineage", "ensure_checkpoint_dir", "small_side",
            "pair_blocks", "runs_of"]
@@ -33,11 +33,11 @@ def prepare(spark: SparkSession) -> None:
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written once as a table in the shared checkpoint folder, and read from there.
 
-    A lost executor never makes upstream work run again.  Zstandard keeps the table small, and its buffers do
+    A lost executor never makes upstream work run again; ``release_tables`` deletes it.  Zstandard keeps the table small, and its buffers do
     not pile up outside the heap as those of the default codec do over many small files.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
