@@ -495,6 +495,29 @@ SELECT m.id, min(b.rep), 'near' FROM dsets a JOIN bsets b ON {_jacc_ok('a', 'b')
 GROUP BY m.id"""
 
 
+def q_near_dup_classes() -> str:
+    return "WITH RECURSIVE " + _with(_nd_ctes("documents", "doc_id", "text", "d")).lstrip().removeprefix("WITH") + f""",
+links AS (SELECT a.rep AS a, b.rep AS b FROM dsets a JOIN dsets b ON a.rep <> b.rep AND {_jacc_ok('a', 'b')}),
+reach AS (SELECT rep AS r, rep AS o FROM dgrp UNION SELECT r.r, l.b FROM reach r JOIN links l ON l.a = r.o),
+comp AS (SELECT r, min(o) AS component_id FROM reach GROUP BY r),
+sizes AS (SELECT nf, count(*) AS n FROM dnf2 GROUP BY nf),
+near AS (SELECT a AS rep, sum(s.n) AS near FROM links JOIN dgrp g ON g.rep = b JOIN sizes s ON s.nf = g.nf GROUP BY a)
+SELECT n.id, c.component_id, (s.n - 1 + coalesce(near, 0))::BIGINT AS n_links
+FROM dnf2 n JOIN dgrp g ON n.nf = g.nf JOIN sizes s ON s.nf = n.nf JOIN comp c ON c.r = g.rep LEFT JOIN near ON near.rep = g.rep
+WHERE s.n - 1 + coalesce(near, 0) > 0"""
+
+
+def q_decontaminate_links() -> str:
+    return _with(ITEMS, _nd_ctes("documents", "doc_id", "text", "d"), _nd_ctes("items", "item_id", "text", "b")) + f""",
+forms AS (
+  SELECT a.nf AS x, b.nf AS y FROM dsets a JOIN bsets b ON {_jacc_ok('a', 'b')}
+  UNION SELECT d.nf, b.nf FROM dgrp d JOIN bgrp b ON d.nf = b.nf),
+met AS (SELECT d.id AS l, b.id AS r FROM forms JOIN dnf2 d ON d.nf = x JOIN bnf2 b ON b.nf = y)
+SELECT 'left' AS side, l AS id, min(r) AS partner, count(*) AS n_links FROM met GROUP BY l
+UNION ALL
+SELECT 'right', r, min(l), count(*) FROM met GROUP BY r"""
+
+
 def q_merge_dedup() -> str:
     return _with(_nd_ctes("documents", "doc_id", "text", "d")) + f""",
 dups AS (

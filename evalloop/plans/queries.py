@@ -234,6 +234,18 @@ def decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return si.cross_near_duplicates(docs, bench, "doc_id", "text", "item_id", "text")
 
 
+def near_dup_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Component and number of links of every document that has an equal or near copy."""
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", "text")
+    return si.near_duplicate_classes(docs, "doc_id", "text")
+
+
+def decontaminate_links(spark: SparkSession, sf: str) -> DataFrame:
+    """N6 (two tables): every document and every benchmark item that meet, with the number of links."""
+    docs = fx.read_table(spark, sf, "documents").select("doc_id", "text")
+    return si.cross_links(docs, fx.benchmark_items(spark, sf), "doc_id", "text", "item_id", "text")
+
+
 def merge_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """U4: documents without equal or near copies of a smaller id."""
     docs = fx.read_table(spark, sf, "documents").select("doc_id", "source", "text")

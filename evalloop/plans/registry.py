@@ -32,6 +32,8 @@ REGISTRY = {
     "error_profile": (q.error_profile, oq.q_error_profile),
     "near_dup_pairs": (q.near_dup_pairs, oq.q_near_dup_pairs),
     "decontaminate": (q.decontaminate, oq.q_decontaminate),
+    "near_dup_classes": (q.near_dup_classes, oq.q_near_dup_classes),
+    "decontaminate_links": (q.decontaminate_links, oq.q_decontaminate_links),
     "merge_dedup": (q.merge_dedup, oq.q_merge_dedup),
     "merge_training": (q.merge_training, oq.q_merge_training),
     "prompt_table": (q.prompt_table, oq.q_prompt_table),
