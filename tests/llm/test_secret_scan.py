@@ -75,6 +75,32 @@ def test_unknown_secrets_and_allowed_strings(spark, documents):
     assert check(rows[2], texts[2]) == []  # the base span covers it
 
 
+def test_random_tokens_are_found(spark, documents):
+    """Of many random tokens few are passed over, in each alphabet and at the least length."""
+    rng = random.Random(8)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = [(a, n) for a in (lower + upper + digits, lower + digits, upper + "234567", digits + "abcdef") for n in (20, 24)]
+    for alphabet, n in kinds:
+        tokens = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(4000)]
+        tokens = [t for t in tokens if re.search("[0-9]", t) and re.search("[A-Za-z]", t)]
+        rows = secret_scan.report(documents([(k, f"see {t} here", None, None, 0) for k, t in enumerate(tokens)])).collect()
+        assert sum(not r.spans for r in rows) <= 0.01 * len(tokens), (alphabet, n)
+
+
+def test_placeholder_words_cover_only_themselves(spark, documents):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    value, short = "".join(rng.choice(letters) for _ in range(40)), "q7w2k9z4m1x8c3v6b5n0"
+    found = [f"EXAMPLE_KEY={value}", f"dummy/{value}", f"{value}00000000", f"my-example-{short}", f"EXAMPLE_ID={short}"]
+    harmless = ["EXAMPLE_KEY=xxxxxxxxxxxxxxxxxxxxxxxx1", "placeholder-changeme-12345678-dummy", "examplePlaceholderValue01",
+                "convertUtf8StringToBase64Value", "https/www/example/2024/11/05/post", "getUserAccountByEmailAddress2"]
+    harmless += ["a" * 5000 + "+1", "Aa" * 900 + "+1", "1" * 900 + "a"]  # the patterns take no long way round
+    texts = [f"a {t} b" for t in found + harmless]
+    rows = {r.doc_id: r for r in secret_scan.report(documents([(k, t, None, None, 0) for k, t in enumerate(texts)])).collect()}
+    assert [check(rows[k], texts[k]) for k in range(len(found))] == [[t] for t in found]
+    assert all(check(rows[k], texts[k]) == [] for k in range(len(found), len(texts)))
+
+
 def test_many_matches_and_running_sums(spark, documents):
     text = "é password=abcdefgh1 " * 3000
     row = secret_scan.report(documents([(1, text, None, None, 0)])).first()
