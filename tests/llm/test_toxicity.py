@@ -42,6 +42,24 @@ def test_a_pair_that_no_additive_model_tells(spark, documents):
     assert all(abs(r.score - again[r.doc_id]) < 1e-12 for r in got)
 
 
+def test_rows_of_a_repeated_id_are_bounded_and_do_not_outweigh_the_others(spark, documents):
+    """A third of the rows repeat one labelled id, half of them as copies of one text."""
+    hot = next(k for k in range(10_000, 10_100) if not out_of_fold(k))
+    rows = [(k, f"plain words {k} " + "vermin " * (k % 2), "en", "s", 0) for k in range(600)]
+    rows += [(hot, f"vermin talk {k if k % 2 else 'again'}", "en", "s", 0) for k in range(300)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(600)] + [(hot, 1, 0)], LABELS)
+    df = documents(rows)
+    drawn = toxicity.sample(df, labels, "doc_id", "text", "toxic", 50).collect()
+    assert len(drawn) == 100 and sum(r.label for r in drawn) == 50
+    assert len({(r._id, r.text) for r in drawn}) == 100 and sum(r._id == hot for r in drawn) <= 5
+    whole = toxicity.sample(df, labels, "doc_id", "text", "toxic", 5000).collect()
+    of_hot = {r.text: r.weight for r in whole if r._id == hot}
+    assert len(of_hot) == 151 and abs(sum(of_hot.values()) - 1) < 1e-3 and abs(of_hot["vermin talk again"] - 0.5) < 1e-3
+    assert all(r.weight == 1 for r in whole if r._id != hot)
+    got = toxicity.toxicity(df, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id != hot)
+
+
 def test_gradient_of_the_machine():
     """One small step lowers the loss as much as finite differences say."""
     rows, labels = [[0, 1], [1, 2], [0], []], np.array([1.0, 0.0, 0.0, 1.0])
