@@ -20,9 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates stays: the one with the smallest id."""
+    """One row of each group of SimHash near-duplicates stays: the one with the smallest id, a null id last."""
     prepare(spark)
-    return simhash.keep_one(docs)
+    return simhash.one_per_component(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -223,13 +223,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` stored with a number ``_row``; and of every row ``_row``, ``component`` (a row of it) and ``rank``.
+
+    ``rank`` orders rows by id, a null id last, then by a digest of the whole row and its number.
+    """
+    prepare(docs.sparkSession)
+    whole = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
+    stored = cut_lineage(docs.withColumn("_digest", whole).withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_digest").alias("digest"), F.col("_row").alias("row"))
+    found = near_duplicates(stored, "_row", text_col, shingle, radius).select("_row", F.col("component_id").alias("component"))
+    return stored.drop("_digest"), cut_lineage(found.join(stored.select("_row", rank.alias("rank")), "_row"), "ranked-rows")
+
+
+def _without(stored: DataFrame, ranked: DataFrame, gone) -> DataFrame:
+    first = cut_lineage(ranked.groupBy("component").agg(F.min("rank").alias("first")), "component-first")
+    lost = cut_lineage(ranked.join(first, "component").filter(gone).select("_row"), "near-duplicates")
+    return stored.join(lost, "_row", "left_anti").drop("_row")
+
+
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                      radius: int = RADIUS) -> DataFrame:
+    """Exactly one row of ``docs`` per component: the one with the smallest id, a null id last, then by its digest.
+
+    Rows are told apart by a number of their own: null and repeated ids are rows like any other.
+    """
+    stored, ranked = _rows(docs, id_col, text_col, shingle, radius)
+    return _without(stored, ranked, F.col("_row") != F.col("first.row"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
              radius: int = RADIUS) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; rows with a null id stay unless another id is reached.
+    """``docs`` without the rows whose component has a smaller id; rows with a null id stay.
 
-    Rows that repeat the id that stays are the same document and stay as they are.
+    Rows that repeat the id that stays are the same document and stay as they are; a row with the id of one that
+    goes stays if its own component has no smaller id.  ``one_per_component`` keeps one row.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    gone = cut_lineage(found.filter(F.col(id_col) > F.col("component_id")).select(
-        F.col(id_col).alias("_gone")).distinct(), "near-duplicates")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    stored, ranked = _rows(docs, id_col, text_col, shingle, radius)
+    return _without(stored, ranked, F.col("rank.id") > F.col("first.id"))

@@ -123,6 +123,21 @@ def test_odd_rows(spark, odd):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 5, 5, 6, 8]
 
 
+def test_exactly_one_row_of_each_component_stays(spark, odd, documents):
+    kept = simhash.one_per_component(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 8]
+    assert simhash.one_per_component(odd.limit(0)).count() == 0
+    same, other = "one two three four five six", "quite another text that is unique here"
+    rows = [(1, same, "en", "s", 1), (2, same, "en", "s", 1), (2, other, "en", "s", 2), (3, "null ids only in this group", "en", "s", 3)]
+    rows += [(None, same, "en", "s", 1)] * 3 + [(None, "no id at all for this text", "en", "s", 4)] * 2
+    df = documents(rows)
+    want = {(1, same), (2, other), (3, rows[3][1]), (None, rows[-1][1])}
+    got = [(r.doc_id, r.text) for r in simhash.one_per_component(df.repartition(4)).collect()]
+    assert len(got) == 4 and set(got) == want
+    assert (2, other) in {(r.doc_id, r.text) for r in simhash.keep_one(df).collect()}  # only the other row of id 2 is a copy
+
+
 def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
