@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloop.llm import bpe, embed_dedup, langid, mixing, oracle, quality, secret_scan, simhash, toxicity, url_filter, warc
+from evalloop.llm import (bpe, embed_dedup, langid, mixing, oracle, quality, secret_scan, simhash, token_counts, toxicity,
+                          url_filter, warc)
 from evalloop.llm.common import prepare, table
 
 
@@ -77,6 +78,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return token_counts.counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
@@ -88,6 +94,7 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_languages": op9_languages,
     "op10_quality": op10_quality,
+    "op12_token_counts": op12_token_counts,
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
