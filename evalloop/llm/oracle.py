@@ -65,4 +65,39 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, component_id = vec_id AS
 FROM embeddings JOIN least ON id = vec_id LEFT JOIN degree ON a = vec_id
 """
 
-SQL = {"op1_mixing": MIXING, "op2_warc": WARC, "op8_embeddings": EMBEDDINGS}
+CONVERSATIONS = """
+WITH turns AS (
+    SELECT conv_id AS c, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+           strlen(coalesce(text, '')) AS size,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS r
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+    SELECT DISTINCT c, c - c % 5 AS base, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+            lambda x, i: CASE WHEN (x & 1) = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 9 AS h
+    FROM turns),
+rebuilt AS (
+    SELECT v.c, 0 AS own, r, id, size FROM convs v JOIN turns t ON t.c = v.base AND r <= h
+    UNION ALL SELECT v.c, 1, r, id, size FROM convs v JOIN turns t ON t.c = v.c AND r > h),
+paths AS (
+    SELECT v.c, coalesce(list(id ORDER BY own, r) FILTER (id IS NOT NULL), []) AS p,
+           coalesce(list(size ORDER BY own, r) FILTER (id IS NOT NULL), []) AS sizes
+    FROM convs v LEFT JOIN rebuilt b ON b.c = v.c GROUP BY v.c),
+steps AS (SELECT c, unnest(range(len(p) + 1)) AS d, p, sizes FROM paths),
+places AS (SELECT c, d, p[1:d] AS node, p[1:d-1] AS up, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size, len(p) = d AS ends FROM steps),
+nodes AS (
+    SELECT node, d, any_value(up) AS up, min(c) AS conv, count(*) AS n, any_value(size) AS size,
+           sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends
+    FROM places GROUP BY node, d),
+children AS (SELECT up, count(*) AS k FROM nodes WHERE d > 0 GROUP BY up),
+above AS (  -- every node with each of its ancestors and itself, by its smallest member's path
+    SELECT n.node AS of, a.node, (n.n - 1) * n.size AS saved, CASE WHEN k IS NULL THEN 1 ELSE 0 END AS leaf
+    FROM nodes n JOIN places a ON a.c = n.conv AND a.d <= n.d LEFT JOIN children ch ON ch.up = n.node),
+sums AS (SELECT node, sum(saved)::BIGINT AS saved, sum(leaf)::BIGINT AS leaves FROM above GROUP BY node)
+SELECT n.conv AS conv_id, n.d AS depth, CASE WHEN n.d > 0 THEN u.conv END AS parent_conv_id, n.n AS n_convs,
+       coalesce(k, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node LEFT JOIN children ch ON ch.up = n.node LEFT JOIN nodes u ON u.node = n.up AND u.d = n.d - 1
+"""
+
+SQL = {"op13_conversation_trie": CONVERSATIONS, "op1_mixing": MIXING, "op2_warc": WARC, "op8_embeddings": EMBEDDINGS}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloop.llm import (bpe, embed_dedup, langid, mixing, oracle, quality, secret_scan, simhash, token_counts, toxicity,
-                          url_filter, warc)
+from evalloop.llm import (bpe, conversations, embed_dedup, langid, mixing, oracle, quality, secret_scan, simhash,
+                          token_counts, toxicity, url_filter, warc)
 from evalloop.llm.common import prepare, table
 
 
@@ -83,6 +83,11 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return conversations.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
@@ -95,6 +100,7 @@ QUERIES = {
     "op9_languages": op9_languages,
     "op10_quality": op10_quality,
     "op12_token_counts": op12_token_counts,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.

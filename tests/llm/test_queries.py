@@ -19,6 +19,7 @@ COLUMNS = {
     9: ("documents", ["doc_id", "held_out", "lang_pred", "score"]),
     10: ("documents", ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]),
     12: ("documents", ["doc_id", "n_bytes", "n_tokens", "over_limit"]),
+    13: (None, ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]),
 }
 
 
@@ -28,7 +29,7 @@ def named():
 
 def test_all_are_registered():
     assert sorted(named()) == sorted(COLUMNS) and "pipeline" in E.queries()
-    assert {"op1_mixing", "op2_warc", "op8_embeddings"} <= set(E.oracle_sql())
+    assert {"op1_mixing", "op2_warc", "op8_embeddings", "op13_conversation_trie"} <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("n", sorted(COLUMNS))
@@ -36,7 +37,7 @@ def test_rows_and_columns(spark, n):
     source, columns = COLUMNS[n]
     df = E.queries()[named()[n]](spark, SF)
     assert df.columns == columns
-    assert df.count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
+    assert source is None or df.count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
 
 
 NATIVE = ["op1_mixing", "op3_url_filter", "op5_secrets", "op10_quality"]
