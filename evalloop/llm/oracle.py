@@ -100,4 +100,28 @@ SELECT n.conv AS conv_id, n.d AS depth, CASE WHEN n.d > 0 THEN u.conv END AS par
 FROM nodes n JOIN sums s ON s.node = n.node LEFT JOIN children ch ON ch.up = n.node LEFT JOIN nodes u ON u.node = n.up AND u.d = n.d - 1
 """
 
-SQL = {"op13_conversation_trie": CONVERSATIONS, "op1_mixing": MIXING, "op2_warc": WARC, "op8_embeddings": EMBEDDINGS}
+COLLOCATIONS = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+    FROM documents),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (SELECT lang, w[i:i+k-1] AS p, k FROM places, range(1, 5) t(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, p, any_value(k)::BIGINT AS m, count(*) AS a FROM grams GROUP BY lang, p HAVING count(*) >= 30),
+cuts AS (
+    SELECT c.lang, c.p, c.m, c.a, k, l.a AS l, r.a AS r, ((2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a))::BIGINT AS score
+    FROM f c, range(1, 4) t(k) JOIN f l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k+1:]
+    WHERE k < c.m),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, p[i:i+k-1] AS q, max(a) AS around FROM f, range(2, 4) t(k), range(1, 4) s(i)
+    WHERE k < m AND i + k - 1 <= m GROUP BY ALL),
+kept AS (
+    SELECT c.*, array_to_string(c.p, ' ') AS phrase FROM scored c LEFT JOIN inside x ON x.lang = c.lang AND x.q = c.p
+    WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * c.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+SQL = {"op11_collocations": COLLOCATIONS, "op13_conversation_trie": CONVERSATIONS, "op1_mixing": MIXING, "op2_warc": WARC, "op8_embeddings": EMBEDDINGS}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloop.llm import (bpe, conversations, embed_dedup, langid, mixing, oracle, quality, secret_scan, simhash,
-                          token_counts, toxicity, url_filter, warc)
+from evalloop.llm import (bpe, collocations, conversations, embed_dedup, langid, mixing, oracle, quality, secret_scan,
+                          simhash, token_counts, toxicity, url_filter, warc)
 from evalloop.llm.common import prepare, table
 
 
@@ -78,6 +78,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return token_counts.counts(table(spark, sf_dir, "documents"), vocabulary())
@@ -99,6 +104,7 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_languages": op9_languages,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
     "op12_token_counts": op12_token_counts,
     "op13_conversation_trie": op13_conversation_trie,
 }

@@ -18,6 +18,7 @@ COLUMNS = {
     8: ("embeddings", ["vec_id", "n_links", "component_id", "kept"]),
     9: ("documents", ["doc_id", "held_out", "lang_pred", "score"]),
     10: ("documents", ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]),
+    11: (None, ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]),
     12: ("documents", ["doc_id", "n_bytes", "n_tokens", "over_limit"]),
     13: (None, ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]),
 }
@@ -29,7 +30,7 @@ def named():
 
 def test_all_are_registered():
     assert sorted(named()) == sorted(COLUMNS) and "pipeline" in E.queries()
-    assert {"op1_mixing", "op2_warc", "op8_embeddings", "op13_conversation_trie"} <= set(E.oracle_sql())
+    assert {"op1_mixing", "op2_warc", "op8_embeddings", "op11_collocations", "op13_conversation_trie"} <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("n", sorted(COLUMNS))
