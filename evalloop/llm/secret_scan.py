@@ -27,13 +27,12 @@ WIDTH = 20
 ENTROPY = {"hexadecimal": (r"^[0-9A-F]+$|^[0-9a-f]+$", 2.70), "single case": (r"^[^a-z]+$|^[^A-Z]+$", 3.17), "mixed": (r"", 3.44)}
 #: Placeholder words: they part a candidate, and what lies on either side is judged for itself.
 PLACEHOLDER = r"(?i)example|placeholder|changeme|dummy|x{6,}|0{8,}|12345678"
-#: Harmless strings: UUIDs, dates and counters in names, names in camel case, paths and hyphenated words.
-ALLOWED = (
-    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"^(?=.{20,2000}$)([-_/=]?+([A-Z][a-z]++|[a-z]{2,}+|[A-Z]{2,}+))++[-_/=]?[0-9]{1,10}$",
-    r"^(?=.{20,2000}$)[a-z]*+([-_/=+]*+([A-Z][a-z]{2,}+|[A-Z][a-z](?=[A-Z][a-z]{2})|[0-9]{1,4}+(?![0-9])))++[-_/=+]*$",
-    r"^([A-Za-z]{1,24}|[0-9]{1,8})([-_/=+]+([A-Za-z]{1,24}|[0-9]{1,8}))+[-_/=+]*$",
-)
+#: Harmless strings: UUIDs, names with a counter behind, names in camel case with numbers, hyphenated words and paths.
+UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+NAME_PART = r"[-_/=]?(?:[A-Z][a-z]+|[a-z]{2,}|[A-Z]{2,})"
+CAMEL_PART = r"-?(?:[A-Z][a-z]{2,}|[A-Z][a-z](?=[A-Z][a-z]{2})|[0-9]{1,4}+(?![0-9]))"
+PATH_PART = r"^(?:[A-Za-z]{1,24}|[0-9]{1,8})$"
+SEPARATORS = r"[-_/=+]+"
 
 
 def _plus(c: Column) -> Column:
@@ -71,10 +70,17 @@ def window_entropy(candidate: Column, width: int = WIDTH) -> Column:
 
 
 def _allowed(value: Column) -> Column:
-    allowed = F.lit(False)
-    for pattern in ALLOWED:
-        allowed |= value.rlike(pattern)
-    return allowed
+    """Harmless strings of any length.
+
+    Parts are replaced or split off one after another and what remains is tested: a pattern that repeats a group over the
+    whole string would take a stack frame per part.
+    """
+    mark = "\u0001"
+    named = F.regexp_replace(value, NAME_PART, mark).rlike(f"^{mark}+[-_/=]?[0-9]{{1,10}}$")
+    level = F.regexp_replace(value, SEPARATORS, "-")
+    camel = F.regexp_replace(F.regexp_replace(level, "^[a-z]+", ""), CAMEL_PART, mark).rlike(f"^{mark}+-?$")
+    path = let(F.split(F.regexp_replace(level, "-$", ""), "-", -1), lambda found: (F.size(found) > 1) & F.forall(found, lambda x: x.rlike(PATH_PART)))
+    return value.rlike(UUID) | ((F.length(value) >= WIDTH) & (named | camel)) | path
 
 
 def _dense(value: Column) -> Column:

@@ -120,3 +120,29 @@ def test_odd_rows_and_redaction(spark, odd, documents):
     out = secret_scan.redact(documents([(1, text, "en", "s", len(text))], clash=["spans", "base"])).first()
     assert out.text == 'é [SECRET]" x [SECRET], [SECRET]'
     assert out.n_chars == len(out.text) and (out.lang, out.spans) == ("en", "x")
+
+
+def test_long_runs_of_many_parts(spark, documents):
+    """A megabyte of parts takes seconds and no stack; names and paths are harmless at any length."""
+    harmless = ["1-a-" * 262_144 + "1", "Aa" * 500_000 + "_7", "some_name_" * 100_000 + "12", "Abc12-" * 170_000, "a/b=c+d_" * 130_000 + "1"]
+    for k, text in enumerate(harmless):
+        assert secret_scan.report(documents([(k, text, None, None, 0)])).first().spans == "", text[:10]
+    for text in ("-" * 100_000 + "a1", "=" * 50_000 + "1a" + "_" * 50_000):
+        assert secret_scan.report(documents([(1, text, None, None, 0)])).first().n_hex == 0
+
+
+def test_allowed_equals_the_patterns_it_stands_for(spark):
+    """On short strings the tests part by part are those of one pattern over the whole string."""
+    whole = [
+        r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
+        r"^(?=.{20,2000}$)([-_/=]?+([A-Z][a-z]++|[a-z]{2,}+|[A-Z]{2,}+))++[-_/=]?[0-9]{1,10}$",
+        r"^(?=.{20,2000}$)[a-z]*+([-_/=+]*+([A-Z][a-z]{2,}+|[A-Z][a-z](?=[A-Z][a-z]{2})|[0-9]{1,4}+(?![0-9])))++[-_/=+]*$",
+        r"^([A-Za-z]{1,24}|[0-9]{1,8})([-_/=+]+([A-Za-z]{1,24}|[0-9]{1,8}))+[-_/=+]*$",
+    ]
+    rng = random.Random(10)
+    bits = ["Ab", "Abc", "abc", "a", "AB", "A", "12", "12345", "1", "-", "_", "/", "=", "+", "--", "123456789"]
+    values = {"".join(rng.choice(bits) for _ in range(rng.randint(6, 14))) for _ in range(20_000)}
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", secret_scan._allowed(F.col("v")).alias("ok")).collect()
+    compiled = [re.compile(p) for p in whole]
+    assert any(r.ok for r in rows)
+    assert [r.v for r in rows if r.ok != any(p.search(r.v) for p in compiled)] == []
