@@ -28,6 +28,8 @@ SIZE_CLASSES = (1 << 14, 1 << 18, 1 << 22)
 #: Entries that a merging task holds, about.
 MERGE_ROWS = 500_000
 END = "\r\n\r\n"
+#: Seconds through which the default capture times go.
+TIMES = 1_000_000_000
 
 ENTRY = ("page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, "
          "url_key string, captured_at string, file string, offset bigint, length bigint")
@@ -41,6 +43,13 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (rest[cut:].split("#", 1)[0] or "/")
 
 
+def capture_time(id_: Column) -> Column:
+    """A time in UTC that counts seconds from the id, round and round through ``TIMES``, whatever the session's time zone."""
+    seconds = F.pmod(F.coalesce(id_.cast("long"), F.lit(0)), F.lit(TIMES))
+    time = F.lit("2023-11-14 22:13:20").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    return F.concat(F.replace(time.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """``of``, ``first``: digests that several payloads of ``LEAST_BYTES`` or more share, with their smallest id."""
     big = rows.filter(F.col("bytes") >= LEAST_BYTES).select("digest", "page_id")
@@ -75,8 +84,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     body is an empty payload, a null url leaves out its header.
     """
     html = F.coalesce(F.col(body_col), F.lit(""))
-    when = date if date is not None else F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(
-        F.col(id_col).cast("long"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = date if date is not None else capture_time(F.col(id_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), when.alias("captured_at"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("bytes", F.octet_length("html").cast("long"))
     shared = _shared(rows)

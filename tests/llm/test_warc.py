@@ -99,3 +99,16 @@ def test_sql_gives_the_same_rows(spark):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF}/pages.parquet')")
     rows = con.sql(queries.ORACLE_SQL["op2_warc"]).fetchall()
     assert sorted(map(tuple, queries.op2_warc(spark, SF).collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_ids_at_both_ends_and_any_time_zone(spark):
+    big = (1 << 63) - 1
+    rows = [(big, "http://a/", "x"), (-big - 1, "http://a/", "y"), (1 << 60, "http://a/", "z"), (5, "http://a/", "w")]
+    pages = spark.createDataFrame(rows, PAGES)
+    first = sorted((r.page_id, r.captured_at) for r in warc.archive(pages).collect())
+    assert [i for i, _ in first] == sorted(r[0] for r in rows) and (5, "2023-11-14T22:13:25Z") in first
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert sorted((r.page_id, r.captured_at) for r in warc.archive(pages).collect()) == first
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
