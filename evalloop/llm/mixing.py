@@ -31,7 +31,7 @@ def size_in_words(text: Column) -> Column:
 
 
 def draw(id_col: Column, text: Column, weight: Column, seed: int) -> Column:
-    """The exponential key of a document over its weight; equal documents draw equal keys."""
+    """The exponential key of a document over its weight; equal documents draw equal keys (see :func:`_numbered`)."""
     name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
     unit = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     return -F.log(unit) / weight
@@ -77,7 +77,8 @@ def plan(sized: DataFrame) -> DataFrame:
     """Per source (as ``of``) its size, target, complete epochs, and the share and key at which the rest of its target ends.
 
     ``sized``: a stored table of source, size, key.  The document at which the budget ends is taken if that
-    brings the source nearer to its target.
+    brings the source nearer to its target.  Where several rows have the last key, ``last_start`` is what the
+    source's rows before them hold, so that the budget ends among them.
     """
     shared = sized.withColumn("share", _share(F.col("key")))
     shares = cut_lineage(shared.groupBy("source", "share").agg(F.sum("size").alias("size")), "mix-shares")
@@ -93,21 +94,46 @@ def plan(sized: DataFrame) -> DataFrame:
         F.min(F.struct("share", "before", "budget")).alias("x"))
     last = cut_lineage(last.select("of", F.col("x.share").alias("last_share"), "x.before", "x.budget"), "mix-last-shares")
     inside = shared.join(small_side(last), _same("source", "of") & (F.col("share") == F.col("last_share"))).groupBy(
-        "of", "budget", "before", "key").agg(F.sum("size").alias("size"))
+        "of", "budget", "before", "key").agg(F.sum("size").alias("size"), F.count("*").alias("tied"))
     ordered = Window.partitionBy("of").orderBy("key")
     start = F.col("before") + F.sum("size").over(ordered) - F.col("size")
-    cut = inside.withColumn("start", start).filter(F.col("start") + F.col("size") / 2 <= F.col("budget")).groupBy(
-        F.col("of").alias("cut_of")).agg(F.max("key").alias("last_key"))
+    begun = F.col("start") + F.col("size") / F.col("tied") / 2 <= F.col("budget")
+    cut = inside.withColumn("start", start).filter(begun).groupBy(F.col("of").alias("cut_of")).agg(
+        F.max(F.struct("key", "start")).alias("x")).select("cut_of", F.col("x.key").alias("last_key"), F.col("x.start").alias("last_start"))
     last = last.select(F.col("of").alias("last_of"), "last_share")
     return cut_lineage(goals.join(last, _same("of", "last_of"), "left").join(cut, _same("of", "cut_of"), "left").select(
-        "of", "source_size", "target", "epochs", "last_share", "last_key"), "mix-plan")
+        "of", "source_size", "target", "budget", "epochs", "last_share", "last_key", "last_start"), "mix-plan")
 
 
-def _copies() -> Column:
-    taken = (F.col("share") < F.col("last_share")) | ((F.col("share") == F.col("last_share")) & (F.col("key") <= F.col("last_key")))
+def _tied() -> Column:
+    return F.coalesce(F.col("key") == F.col("last_key"), F.lit(False))
+
+
+def _copies(nth: Column | None = None) -> Column:
+    """How often a row is taken; ``nth``: its number among those that tie at the last key, null for the others."""
+    taken = (F.col("share") < F.col("last_share")) | ((F.col("share") == F.col("last_share")) & (F.col("key") < F.col("last_key")))
+    if nth is not None:
+        taken = F.col("last_start") + (nth - 1) * F.col("size") + F.col("size") / 2 <= F.col("budget")
     return F.col("epochs") + F.coalesce(taken, F.lit(False)).cast("long")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` that tie at the last key of their source (as ``of``), stored and numbered as ``nth`` from 1.
+
+    They are equal in id and text, so it does not matter which of them are taken.  A source of copies is counted per
+    stored part first; only the numbers within a part are found by sorting.
+    """
+    # the place of a row: the task that stored it, then its number there
+    rows = cut_lineage(rows.withColumn("_place", F.monotonically_increasing_id()), "mix-ties").withColumn(
+        "_part", F.shiftright("_place", 33))
+    sums = rows.groupBy(F.col("of").alias("_of"), F.col("_part").alias("_sum_part")).count().withColumn(
+        "_before", F.sum("count").over(Window.partitionBy("_of").orderBy("_sum_part")) - F.col("count"))
+    sums = small_side(cut_lineage(sums.drop("count"), "mix-tie-parts"))
+    local = F.row_number().over(Window.partitionBy("of", "_part").orderBy("_place"))
+    return rows.withColumn("_local", local).join(sums, _same("of", "_of") & (F.col("_part") == F.col("_sum_part"))).withColumn(
+        "nth", F.col("_before") + F.col("_local"))
+
+
 def _keyed(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, keep: list[Column]) -> DataFrame:
     """``keep``, source and key of every row; labels (doc_id, quality) give the weights, the worst if one repeats."""
     worst = cut_lineage(labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg(
@@ -133,13 +159,14 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Documents are taken whole, at most ``MOST_EPOCHS`` times; a source's taken words differ from its target by at
     most half the size of the document at which its budget ends.  Rows that are equal in id and text draw
-    the same key and are taken together.  Null and empty texts have size 0; a null source is a source of its
-    own; an empty table gives an empty result; other columns are not read.
+    the same key; where the budget ends among them, so many of them are taken as it needs.  Null and empty texts have
+    size 0; a null source is a source of its own; an empty table gives an empty result; other columns are not read.
     """
     rows = _sized(docs, labels, id_col, text_col, source_col, seed)
-    goals = small_side(plan(rows))
-    return rows.withColumn("share", _share(F.col("key"))).join(goals, _same("source", "of")).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
+    rows = rows.withColumn("share", _share(F.col("key"))).join(small_side(plan(rows)), _same("source", "of"))
+    out = lambda df, copies: df.select(
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    return out(rows.filter(~_tied()), _copies()).unionByName(out(_numbered(rows.filter(_tied())), _copies(F.col("nth"))))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -147,10 +174,12 @@ def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The mix itself: ``docs`` with each row as often as ``mix`` takes it.
 
     A row's key is compared with the last key of its source, so the texts are not sorted; they are shuffled only
-    where the labels are too many to be broadcast.
+    where the labels are too many to be broadcast.  Null and empty texts, null ids and sources and an empty table are
+    treated as by :func:`mix`; of rows equal in id and text that tie at the budget's end, any are taken.
     """
     goals = small_side(plan(_sized(docs, labels, id_col, text_col, source_col, seed)))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    rows = _keyed(docs, labels, id_col, text_col, source_col, seed, [whole])
+    rows = _keyed(docs, labels, id_col, text_col, source_col, seed, [whole, size_in_words(F.col(text_col)).alias("size")])
     rows = rows.withColumn("share", _share(F.col("key"))).join(goals, _same("source", "of"))
-    return rows.select("_doc", F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))).select("_doc.*")
+    out = lambda df, copies: df.select("_doc", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("_doc.*")
+    return out(rows.filter(~_tied()), _copies()).unionAll(out(_numbered(rows.filter(_tied())), _copies(F.col("nth"))))

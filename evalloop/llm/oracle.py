@@ -32,10 +32,10 @@ epochs AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source
 ordered AS (
     SELECT s.*, source_size, target, n, target - n * source_size AS budget,
            sum(size) OVER (PARTITION BY s.source ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto,
-           sum(size) OVER (PARTITION BY s.source, key) AS tied
+           sum(size) OVER (PARTITION BY s.source, key) AS tied, row_number() OVER (PARTITION BY s.source, key) AS nth
     FROM sized s JOIN epochs e ON s.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target,
-       (size * (n + CASE WHEN budget > 0 AND upto - tied + tied / 2.0::DOUBLE <= budget THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (n + CASE WHEN budget > 0 AND upto - tied + (nth - 1) * size + size / 2.0::DOUBLE <= budget THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ordered
 """
 
@@ -106,19 +106,25 @@ WITH pieces AS (
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
     FROM documents),
 totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
-places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
-grams AS (SELECT lang, w[i:i+k-1] AS p, k FROM places, range(1, 5) t(k) WHERE i + k - 1 <= len(w)),
-f AS (SELECT lang, p, any_value(k)::BIGINT AS m, count(*) AS a FROM grams GROUP BY lang, p HAVING count(*) >= 30),
+numbered AS (SELECT row_number() OVER () AS piece, lang, w FROM pieces WHERE len(w) > 0),
+places AS (SELECT piece, lang, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM numbered),
+next AS (SELECT lang, word AS a, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c, lead(word, 3) OVER o AS d
+         FROM places WINDOW o AS (PARTITION BY piece ORDER BY i)),
+grams AS (SELECT lang, a AS p, 1 AS m FROM next UNION ALL SELECT lang, a || ' ' || b, 2 FROM next WHERE b IS NOT NULL
+          UNION ALL SELECT lang, a || ' ' || b || ' ' || c, 3 FROM next WHERE c IS NOT NULL
+          UNION ALL SELECT lang, a || ' ' || b || ' ' || c || ' ' || d, 4 FROM next WHERE d IS NOT NULL),
+f AS (SELECT lang, p AS phrase, string_split(p, ' ') AS w, any_value(m) AS m, count(*) AS a FROM grams GROUP BY lang, p HAVING count(*) >= 30),
+parts AS (SELECT lang, phrase, m, a, k, array_to_string(w[1:k], ' ') AS front, array_to_string(w[k+1:m], ' ') AS back
+          FROM f, range(1, 4) t(k) WHERE k < m),
 cuts AS (
-    SELECT c.lang, c.p, c.m, c.a, k, l.a AS l, r.a AS r, ((2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a))::BIGINT AS score
-    FROM f c, range(1, 4) t(k) JOIN f l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k+1:]
-    WHERE k < c.m),
-scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+    SELECT c.*, l.a AS l, r.a AS r, ((2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a))::BIGINT AS score
+    FROM parts c JOIN f l ON l.lang = c.lang AND l.phrase = front JOIN f r ON r.lang = c.lang AND r.phrase = back),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inside AS (
-    SELECT lang, p[i:i+k-1] AS q, max(a) AS around FROM f, range(2, 4) t(k), range(1, 4) s(i)
+    SELECT lang, array_to_string(w[i:i+k-1], ' ') AS q, max(a) AS around FROM f, range(2, 4) t(k), range(1, 4) s(i)
     WHERE k < m AND i + k - 1 <= m GROUP BY ALL),
 kept AS (
-    SELECT c.*, array_to_string(c.p, ' ') AS phrase FROM scored c LEFT JOIN inside x ON x.lang = c.lang AND x.q = c.p
+    SELECT c.* FROM scored c LEFT JOIN inside x ON x.lang = c.lang AND x.q = c.phrase
     WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * c.a),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000

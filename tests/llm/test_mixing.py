@@ -113,3 +113,25 @@ def test_odd_rows(spark, odd, documents):
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
     assert got == {k: v for k, v in want.items() if v}
     assert mixing.mixed(odd.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("copies", [(1000, 0), (700, 300)])
+def test_a_source_of_equal_rows_meets_its_target(spark, documents, copies):
+    text = "one two three four five six seven eight nine"
+    rows = [(k, f"{text} {k}", "en", "a", 0) for k in range(400)] + [(7, text, "en", "b", 0)] * copies[0] + [(None, text, "en", "b", 0)] * copies[1]
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs = documents(rows).repartition(6)
+    got = mixing.mix(docs, none).collect()
+    assert len(got) == len(rows)
+    b = [r for r in got if r.source_size == 9000]
+    assert len(b) == 1000 and abs(sum(r.taken for r in b) - b[0].target) <= 5
+    assert b[0].target % 9000 > 100  # the budget ends among the copies
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(3), none).collect()))
+    out = mixing.mixed(docs, none)
+    assert out.filter("source = 'b'").count() == sum(r.taken for r in b) // 9
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("labels", none.toPandas())
+    con.execute("CREATE VIEW d AS SELECT doc_id::BIGINT AS doc_id, text, source FROM documents")
+    sql = queries.ORACLE_SQL["op1_mixing"].replace("FROM documents d", "FROM d")
+    assert sorted((str(r[0]), r[4]) for r in con.sql(sql).fetchall()) == sorted((str(r.doc_id), r.taken) for r in got)
