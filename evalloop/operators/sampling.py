@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +27,8 @@ def index_within_group(df: DataFrame, group_cols: Sequence[str], order_cols: Seq
                        index_col: str = "idx", num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row inside its group, by ``order_cols``.
 
-    The order should be unique within a group; rows that tie share the first of
-    their positions.  Only the keys are indexed: they are range-partitioned on
+    Rows that tie take the positions of their tie in the order in which they are
+    stored.  Only the keys are indexed: they are range-partitioned on
     (group, order), so a hot group spreads over many tasks, and stored with the
     number of their partition.  Offsets (rows of the group in earlier
     partitions) and local positions both come from this one stored copy, so
@@ -53,52 +51,47 @@ def index_within_group(df: DataFrame, group_cols: Sequence[str], order_cols: Seq
     local = Window.partitionBy("_pid", *own).orderBy(*k).rowsBetween(Window.unboundedPreceding, -1)
     placed = stored.withColumn("_local", F.coalesce(F.sum("_n").over(local), F.lit(0))).join(
         offsets, (F.col("_pid") == F.col("_opid")) & _same(own, g))
-    placed = placed.select(*k, (F.col("_local") + F.col("_offset")).alias("_position"))
-    return df.join(placed, _same(keys, k)).select(*[F.col(f"`{c}`") for c in df.columns], F.col("_position").alias(index_col))
+    placed = placed.select(*k, (F.col("_local") + F.col("_offset")).alias("_position"), "_n")
+    own_columns = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.join(placed, _same(keys, k))
+    if stored.filter("_n > 1").isEmpty():
+        return rows.select(*own_columns, F.col("_position").alias(index_col))
+    return rows.filter("_n = 1").select(*own_columns, F.col("_position").alias(index_col)).unionAll(
+        _apart(rows.filter("_n > 1"), k).select(*own_columns, (F.col("_position") + F.col("_nth")).alias(index_col)))
 
 
-def _top_n_rows(table: "pa.Table", group_col: str, key_col: str, n: int) -> "pa.Table":
-    """Rows with the ``n`` smallest (_h, key) per group; only three narrow columns go to pandas."""
-    pdf = pd.DataFrame({"g": table.column(group_col).to_pandas(), "h": table.column("_h").to_pandas(),
-                        "k": table.column(key_col).to_pandas()})
-    keep = pdf.sort_values(["h", "k"], kind="stable").groupby("g", dropna=False, sort=False).head(n)
-    return table.take(pa.array(keep.index.to_numpy(), pa.int64()))
+def _apart(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` that tie in ``keys``, stored, with ``_nth`` from 0 among their like.
+
+    Rows are counted per stored part first, so a tie that holds a third of all rows is numbered in many tasks.
+    """
+    rows = cut_lineage(rows.withColumn("_place", F.monotonically_increasing_id()), "ties").withColumn(
+        "_part", F.shiftright("_place", 33))
+    names = [f"{k}_of" for k in keys]
+    earlier = Window.partitionBy(*names).orderBy("_of_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_part").alias("_of_part")).count().withColumn(
+        "_before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+    local = F.row_number().over(Window.partitionBy("_part", *keys).orderBy("_place")) - 1
+    return rows.withColumn("_own", local).join(parts, _same(keys, names) & (F.col("_part") == F.col("_of_part"))).withColumn(
+        "_nth", F.col("_own") + F.col("_before"))
 
 
 def sample_per_group(df: DataFrame, group_col: str, key_col: str, n: int | None = 4, seed: int = 42,
-                     order=None, compact_rows: int = 65536) -> DataFrame:
+                     order=None) -> DataFrame:
     """L3: ``min(n, size)`` rows per group without replacement, seeded; ``n=None`` keeps all (full mode).
 
     A row's rank is ``xxhash64(key, seed)`` (or the given ``order`` column; ties
-    by key), independent of input order.  Map-side top-n first: every input
-    partition keeps only its ``n`` best rows per group (Arrow batches; wide
-    columns are never converted), so a hot group sends at most ``n`` rows per
-    partition to the final ranking window.  Exact: the global top ``n`` of a
-    group is among the union of the per-partition top ``n``.
+    by key), independent of input order.  Spark limits the window on the map side
+    (a partial group limit), so a hot group sends at most ``n`` rows per
+    partition to the final ranking.
     """
     h = F.xxhash64(F.col(key_col), F.lit(seed)) if order is None else order
     ranked = df.withColumn("_h", h)
     if n is None:
         return index_within_group(ranked, [group_col], ["_h", key_col], "sample_rank").drop("_h")
-
-    def top_n(batches):
-        kept, rows = [], 0
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            t = _top_n_rows(pa.Table.from_batches([rb]), group_col, key_col, n)
-            kept.append(t)
-            rows += t.num_rows
-            if rows > compact_rows:  # keep memory at n rows per group seen so far
-                merged = _top_n_rows(pa.concat_tables(kept).combine_chunks(), group_col, key_col, n)
-                kept, rows = [merged], merged.num_rows
-        if kept:
-            yield from _top_n_rows(pa.concat_tables(kept).combine_chunks(), group_col, key_col, n).to_batches()
-
-    pre = ranked.mapInArrow(top_n, ranked.schema)
     w = Window.partitionBy(group_col).orderBy("_h", key_col)
-    return (pre.withColumn("sample_rank", F.row_number().over(w) - 1)
-            .filter(F.col("sample_rank") < n).drop("_h"))
+    return (ranked.withColumn("sample_rank", F.row_number().over(w)).filter(F.col("sample_rank") <= n)
+            .withColumn("sample_rank", F.col("sample_rank") - 1).drop("_h"))
 
 
 def pick_one(df: DataFrame, key_col: str, seed: int = 42, order: Column | None = None) -> DataFrame:

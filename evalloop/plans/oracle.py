@@ -820,8 +820,20 @@ SELECT row_idx, rule, CASE rule {msgs} END AS message FROM own"""
 
 def q_tolerant_log() -> str:
     return """
-SELECT 'k' || CAST(event_id AS VARCHAR) AS key, CASE WHEN event_id % 6 = 0 THEN CAST(user_id AS BIGINT) END AS v
-FROM events WHERE event_id % 6 IN (0, 1)"""
+SELECT 'k' || CAST(event_id AS VARCHAR) AS key, CASE WHEN event_id % 14 IN (0, 5, 6) THEN CAST(user_id AS BIGINT) END AS v
+FROM events WHERE event_id % 14 IN (0, 1, 5, 6, 7, 8)"""
+
+
+def q_auto_reader() -> str:
+    return """
+SELECT CAST(event_id AS BIGINT) AS key, CAST(user_id AS BIGINT) AS v FROM events
+WHERE NOT (event_id // 1000 % 2 = 1 AND event_id % 5 = 0)"""
+
+
+def q_appended_log() -> str:
+    return """
+SELECT 'k' || CAST(event_id % 997 AS VARCHAR) AS key, CAST(max(event_id) AS BIGINT) AS seq, CAST(max_by(user_id, event_id) AS BIGINT) AS v
+FROM events GROUP BY 1"""
 
 
 def q_manifest() -> str:

@@ -555,18 +555,54 @@ def tolerant_log(spark: SparkSession, sf: str) -> DataFrame:
     """A log of JSON lines with defects, written and read back; every object with a key stays."""
     from evalloop.sources import io
     e = fx.read_table(spark, sf, "events").select("event_id", "user_id")
-    m, key, v = F.col("event_id") % 6, F.col("event_id").cast("string"), F.col("user_id").cast("string")
-    line = (F.when(m == 0, F.concat(F.lit('{"key": "k'), key, F.lit('", "v": '), v, F.lit("}")))
+    m, key, v = F.col("event_id") % 14, F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    own = F.concat(F.lit('"key": "k'), key, F.lit('", "v": '))
+    whole = F.concat(F.lit("{"), own, v, F.lit("}"))
+    line = (F.when(m == 0, whole)
             .when(m == 1, F.concat(F.lit('  {"v": "text", "key": "k'), key, F.lit('"}')))
-            .when(m == 2, F.concat(F.lit('{"key": "k'), key, F.lit('", "v": ')))
+            .when(m == 2, F.concat(F.lit("{"), own))
             .when(m == 3, F.concat(F.lit('{"key": "", "v": '), v, F.lit("}")))
-            .when(m == 4, F.concat(F.lit('[{"key": "k'), key, F.lit('"}]'))).otherwise(F.lit("")))
+            .when(m == 4, F.concat(F.lit("["), whole, F.lit("]")))
+            .when(m == 5, F.concat(F.lit("\t "), whole, F.lit("\t")))
+            .when(m == 6, F.concat(F.lit('{"key": "old", "v": 0, '), own, v, F.lit("}")))
+            .when(m == 7, F.concat(F.lit("{"), own, F.lit("NaN}")))
+            .when(m == 8, F.concat(F.lit("{"), own, F.lit("-Infinity}")))
+            .when(m == 9, F.concat(whole, F.lit(" trailing")))
+            .when(m == 10, F.concat(whole, F.lit(",")))
+            .when(m == 11, F.concat(whole, whole))
+            .when(m == 12, F.concat(F.lit("{'key': 'k"), key, F.lit("'}"))).otherwise(F.lit("")))
     path = _scratch(spark, "log")
     e.select(line.alias("value")).write.text(path)
     return io.read_keyed_jsonl(spark, path, T.StructType([T.StructField("key", T.StringType()), T.StructField("v", T.LongType())]),
                                "key").select("key", "v")
 
 
+def auto_reader(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of one array each and files of lines, some malformed, below one folder; each file tells what it is."""
+    from evalloop.sources import io
+    e = fx.read_table(spark, sf, "events").select("event_id", "user_id").withColumn("block", F.floor(F.col("event_id") / 1000))
+    item = F.concat(F.lit('{"key": '), F.col("event_id").cast("string"), F.lit(', "v": '), F.col("user_id").cast("string"), F.lit("}"))
+    cut = (F.col("block") % 2 == 1) & (F.col("event_id") % 5 == 0)
+    items = e.groupBy("block").agg(F.collect_list(F.when(cut, F.concat(item, F.lit(" x"))).otherwise(item)).alias("items"))
+    whole = F.when(F.col("block") % 2 == 0, F.concat(F.lit("\t\n [\n"), F.array_join("items", ",\n"), F.lit("\n]"))).otherwise(
+        F.array_join("items", "\n"))
+    path = _scratch(spark, "mixed-files")
+    items.select(whole.alias("value"), "block").write.partitionBy("block").text(path)
+    return io.read_json_or_jsonl(spark, path, T.StructType([T.StructField("key", T.LongType()), T.StructField("v", T.LongType())])).select("key", "v")
+
+
+def appended_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A log of JSON lines, written once and appended to; read back, the last line of each key wins."""
+    from evalloop.sources import io
+    e = fx.read_table(spark, sf, "events").select(
+        F.concat(F.lit("k"), (F.col("event_id") % 997).cast("string")).alias("key"), F.col("event_id").alias("seq"), F.col("user_id").alias("v"))
+    path = _scratch(spark, "appended")
+    io.write_table(e.filter("seq % 3 = 0"), path, fmt="json")
+    io.append_rows(e.filter("seq % 3 <> 0"), path, fmt="json")
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("v", T.LongType())])
+    return jd.last_wins(io.read_keyed_jsonl(spark, path, schema, "key"), "key", "seq").select("key", "seq", "v")
+
+
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
     """A registry of files per dataset; the highest version wins."""
     from evalloop.sources import io

@@ -66,6 +66,8 @@ REGISTRY = {
     "mixed_k_summary": (q.mixed_k_summary, oq.q_mixed_k_summary),
     "stripped_validation": (q.stripped_validation, oq.q_stripped_validation),
     "tolerant_log": (q.tolerant_log, oq.q_tolerant_log),
+    "auto_reader": (q.auto_reader, oq.q_auto_reader),
+    "appended_log": (q.appended_log, oq.q_appended_log),
     "manifest": (q.manifest, oq.q_manifest),
     "split_choice": (q.split_choice, oq.q_split_choice),
     "answer_values": (q.answer_values, oq.q_answer_values),

@@ -3,7 +3,8 @@
 JSON arrays and JSON-lines logs come in through Spark's readers with an
 explicit schema; stages exchange parquet.  No file is opened on the driver.
 A value that does not fit its column becomes null and the raw line is kept in
-``_corrupt_record``: a well-formed object is never dropped.
+``_corrupt_record``: a well-formed object is never dropped, and a line that is
+more or less than one object never kept (Python's ``json`` tells, as the rule does).
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalloop.functions import text as tx
+
 CORRUPT = "_corrupt_record"
 
 
@@ -21,8 +24,11 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType | None
     """A file holding one JSON array of objects.
 
     ``multiLine`` parses each file whole (one task per file): convert once to
-    parquet and read that downstream.
+    parquet and read that downstream.  A file that is no array raises ``ValueError``.
     """
+    other = _heads(spark, path).filter("head <> '['").first()
+    if other is not None:
+        raise ValueError(f"{other['file']} does not hold a JSON array")
     r = spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
     if schema is not None:
         r = r.schema(schema)
@@ -36,16 +42,16 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
 def _object_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
     """The lines that are JSON objects, parsed; ``_raw_file`` and ``_raw_pos`` give file and order within it.
 
-    Blank lines, arrays, scalars and text that does not parse at all give no row.
+    Blank lines, arrays, scalars and lines that are not one whole object give no row; of repeated keys the last counts.
     """
     full = _with_corrupt(schema)
     lines = spark.read.text(paths).select(
         "value", F.input_file_name().alias("_raw_file"), F.monotonically_increasing_id().alias("_raw_pos"))
-    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    rows = lines.filter(F.ltrim("value").startswith("{")).withColumn("_o", parsed)
-    # a line that does not parse has no key at all; one with a wrong value keeps the others
-    whole = F.try_parse_json("value").isNotNull()
-    return rows.filter(whole).select("_o.*", "_raw_file", "_raw_pos")
+    whole = lines.withColumn("_json", tx.whole_object_json("value")).filter(F.col("_json").isNotNull())
+    parsed = F.from_json("_json", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    line = F.when(F.col(f"_o.{CORRUPT}").isNotNull(), F.col("value")).alias(CORRUPT)
+    return whole.withColumn("_o", parsed).select(
+        *[line if c == CORRUPT else F.col(f"_o.`{c}`") for c in full.fieldNames()], "_raw_file", "_raw_pos")
 
 
 def read_keyed_jsonl(spark: SparkSession, path: str, schema: T.StructType, key: str,
@@ -59,15 +65,19 @@ def read_keyed_jsonl(spark: SparkSession, path: str, schema: T.StructType, key:
         "_raw_file", "_raw_pos")
 
 
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``head``: the first non-blank character of every file below ``path`` that has one."""
+    lines = spark.read.text(path).select(
+        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos"), tx.py_lstrip("value").alias("line"))
+    return lines.filter(F.col("line") != "").groupBy("file").agg(F.min_by(F.substring("line", 1, 1), "pos").alias("head"))
+
+
 def array_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     """S3 helper: the files below ``path`` whose first non-blank character is ``[``, and the others.
 
-    One Spark pass over the first non-blank lines; a row per file reaches the driver.
+    A row per file reaches the driver, as the names of the files to read do.
     """
-    lines = spark.read.text(path).select(
-        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos"), F.ltrim("value").alias("line"))
-    heads = lines.filter(F.col("line") != "").groupBy("file").agg(
-        F.min_by(F.substring("line", 1, 1), "pos").alias("head")).collect()
+    heads = _heads(spark, path).collect()
     return [r["file"] for r in heads if r["head"] == "["], [r["file"] for r in heads if r["head"] != "["]
 
 

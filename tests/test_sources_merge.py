@@ -108,3 +108,26 @@ def test_a_cluster_must_name_its_checkpoint_folder(monkeypatch):
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(cluster)
+
+
+def test_lines_that_are_one_whole_object_and_nothing_else(spark):
+    d = tempfile.mkdtemp(prefix="evalloop-jsonl-")
+    good = ['\t{"_judge_key": "tab", "v": 1}', '{"_judge_key": "old", "v": 1, "_judge_key": "twice", "v": 2}', '{"_judge_key": "nan", "v": NaN}',
+            '{"_judge_key": "inf", "v": -Infinity}', '\u3000{"_judge_key": "wide blank", "v": 3}\u00a0', '{"_judge_key": "deep", "x": [{"y": {}}], "v": 4}']
+    bad = ['{"_judge_key": "a", "v": 1} trailing', '{"_judge_key": "b", "v": 1},', '{"_judge_key": "c"}{"_judge_key": "d"}', "{'_judge_key': 'e'}",
+           '{"_judge_key": "f", "v": 1', '[{"_judge_key": "g"}]', '"h"', '{"_judge_key": 01}']
+    with open(os.path.join(d, "log.jsonl"), "w") as f:
+        f.write("\n".join(good + bad))
+    rows = {r._judge_key: r for r in io.read_keyed_jsonl(spark, d, SCHEMA, "_judge_key").collect()}
+    assert {k: r.v for k, r in rows.items()} == {"tab": 1, "twice": 2, "nan": None, "inf": None, "wide blank": 3, "deep": 4}
+    assert rows["nan"][io.CORRUPT] == good[2] and rows["tab"][io.CORRUPT] is None
+
+
+def test_array_reader_rejects_other_files(spark):
+    d = tempfile.mkdtemp(prefix="evalloop-json-")
+    for name, text in (("a.json", '\t\n [{"v": 1}]'), ("b.json", '{"v": 2}')):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    assert io.read_json_array(spark, os.path.join(d, "a.json"), SCHEMA).count() == 1
+    with pytest.raises(ValueError, match="b.json"):
+        io.read_json_array(spark, d, SCHEMA)
