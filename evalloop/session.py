@@ -49,8 +49,10 @@ def tune_session(spark: SparkSession) -> None:
     """Session settings the jobs rely on for speed (results are unchanged), and the package for the workers.
 
     JVM case mapping: ``lower`` via ICU is several times slower on long texts.
+    Arrow batches are bounded by bytes, as texts may be long.
     """
     spark.conf.set("spark.sql.icu.caseMappings.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     ship_package(spark)
 
 
