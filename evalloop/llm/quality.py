@@ -2,8 +2,8 @@
 
 Statistics of every text are column expressions.  Rules are conjunctions of thresholds on them.  A rule grows
 one condition at a time, by the gain over the labelled documents that no earlier rule covers (two thirds of
-them), is pruned from its end on the other third, and joins the list if it is still pure there; the list ends
-when no such rule is found.  What is counted is a table of labelled cells (documents that fall between the same
+them), is pruned from its end on the other third, and joins the list if it is still pure there; else what it
+covers is set aside.  The list ends when no condition is worth its description.  What is counted is a table of labelled cells (documents that fall between the same
 thresholds, good and bad): every step is one grouped count over it, and only counts per statistic and
 threshold reach the driver, never documents.
 """
@@ -16,10 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloop.llm.common import cut_lineage
+from evalloop.llm.common import BROADCAST_ROWS, cut_lineage
 from evalloop.llm.expressions import let, total
 
 WINDOW = 5
+#: Tries after which the cells that are still open are stored anew.
+ROUNDS = 16
 #: Base limits: fewer words, or a larger percentage of words in repeated windows, fail.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
@@ -145,54 +147,68 @@ def _counts(df: DataFrame) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def _best(counts: dict[str, list[tuple[int, int]]]) -> tuple[float, Condition | None, int]:
-    """The condition with the largest gain, and how many good documents it leaves."""
+def _saved(bad: int, good: int, all_bad: int, all_good: int) -> float:
+    """Bits that a rule saves on the bad documents it covers, against the share of bad ones among all."""
+    return bad * (math.log2((bad + 1) / (bad + good + 2)) - math.log2((all_bad + 1) / (all_bad + all_good + 2)))
+
+
+def _best(counts: dict[str, list[tuple[int, int]]], cost: float, least_bad: int) -> tuple[float, Condition | None, int]:
+    """The condition that saves most bits beyond ``cost`` and leaves ``least_bad`` bad documents, and how many good ones it leaves."""
     good, bad = (sum(x[k] for x in next(iter(counts.values()))) for k in (0, 1))
-    share = lambda b, g: math.log2((b + 1) / (b + g + 2))
-    top: tuple[float, Condition | None, int] = (1e-9, None, good)
+    top: tuple[float, Condition | None, int] = (cost, None, good)
     for name, places in counts.items():
         g = b = 0
         for at in range(len(places) - 1):
             g, b = g + places[at][0], b + places[at][1]
             for above, gg, bb in ((False, g, b), (True, good - g, bad - b)):
-                gain = bb * (share(bb, gg) - share(bad, good))
-                if gain > top[0]:
+                gain = _saved(bb, gg, bad, good)
+                if bb >= least_bad and gain > top[0]:
                     top = gain, Condition(name, at, above), gg
     return top
 
 
-def learn(stats: DataFrame, most_rules: int = 12, most_conditions: int = 4, purity: float = 0.85,
-          least_bad: int = 4) -> list[Rule]:
+def learn(stats: DataFrame, purity: float = 0.85, least_bad: int = 4) -> list[Rule]:
     """Rules that recognise bad documents, in order, from a stored table of ``cells``.
 
-    A rule is kept if the smoothed share of bad documents among those it covers in the pruning part is at
-    least ``purity`` and it covers at least ``least_bad`` bad ones there; without labels the list is empty.
+    A condition joins a rule if it saves more bits on the bad documents than it takes to name one of the
+    thresholds, and leaves ``least_bad`` of them.  A rule is kept if the smoothed share of bad documents among those it covers
+    in the pruning part is at least ``purity``, it covers at least ``least_bad`` bad ones there, and saves more bits
+    than it takes to number the tries so far.  The bad documents of a rule that fails are set aside: later rules do not
+    seek them, while the good ones beside them still count against every rule.  The list ends when no condition
+    saves its own bits, so neither rules nor conditions are limited in number; every try sets documents aside or
+    covers them, so there are at most as many tries as bad documents / ``least_bad``.  Without labels the list is empty.
     """
     rules: list[Rule] = []
-    open_cells = F.lit(True)
-    while len(rules) < most_rules:
-        rest = stats.filter(open_cells)
+    open_cells, sought, tries = F.lit(True), F.lit(True), 0
+    cost = math.log2(2 * sum(map(len, GRID.values())))
+    while True:
+        tries += 1
+        rest = stats.filter(open_cells).withColumn("sought", F.when(sought, F.col("bad")).otherwise(0))
         grown: list[Condition] = []
-        while len(grown) < most_conditions:
-            gain, condition, good = _best(_counts(rest.filter(~F.col("prunes") & _all(grown))))
+        while True:
+            seen = rest.filter(~F.col("prunes") & _all(grown)).select("cell", "good", F.col("sought").alias("bad"))
+            _, condition, good = _best(_counts(seen), cost, least_bad)
             if condition is None:
                 break
             grown.append(condition)
             if not good:
                 break
         if not grown:
-            break
-        sums = [F.sum(F.when(_all(grown[:k + 1]), F.col(c)).otherwise(0)).alias(f"{c}{k}")
-                for k in range(len(grown)) for c in ("good", "bad")]
+            return rules
+        sums = [F.sum(F.when(_all(grown[:k]), F.col(c)).otherwise(0)).alias(f"{c}{k}")
+                for k in range(len(grown) + 1) for c in ("good", "bad")]
         row = rest.filter("prunes").agg(*sums).first()
-        held = [((row[f"bad{k}"] or 0), (row[f"good{k}"] or 0)) for k in range(len(grown))]
-        keep = max(range(len(grown)), key=lambda k: ((held[k][0] - held[k][1]) / max(1, sum(held[k])), held[k][0], -k))
-        bad, good = held[keep]
-        if bad < least_bad or (bad + 1) / (bad + good + 2) < purity:
-            break
-        rules.append(tuple(grown[:keep + 1]))
-        open_cells &= ~_all(rules[-1])
-    return rules
+        held = [((row[f"bad{k}"] or 0), (row[f"good{k}"] or 0)) for k in range(len(grown) + 1)]
+        keep = max(range(1, len(held)), key=lambda k: ((held[k][0] - held[k][1]) / max(1, sum(held[k])), held[k][0], -k))
+        (bad, good), saved = held[keep], _saved(*held[keep], *held[0])
+        if bad >= least_bad and (bad + 1) / (bad + good + 2) >= purity and saved > math.log2(tries):
+            rules.append(tuple(grown[:keep]))
+            open_cells &= ~_all(rules[-1])
+        else:
+            sought &= ~_all(grown)
+        if tries % ROUNDS == 0:  # the masks of many tries would make the plan long
+            stats = cut_lineage(stats.filter(open_cells).withColumn("sought", sought), "quality-open")
+            open_cells, sought = F.lit(True), F.col("sought")
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -232,11 +248,19 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``judge`` would not keep.
+    """``docs`` without the rows that ``judge`` would not keep, with all its columns.
 
-    Each row is judged by its own text in a second pass, so nothing is joined back to the texts.
+    Rules are learned from the statistics of the labelled rows alone; then each row is judged by its own text in one pass
+    over all, so nothing is joined back to the texts.  Null and empty texts have no words and go; rows that repeat an id
+    are judged one by one; rows with a null id are judged but never learned from; an empty table gives an empty result.
     """
-    stats = cut_lineage(statistics(docs, text_col, [F.col(id_col)]).withColumnRenamed("_keep0", "_id"), "quality-statistics")
+    named = cut_lineage(labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").alias("_label_id")).distinct(), "quality-label-ids")
+    read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body"))
+    if named.count() <= BROADCAST_ROWS:
+        read = read.join(F.broadcast(named), F.col("_id") == F.col("_label_id"), "left_semi")
+    # beyond that the texts would be shuffled for the join: their statistics are joined instead
+    stats = cut_lineage(statistics(read, "_body", [F.col("_id")]).withColumnRenamed("_keep0", "_id"), "quality-statistics")
     rules = learn(labelled_cells(stats, labels, "_id"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text_col).alias("_body"))
     judged = statistics(whole, "_body", [F.col("_doc")])

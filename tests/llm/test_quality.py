@@ -83,6 +83,38 @@ def test_random_labels_give_no_rule(spark):
     assert quality.learn(quality.cut_lineage(quality.cells(spark.createDataFrame(rows, names)))) == []
 
 
+NAMES = ["fold_by", "bad", "n_words", "repeated", "symbols", "capitals", "marks", "distinct", "same_lines", "word_length"]
+
+
+def learned(spark, rows):
+    return quality.learn(quality.cut_lineage(quality.cells(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], NAMES))))
+
+
+def row(bad, marks=0.0, capitals=0.0, n=100, symbols=0.0, length=5.0):
+    return bad, n, 0.0, symbols, capitals, marks, 0.7, 0.0, length
+
+
+def test_a_noisy_region_does_not_end_the_list(spark):
+    """120 bad documents in a region of their own; beside them a region of 1,450 that is bad to 69 %."""
+    rng = random.Random(12)
+    rows = [row(0) for _ in range(3000)] + [row(1, marks=0.3) for _ in range(120)]
+    rows += [row(int(rng.random() < 0.69), capitals=0.6) for _ in range(1450)]
+    rules = learned(spark, rows)
+    assert [{c.statistic for c in r} for r in rules] == [{"marks"}]
+
+
+def test_a_thirteenth_kind_of_junk_is_learned(spark):
+    """Fourteen kinds, each a range of word lengths between good ones."""
+    rows = []
+    for kind in range(28):
+        rows += [row(kind % 2, length=1.25 + kind / 2) for _ in range(90)]
+    rules = learned(spark, rows)
+    assert len(rules) >= 13
+    held = lambda r, x: all((x > quality.GRID[c.statistic][c.at]) == c.above for c in r)
+    for kind in range(28):
+        assert any(held(r, 1.25 + kind / 2) for r in rules) == bool(kind % 2)
+
+
 def test_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     judged, rules = quality.judge(odd, none)
