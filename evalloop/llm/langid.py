@@ -1,9 +1,9 @@
 """Languages of multilingual documents: a mixture of language models, fitted per document by EM.
 
 A language model is a distribution over hashed character trigrams of words.  A document's words are taken as drawn
-from a mixture of languages; expectation-maximisation estimates the proportions.  Sets of the most probable
-languages compete by their likelihood less a penalty for each language more (half the logarithm of the
-number of words); the largest proportion of the chosen set is the prediction.
+from a mixture of languages; expectation-maximisation estimates the proportions.  The sets of the k most probable
+languages, for every k up to all that were learned, compete by their likelihood less a penalty for each language more
+(half the logarithm of the number of words); the largest proportion of the chosen set is the prediction.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from evalloop.llm.common import cut_lineage, held_out, prepare, small_side
 from evalloop.llm.terms import Remembered, gram_slots, words
 
-#: Documents of a language that its model is learned from, about and in the mean.
+#: Distinct texts of a language that its model is learned from, about and in the mean.
 SAMPLE = 3_000
 SLOTS, GRAMS, SMOOTHING = 1 << 16, (3,), 0.5
-STEPS, MOST_LANGUAGES = 12, 4
+STEPS = 12
 #: Documents that take their steps together.
 TOGETHER = 64
 
@@ -31,13 +31,19 @@ def _word(word: str) -> bool:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> DataFrame:
-    """A stored table of ``text`` and ``lang``: rows whose id's hash is below the share that gives ``most`` a language."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(
-        F.xxhash64(F.col(id_col), F.lit(13)).alias("draw"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = cut_lineage(rows.groupBy("lang").count().select(
-        F.col("lang").alias("of"), F.least(F.lit(1.0), most / F.col("count")).alias("share")), "lang-sizes")
-    drawn = (F.shiftrightunsigned("draw", 11) / float(1 << 53)) <= F.col("share")
-    return cut_lineage(rows.join(small_side(sizes), F.col("lang") == F.col("of")).filter(drawn).select("lang", "text"), "lang-sample")
+    """A stored table of ``text`` and ``lang``: distinct texts whose hash is below the share that gives ``most`` a language.
+
+    The share comes from the number of distinct texts of a language, estimated by a sketch that is merged on the map
+    side: however many rows repeat one id or one text, the sample is bounded and every language has one.
+    Of the texts only those drawn are shuffled, one row of each per map task.
+    """
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(
+        F.xxhash64(F.col(text_col), F.lit(13)).alias("draw"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sizes = cut_lineage(rows.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("n"), F.min("draw").alias("first")).select(
+        F.col("lang").alias("of"), (most / F.col("n")).alias("share"), "first"), "lang-sizes")
+    drawn = ((F.shiftrightunsigned("draw", 11) / float(1 << 53)) <= F.col("share")) | (F.col("draw") == F.col("first"))
+    return cut_lineage(rows.join(small_side(sizes), F.col("lang") == F.col("of")).filter(drawn).groupBy("lang", "draw").agg(
+        F.first("text").alias("text")).select("lang", "text"), "lang-sample")
 
 
 class Languages:
@@ -53,31 +59,56 @@ class Languages:
         return self.logs[gram_slots(word, GRAMS, SLOTS)].sum(axis=0) if _word(word) else None
 
     def mixtures(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """The best language and its proportion for documents given as (word logs, counts), none empty.
-
-        Languages join a document's set in order of their proportions in the mixture of all, as long as the
-        likelihood gains more than the penalty.  All documents of a batch take their steps together.
+        """The best language of the chosen set and its proportion in the mixture of all, for documents as in ``sets``."""
+        best, share, _ = self.sets(docs)
+        return best, share
+
+    def sets(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``mixtures``, and the proportions in the chosen set (documents x languages, 0 outside the set).
+
+        Documents are given as (word logs, counts), none empty.  The sets are the k languages with the largest
+        proportions in the mixture of all, for every k.  By concavity the likelihood of any set is at most that of the mixture
+        of all plus N log max_j g_j (N words, g_j the mean of p_j(w) / p(w)): a document leaves the search
+        when this bound less the penalty of k no longer exceeds its best score, so nothing that could win is left out.
+        All documents of a batch take their steps together.
         """
         logs = np.concatenate([d[0] for d in docs])
         counts = np.concatenate([d[1] for d in docs])
         lengths = np.array([len(d[1]) for d in docs])
-        whole, _ = self._steps(logs, counts, lengths, np.ones((len(docs), len(self.names))))
         starts = np.cumsum(lengths) - lengths
+        many = len(self.names)
+        whole, full = self._steps(logs, counts, lengths, np.ones((len(docs), many)))
+        words_of = np.add.reduceat(counts, starts)
+        each = 0.5 * np.log(words_of + 1)
+        most = full + words_of * np.log(np.maximum(self._slack(logs, counts, lengths, whole), 1.0)) + 1e-6
         single = np.add.reduceat(counts[:, None] * logs, starts)
         score, best = single.max(axis=1), single.argmax(axis=1)
+        chosen = np.zeros((len(docs), many))
+        chosen[np.arange(len(docs)), best] = 1.0
         rank = np.argsort(np.argsort(-whole, axis=1, kind="stable"), axis=1)
+        doc = np.repeat(np.arange(len(docs)), lengths)
         going = np.arange(len(docs))
-        for k in range(2, min(MOST_LANGUAGES, len(self.names)) + 1):
-            some = np.isin(np.repeat(np.arange(len(docs)), lengths), going)
-            share, fit = self._steps(logs[some], counts[some], lengths[going], (rank[going] < k).astype(float))
-            sizes = np.add.reduceat(counts[some], np.cumsum(lengths[going]) - lengths[going])
-            fit = fit - 0.5 * (k - 1) * np.log(sizes + 1)
-            better = fit > score[going]
-            going = going[better]
+        for k in range(2, many + 1):
+            going = going[most[going] - (k - 1) * each[going] > score[going]]
             if not len(going):
                 break
-            score[going], best[going] = fit[better], share[better].argmax(axis=1)
-        return best, np.clip(whole[np.arange(len(docs)), best], 0.0, 1.0)
+            some = np.isin(doc, going)
+            share, fit = (whole[going], full[going]) if k == many else self._steps(
+                logs[some], counts[some], lengths[going], (rank[going] < k).astype(float))
+            fit = fit - (k - 1) * each[going]
+            won = fit > score[going]
+            at = going[won]
+            score[at], best[at], chosen[at] = fit[won], share[won].argmax(axis=1), share[won]
+        return best, np.clip(whole[np.arange(len(docs)), best], 0.0, 1.0), chosen
+
+    @staticmethod
+    def _slack(logs: np.ndarray, counts: np.ndarray, lengths: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """The largest mean of p_j(w) / p(w) over the words of each document: 1 where the mixture cannot gain."""
+        starts = np.cumsum(lengths) - lengths
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        like = np.exp(logs - logs.max(axis=1)[:, None])
+        ratio = like * (counts / np.maximum((share[doc] * like).sum(axis=1), 1e-300))[:, None]
+        return (np.add.reduceat(ratio, starts) / np.add.reduceat(counts, starts)[:, None]).max(axis=1)
 
     @staticmethod
     def _steps(logs: np.ndarray, counts: np.ndarray, lengths: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +158,10 @@ class KnownWords:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> Languages:
-    """Trigram counts by language, summed by Spark; languages times ``SLOTS`` numbers at most reach the driver."""
+    """Trigram counts by language, summed by Spark; languages times ``SLOTS`` numbers at most reach the driver.
+
+    The model takes 0.5 MB a language in the driver and in each worker: ``lang`` is to hold languages, not free text.
+    """
     prepare(docs.sparkSession)
     texts = sample(docs, id_col, text_col, lang_col, most)
 
@@ -154,11 +188,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``held_out``, ``lang_pred``, ``score`` of every row: one pass over whole texts, without a shuffle.
+    """``id_col``, ``held_out``, ``lang_pred``, ``score``, ``languages``, ``shares`` of every row: one pass over whole texts, no shuffle.
 
-    ``score`` is the proportion of the predicted language in the mixture of all.  Null texts and texts without a
-    letter are ``und`` with score 0, as is everything if no language was learned; ids may be null or repeat; an
-    empty table gives an empty result; other columns are not read.
+    ``score`` is the proportion of the predicted language in the mixture of all; ``languages`` is the chosen set, the
+    largest proportion first (ties by name), and ``shares`` its proportions.  Null texts and texts without a letter
+    are ``und`` with score 0 and an empty set, as is everything if no language was learned; ids may be null or
+    repeat; an empty table gives an empty result; other columns are not read.
     """
     prepare(docs.sparkSession)
     ids = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
@@ -170,20 +205,24 @@ def identify(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text
         known = KnownWords(own)
         for batch in batches:
             names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+            found, shares = [[] for _ in names], [[] for _ in names]
             counts = [Counter(words(t)) for t in batch.column("text").to_pylist()] if own.names else []
             for first in range(0, len(counts), TOGETHER):
                 some = counts[first:first + TOGETHER]
                 known.learn(set().union(*some))
                 held = [(first + k, x) for k, x in enumerate(map(known.of, some)) if len(x[1])]
                 if held:
-                    best, share = own.mixtures([x for _, x in held])
-                    for (k, _), b, s in zip(held, best.tolist(), share.tolist()):
+                    best, share, chosen = own.sets([x for _, x in held])
+                    for (k, _), b, s, c in zip(held, best.tolist(), share.tolist(), chosen):
                         names[k], scores[k] = own.names[b], s
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(names, pa.string()), pa.array(scores)],
-                                             names=["_id", "lang_pred", "score"])
-
-    found = ids.mapInArrow(run, f"_id {kind}, lang_pred string, score double")
-    return found.select(F.col("_id").alias(id_col), held_out("_id").alias("held_out"), "lang_pred", "score")
+                        order = [j for j in np.argsort(-c, kind="stable").tolist() if c[j] > 0]
+                        found[k], shares[k] = [own.names[j] for j in order], c[order].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), pa.array(names, pa.string()), pa.array(scores), pa.array(found, pa.list_(pa.string())),
+                 pa.array(shares, pa.list_(pa.float64()))], names=["_id", "lang_pred", "score", "languages", "shares"])
+
+    found = ids.mapInArrow(run, f"_id {kind}, lang_pred string, score double, languages array<string>, shares array<double>")
+    return found.select(F.col("_id").alias(id_col), held_out("_id").alias("held_out"), "lang_pred", "score", "languages", "shares")
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -59,6 +59,65 @@ def test_steps_never_lower_the_likelihood(monkeypatch):
     assert all(b >= a - 1e-9 for a, b in zip(values, values[1:]))
 
 
+LETTERS = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+
+
+def test_a_document_of_six_languages(spark, documents):
+    """Six learned languages: a document of six, of five and of one; the set and the proportions are returned."""
+    rng = random.Random(7)
+    names = [f"l{k}" for k in range(6)]
+    rows = [(k, texts(rng, LETTERS[k % 6], 60), names[k % 6], "s", 0) for k in range(240)]
+    rows.append((1000, " ".join(texts(rng, x, 50) for x in LETTERS), None, "s", 0))
+    rows.append((1001, " ".join(texts(rng, x, 20 + 10 * k) for k, x in enumerate(LETTERS[:5])), None, "s", 0))
+    rows.append((1002, texts(rng, LETTERS[3], 50), None, "s", 0))
+    got = {r.doc_id: r for r in langid.languages(documents(rows)).collect()}
+    assert set(got[1000].languages) == set(names) and np.allclose(got[1000].shares, 1 / 6, atol=0.03)
+    assert got[1001].languages == names[4::-1] and np.allclose(got[1001].shares, [0.3, 0.25, 0.2, 0.15, 0.1], atol=0.03)
+    assert got[1002].languages == ["l3"] and got[1002].shares == [1.0] and got[1002].lang_pred == "l3"
+    assert all(got[k].languages == [names[k % 6]] for k in range(240))
+
+
+def test_the_chosen_set_equals_a_search_without_bound():
+    """Every k tried on its own, document by document."""
+    rng = random.Random(11)
+    own = model(rng)
+    docs = []
+    for _ in range(60):
+        text = " ".join(texts(rng, x, rng.randint(0, 12)) for x in ("abcde", "cdefg", "xyz")) + " a"
+        logs = np.array([own.word_logs(w) for w in langid.words(text)])
+        docs.append((logs, np.ones(len(logs))))
+    best, share, chosen = own.sets(docs)
+    sizes = set()
+    for d, b, c in zip(docs, best, chosen):
+        n = [len(d[1])]
+        whole, _ = own._steps(*d, np.array(n), np.ones((1, 3)))
+        order = np.argsort(-whole[0], kind="stable")
+        tried = [(d[0].sum(axis=0).max(), np.eye(3)[d[0].sum(axis=0).argmax()])]
+        for k in (2, 3):
+            allowed = np.isin(np.arange(3), order[:k]).astype(float)[None]
+            s, fit = own._steps(*d, np.array(n), allowed)
+            tried.append((fit[0] - 0.5 * (k - 1) * np.log(n[0] + 1), s[0]))
+        top = max(tried, key=lambda t: t[0])[1]
+        assert np.allclose(top, c) and top.argmax() == b
+        sizes.add(int((c > 0).sum()))
+    assert sizes == {1, 2, 3}
+
+
+def test_rows_of_a_repeated_id_are_bounded(spark, documents):
+    """A third of the rows repeat one labelled id, another third one text; every language keeps a sample."""
+    rng = random.Random(13)
+    rows = [(7, texts(rng, "abcde", 5), "aa", "s", 0) for _ in range(2000)]
+    rows += [(k + 100, "same words again", "aa", "s", 0) for k in range(2000)]
+    rows += [(k + 9000, texts(rng, "xyz", 5), "bb", "s", 0) for k in range(2000)]
+    df = documents(rows)
+    drawn = langid.sample(df, "doc_id", "text", "lang", 200).collect()
+    assert len({(r.lang, r.text) for r in drawn}) == len(drawn)
+    for lang in ("aa", "bb"):
+        assert 130 <= sum(r.lang == lang for r in drawn) <= 270
+    again = langid.sample(df.repartition(5), "doc_id", "text", "lang", 200).collect()
+    assert sorted(r.text for r in again) == sorted(r.text for r in drawn)
+
+
 def test_odd_rows(spark, odd, documents):
     rows = {r.doc_id: r for r in langid.languages(odd).collect()}
     assert {rows[k].lang_pred for k in (1, 2, 3, 8)} == {"und"} and rows[1].score == 0
