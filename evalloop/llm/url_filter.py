@@ -1,26 +1,27 @@
 """URL filter: a tree of path templates per host, rejected by the purity of their labelled pages; columns only.
 
-Runs of digits in a path are generalised first.  Then the tree is walked level by level: below each template
-so far, a segment stays literal only if enough pages have it and their labels differ from those of its
-siblings taken together; all other segments (the variable ones and the branches that are statistically alike)
-become the wildcard.  A template whose labelled pages are too impure, smoothed towards its host and the host
-towards all pages, is rejected.  Hand-written rules come before the tree.
+Runs of digits in a path are generalised first.  Then the tree is walked from the host down: below each node, a
+segment stays literal only if enough pages have it and their labels differ from those of its siblings taken
+together; all other segments (the variable ones and the branches that are statistically alike) become the
+wildcard.  Every node, inner or leaf, sums its labels; its purity is smoothed towards that of the node above
+it, the host's towards all pages.  A page takes the verdict of the deepest node on its path that has enough
+labels.  A node with too few labels to change a verdict below it is not walked further, and segments that all
+pages of a node share are passed in one step, so no depth is set.  Hand-written rules come before the tree.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloop.llm.common import cut_lineage, small_side
 
-#: Segments of a path that the tree tells apart; what lies deeper is one tail.
-DEPTH = 12
 #: Pages and labelled pages that a literal branch needs, and how many standard errors it lies off its siblings.
 LEAST_PAGES, LEAST_LABELS, APART = 20, 8, 3.0
-#: Pseudo-labels of the host (and of all pages) in a purity, and the purity below which a template is rejected.
+#: Pseudo-labels of the node above (for a host, of all pages) in a purity, and the purity below which a node is rejected.
 PRIOR, PURITY = 10.0, 0.5
 
 
@@ -56,50 +57,105 @@ def shape(path: Column) -> Column:
     return F.regexp_replace(hexes, r"[0-9]+", "{n}")
 
 
-def templates(shapes: DataFrame, depth: int = DEPTH, least_pages: int = LEAST_PAGES, least_labels: int = LEAST_LABELS,
-              apart: float = APART) -> DataFrame:
-    """``shapes`` (a stored table of host, shape, n, good, bad) with the ``template`` that each falls under.
+#: Stands for the end of a path among the segments below a node; no segment holds a slash.
+END = "/"
 
-    A level is a grouped count of the children, one of their parents, and two joins with tables of nodes; hosts
-    and branches with a third of all pages are counted on the map side first.
+
+def _wild(segment: Column) -> Column:
+    """The wildcard; an empty segment (and the end of a path) is no variable."""
+    return F.when(segment.isin("", END), segment).otherwise(F.lit("*"))
+
+
+def _below(template: Column, segments: Column) -> Column:
+    """``template`` with all ``segments`` generalised below it."""
+    return F.concat(template, F.array_join(F.transform(segments, lambda x: F.concat(F.lit("/"), _wild(x))), ""))
+
+
+def _shared(low: Column, high: Column) -> Column:
+    """How many first segments the smallest and the largest of some paths share, and so all between them."""
+    most = F.least(F.size(low), F.size(high))
+    same = F.when(most > 0, F.transform(F.sequence(F.lit(0), F.greatest(most, F.lit(1)) - 1), lambda k: F.get(low, k) == F.get(high, k)))
+    differs = F.coalesce(F.array_position(same, False), F.lit(0))
+    return F.when(differs > 0, differs - 1).otherwise(most).cast("int")
+
+
+def _tail(segments: Column, count: Column) -> Column:
+    return F.slice(segments, count + 1, F.greatest(F.size(segments) - count, F.lit(0)))
+
+
+def templates(shapes: DataFrame, least_pages: int = LEAST_PAGES, least_labels: int = LEAST_LABELS, apart: float = APART,
+              prior: float = PRIOR, purity: float = PURITY) -> DataFrame:
+    """``host``, ``shape``, ``template`` and ``out`` (rejected) of ``shapes`` (a stored table of host, shape, n, good, bad).
+
+    A step is a grouped count of the children of all open nodes, one of their parents, and joins with tables
+    of nodes; hosts and branches with a third of all pages are counted on the map side first.  A node is open while it
+    has more than ``least_labels`` labels: with fewer, no segment below it can be literal, and a node below it has either
+    all its labels, and so its purity, or too few.  Steps end when no node is open: there are at most as many as places
+    where the paths of an open node part.
     """
-    cut = F.split("shape", "/")
-    deep = F.when(F.size(cut) > depth, F.concat(F.slice(cut, 1, depth), F.array(F.lit("**")))).otherwise(cut)
-    now = shapes.withColumn("segments", deep).withColumn("template", F.lit(""))
-    levels = shapes.agg(F.max(F.size(cut))).first()[0] or 0
-    sums = lambda: [F.sum(c).alias(c) for c in ("n", "good", "bad")]
-    for level in range(min(levels, depth + 1)):
-        open_ = F.size("segments") > level
-        kids = cut_lineage(now.filter(open_).groupBy("host", "template", F.get("segments", F.lit(level)).alias("segment")).agg(*sums()), "url-kids")
-        pool = cut_lineage(kids.groupBy("host", "template").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")), "url-parents")
-        own, rest = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad") - F.col("good") - F.col("bad")
-        pooled = F.col("all_bad") / (F.col("all_good") + F.col("all_bad"))
-        error = F.sqrt(pooled * (1 - pooled) * (1 / own + 1 / rest))
-        differ = F.abs(F.col("bad") / own - (F.col("all_bad") - F.col("bad")) / rest) > apart * error
-        literal = kids.join(small_side(pool), ["host", "template"]).filter(
-            (F.col("n") >= least_pages) & (own >= least_labels) & F.when((own > 0) & (rest > 0), differ).otherwise(False))
-        literal = cut_lineage(literal.select("host", "template", "segment", F.col("segment").alias("kept")), "url-literals")
-        # a path begins with "/", so its first segment is empty; an empty segment is no variable
-        name = F.when(F.col("segment").isin("", "**"), F.col("segment")).otherwise(F.coalesce("kept", F.lit("*")))
-        longer = F.when(F.lit(level == 0), name).otherwise(F.concat("template", F.lit("/"), name))
-        now = now.withColumn("segment", F.when(open_, F.get("segments", F.lit(level)))).join(
-            small_side(literal), ["host", "template", "segment"], "left")
-        now = now.withColumn("template", F.when(open_, longer).otherwise(F.col("template"))).drop("segment", "kept")
-        now = cut_lineage(now, "url-level")
-    return now.drop("segments")
-
-
-def rejected(placed: DataFrame, prior: float = PRIOR, purity: float = PURITY, least_labels: int = LEAST_LABELS) -> DataFrame:
-    """``host``, ``template`` of the templates whose smoothed labelled purity is below ``purity``."""
-    nodes = placed.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    nodes = cut_lineage(nodes, "url-templates")
-    hosts = cut_lineage(nodes.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("bad").alias("host_bad")), "url-hosts")
-    good, bad = hosts.agg(F.sum("host_good"), F.sum("host_bad")).first()
+    sums = lambda: [F.sum(c).alias(c) for c in ("good", "bad")]
+    ranges = lambda low, high: [F.min(low).alias("low"), F.max(high).alias("high")]
+    tail = F.split("shape", "/")
+    rows = shapes.select("host", "shape", "n", "good", "bad", F.lit("").alias("template"), _tail(tail, F.lit(1)).alias("tail"))
+    hosts = cut_lineage(rows.groupBy("host").agg(*sums(), *ranges("tail", "tail")), "url-hosts")
+    good, bad = hosts.agg(F.sum("good"), F.sum("bad")).first()
     overall = (good + 1) / (good + bad + 2) if good is not None else 0.5
-    host = (F.col("host_good") + prior * overall) / (F.col("host_good") + F.col("host_bad") + prior)
-    own = (F.col("good") + prior * host) / (F.col("good") + F.col("bad") + prior)
-    return nodes.join(small_side(hosts), "host").filter((F.col("good") + F.col("bad") >= least_labels) & (own < purity)).select(
-        "host", "template")
+
+    def nodes(df: DataFrame, above: Column, inherits: Column, out: Column) -> DataFrame:
+        """Purity and verdict of nodes, whether they are open, and how many segments their pages share."""
+        labels = F.col("good") + F.col("bad")
+        pure = F.when(inherits, above).otherwise((F.col("good") + prior * above) / (labels + prior))
+        return df.withColumn("pure", pure).select(
+            "*", F.when(labels >= least_labels, F.col("pure") < purity).otherwise(out).alias("out"),
+            (labels > least_labels).alias("open"), _shared(F.col("low"), F.col("high")).alias("shared"))
+
+    def enter(df: DataFrame, node: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows with their node's verdict; those of open nodes go on below the segments that all its pages share."""
+        own = node.select(*keys, F.col("good").alias("node_good"), F.col("bad").alias("node_bad"), "pure", "out", "open", "shared")
+        met = df.join(small_side(own), keys)
+        steps = F.when(F.col("open"), F.col("shared")).otherwise(F.size("tail"))
+        return met.withColumn("template", _below(F.col("template"), F.slice("tail", F.lit(1), steps))).withColumn(
+            "tail", _tail(F.col("tail"), steps))
+
+    root = cut_lineage(nodes(hosts, F.lit(overall), F.lit(False), F.lit(False)), "url-roots")
+    now = cut_lineage(enter(rows, root, ["host"]), "url-level")
+    done = []
+    while True:
+        done.append(now.filter(~F.col("open")).select("host", "shape", "template", "out"))
+        going = now.filter("open")
+        if going.isEmpty():
+            break
+        segment = F.coalesce(F.get("tail", F.lit(0)), F.lit(END))
+        rest = _tail(F.col("tail"), F.lit(1))
+        of_node = ["node_good", "node_bad", "pure", "out"]
+        kids = cut_lineage(going.groupBy("host", "template", segment.alias("segment"), *of_node).agg(
+            F.sum("n").alias("n"), *sums(), *ranges(rest, rest)), "url-kids")
+        pool = cut_lineage(kids.filter(F.col("segment") != END).groupBy("host", "template").agg(
+            F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")), "url-parents")
+        own, others = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad") - F.col("good") - F.col("bad")
+        pooled = F.col("all_bad") / (F.col("all_good") + F.col("all_bad"))
+        error = F.sqrt(pooled * (1 - pooled) * (1 / own + 1 / others))
+        differ = F.abs(F.col("bad") / own - (F.col("all_bad") - F.col("bad")) / others) > apart * error
+        # divisions by zero are never reached: labels of its own and beside it come first
+        literal = F.when((F.col("n") >= least_pages) & (own >= least_labels) & (others > 0) & ~F.col("segment").isin("", END),
+                         differ).otherwise(False)
+        named = cut_lineage(kids.join(small_side(pool), ["host", "template"], "left").withColumn(
+            "name", F.when(literal, F.col("segment")).otherwise(_wild(F.col("segment")))).drop("n", "all_good", "all_bad"), "url-named")
+        below = named.groupBy("host", "template", "name", F.col("node_good"), F.col("node_bad"), F.col("pure").alias("above"),
+                              F.col("out").alias("above_out")).agg(*sums(), *ranges("low", "high"))
+        same = (F.col("good") == F.col("node_good")) & (F.col("bad") == F.col("node_bad"))
+        child = nodes(below.drop("pure", "out"), F.col("above"), same, F.col("above_out"))
+        child = cut_lineage(child.withColumn("open", F.col("open") & (F.col("name") != END)), "url-children")
+        kept = cut_lineage(named.filter(F.col("name") == F.col("segment")).filter(~F.col("segment").isin("", END)).select(
+            "host", "template", "segment", F.col("segment").alias("kept")), "url-literals")
+        moved = going.drop("node_good", "node_bad", "pure", "out", "open", "shared").withColumn("segment", segment).join(
+            small_side(kept), ["host", "template", "segment"], "left")
+        moved = moved.withColumn("name", F.coalesce("kept", _wild(F.col("segment")))).withColumn("tail", rest)
+        keyed = child.withColumnRenamed("template", "up")
+        moved = moved.withColumnRenamed("template", "up").withColumn(
+            "template", F.when(F.col("name") == END, F.col("up")).otherwise(F.concat("up", F.lit("/"), "name")))
+        now = cut_lineage(enter(moved, keyed, ["host", "up", "name"]).drop("up", "name", "segment", "kept"), "url-level")
+    return reduce(DataFrame.unionByName, done)
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bad_col: str | None = "bad",
@@ -107,8 +163,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bad_c
     """``id_col``, ``host``, ``path``, ``rule``, ``verdict`` and ``template`` of every row.
 
     ``bad_col``: 1 for a page labelled bad, 0 for good, null without a label.  The verdict is that of the
-    longest rule that fits, else block for rejected templates and allow for all others; templates with few
-    labels are never rejected.  Null urls and urls without ``://`` have an empty host and path; ids may be null
+    longest rule that fits, else block below rejected nodes and allow for all others; without labels nothing is
+    rejected.  Null urls and urls without ``://`` have an empty host and path; ids may be null
     or repeat; an empty table gives an empty result; other columns are not read.
     """
     bad = F.col(bad_col) if bad_col else F.lit(None).cast("int")
@@ -117,10 +173,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bad_c
     shapes = rows.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("mark") == 0, 1).otherwise(0)).alias("good"),
         F.sum(F.when(F.col("mark") == 1, 1).otherwise(0)).alias("bad"))
-    placed = templates(cut_lineage(shapes, "url-shapes"))
-    gone = cut_lineage(rejected(placed), "url-rejected")
-    judged = cut_lineage(placed.select("host", "shape", "template").join(
-        small_side(gone.withColumn("out", F.lit(True))), ["host", "template"], "left"), "url-judged")
+    judged = cut_lineage(templates(cut_lineage(shapes, "url-shapes")), "url-judged")
     first = F.lit(None).cast("string")
     verdict = F.when(F.col("out"), F.lit("block")).otherwise(F.lit("allow"))
     for r in sorted(rules, key=lambda r: len(r.place)):

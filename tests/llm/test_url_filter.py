@@ -34,38 +34,42 @@ def plain_rule(host, path):
 def plain_verdicts(rows):
     """The tree by brute force over (url, bad) pairs: the template and verdict of each row."""
     kept = [(plain(u)[0], url_filter_shape(plain(u)[1]).split("/"), b) for u, b in rows]
-    names = [""] * len(kept)
-    for level in range(max(len(s) for _, s, _ in kept)):
-        groups = {}
-        for k, (h, s, b) in enumerate(kept):
-            if level < len(s):
-                groups.setdefault((h, names[k]), {}).setdefault(s[level], []).append(k)
-        for kids in groups.values():
-            tally = {s: Counter(kept[k][2] for k in ks) for s, ks in kids.items()}
-            good, bad = (sum(t[x] for t in tally.values()) for x in (0, 1))
-            for s, ks in kids.items():
-                g, b = tally[s][0], tally[s][1]
-                own, rest, name = g + b, good + bad - g - b, "*"
-                if s == "":
-                    name = ""
-                elif len(ks) >= 20 and own >= 8 and rest:
-                    pooled = bad / (good + bad)
-                    error = (pooled * (1 - pooled) * (1 / own + 1 / rest)) ** 0.5
-                    if abs(b / own - (bad - b) / rest) > 3 * error:
-                        name = s
-                for k in ks:
-                    names[k] = name if level == 0 else names[k] + "/" + name
-    hosts, nodes, all_ = {}, {}, Counter()
-    for (h, _, b), t in zip(kept, names):
-        hosts.setdefault(h, Counter())[b] += 1
-        nodes.setdefault((h, t), Counter())[b] += 1
-        all_[b] += 1
-    overall = (all_[0] + 1) / (all_[0] + all_[1] + 2)
-    out = []
-    for (h, _, _), t in zip(kept, names):
-        host = (hosts[h][0] + 10 * overall) / (hosts[h][0] + hosts[h][1] + 10)
-        n = nodes[h, t]
-        out.append((t, "block" if n[0] + n[1] >= 8 and (n[0] + 10 * host) / (n[0] + n[1] + 10) < 0.5 else "allow"))
+    tally = lambda ks: (sum(kept[k][2] == 0 for k in ks), sum(kept[k][2] == 1 for k in ks))
+    good, bad = tally(range(len(kept)))
+    out = [None] * len(kept)
+
+    def walk(ks, level, template, counts, above, above_counts, verdict, ended):
+        """One node: rows ``ks``, whose names up to ``level`` make ``template``."""
+        pure = above if counts == above_counts else (counts[0] + 10 * above) / (sum(counts) + 10)
+        if sum(counts) >= 8:
+            verdict = "block" if pure < 0.5 else "allow"
+        kids = {}
+        for k in ks:
+            if ended or level == len(kept[k][1]):
+                kids.setdefault(None, []).append(k)
+            else:
+                kids.setdefault(kept[k][1][level], []).append(k)
+        if set(kids) == {None}:
+            for k in ks:
+                out[k] = template, verdict
+            return
+        g, b = tally([k for s, x in kids.items() if s is not None for k in x])
+        children = {}
+        for s, x in kids.items():
+            name, own = s if s in (None, "") else "*", tally(x)
+            rest = g + b - sum(own)
+            if s and len(x) >= 20 and sum(own) >= 8 and rest:
+                error = ((b / (g + b)) * (1 - b / (g + b)) * (1 / sum(own) + 1 / rest)) ** 0.5
+                if abs(own[1] / sum(own) - (b - own[1]) / rest) > 3 * error:
+                    name = s
+            children.setdefault(name, []).extend(x)
+        for name, x in children.items():
+            walk(x, level + 1, template if name is None else template + "/" + name, tally(x), pure, counts, verdict, name is None)
+
+    overall = (good + 1) / (good + bad + 2)
+    for host in {h for h, _, _ in kept}:
+        ks = [k for k, (h, _, _) in enumerate(kept) if h == host]
+        walk(ks, 1, "", tally(ks), overall, None, "allow", False)
     return out
 
 
@@ -120,6 +124,39 @@ def test_query_over_pages(spark):
         assert tuple(got[r.page_id]) == (r.page_id, host, path, rule, ruled or verdict)
 
 
+def verdicts(spark, rows):
+    got = url_filter.judge(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], SCHEMA)).collect()
+    want = plain_verdicts(rows)
+    for r in got:
+        assert (r.template, r.verdict) == want[r.page_id], rows[r.page_id]
+    return [r.verdict for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_a_bad_branch_spread_over_depths_is_rejected(spark):
+    """70 pages below /spam, 63 of them bad, 7 at each of ten depths; /blog beside it is good."""
+    rows = [(f"x://h.com/spam{'/a' * depth}/{'pqrstuv'[k]}", int(k < 6 or depth >= 7)) for depth in range(10) for k in range(7)]
+    assert sum(b for _, b in rows) == 63
+    rows += [(f"x://h.com/blog{'/a' * (k % 9)}/b{k}", 0) for k in range(300)]
+    got = verdicts(spark, rows)
+    assert got[:70] == ["block"] * 70 and got[70:] == ["allow"] * 300
+
+
+def test_branches_that_part_at_segment_fourteen(spark):
+    deep = "/".join("abcdefghijklm")
+    rows = [(f"x://h.com/{deep}/{'bad' if k % 2 else 'good'}/page{chr(97 + k % 26)}{k}", k % 2) for k in range(200)]
+    rows += [(f"x://h.com/{deep}/{'z/' * 300}end", None)] * 30
+    got = verdicts(spark, rows)
+    assert got[:200] == ["allow", "block"] * 100
+
+
+def test_a_clean_branch_below_a_bad_one(spark):
+    rows = [(f"x://h.com/spam/{chr(97 + k % 26)}{k}", 1) for k in range(100)]
+    rows += [(f"x://h.com/spam/clean/{chr(97 + k % 26)}{k}", 0) for k in range(60)]
+    rows += [(f"x://h.com/spam/few/{k}", None) for k in range(5)] + [(f"x://o.com/{k}/p", 0) for k in range(300)]
+    got = verdicts(spark, rows)
+    assert got == ["block"] * 100 + ["allow"] * 60 + ["block"] * 5 + ["allow"] * 300
+
+
 def test_odd_tables(spark):
     assert url_filter.judge(spark.createDataFrame([], SCHEMA)).count() == 0
     twice = spark.createDataFrame([(1, "x://a/b", 1), (1, "x://a/b", 1), (None, None, None)], SCHEMA)
