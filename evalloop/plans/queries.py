@@ -359,20 +359,25 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def incremental_judge(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates land in three drops; a streaming job judges each drop and
-    re-judges touched questions from all their candidates; readers take the latest."""
+def _streamed(spark: SparkSession, sf: str, name: str, drops: int) -> str:
+    """The store after ``drops`` drops of candidates, each judged by a restart of the stream (at least one micro-batch each)."""
     from evalloop.streaming import incremental as inc
-    root = _scratch(spark, "incremental")
+    root = _scratch(spark, name)
     gold = fx.gold_problems(spark, sf)
     cands = fx.candidates(spark, sf).join(gold.select("sample_index", "judge_key"), "sample_index") \
         .select("judge_key", "cand_idx", "text")
-    for drop in range(3):
-        cands.filter(F.col("cand_idx") % 3 == drop).write.mode("append").parquet(f"{root}/drops/d{drop}")
-    # Each drop is its own folder; the stream reads them all (file source, explicit schema).
-    q = inc.start_incremental_judge(spark, f"{root}/drops/*", gold, f"{root}/store", f"{root}/ckpt", k=DEFAULT_K)
-    q.awaitTermination()
-    v = inc.current_verdicts(spark, f"{root}/store")
+    for drop in range(drops):
+        cands.filter(F.col("cand_idx") % drops == drop).write.parquet(f"{root}/drops/d{drop}")
+        inc.start_incremental_judge(spark, f"{root}/drops/*", gold, f"{root}/store", f"{root}/ckpt", k=DEFAULT_K,
+                                    fan_in=2).awaitTermination()
+    return f"{root}/store"
+
+
+def incremental_judge(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates land in three drops; the stream is restarted for each, re-judges the questions that it touches
+    and replaces their verdicts; the store merges its parts; readers take the latest."""
+    from evalloop.streaming import incremental as inc
+    v = inc.current_verdicts(spark, _streamed(spark, sf, "incremental", 3))
     return v.select("judge_key", "n_candidates", "pass_at_1", "pass_at_k")
 
 
@@ -470,17 +475,9 @@ def cot_job(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def running_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """pass@1 / pass@k over everything the incremental judge has stored."""
+    """pass@1 / pass@k over everything the incremental judge has stored, from totals of signed changes."""
     from evalloop.streaming import incremental as inc
-    root = _scratch(spark, "incremental-stats")
-    gold = fx.gold_problems(spark, sf)
-    cands = fx.candidates(spark, sf).join(gold.select("sample_index", "judge_key"), "sample_index") \
-        .select("judge_key", "cand_idx", "text")
-    for drop in range(2):
-        cands.filter(F.col("cand_idx") % 2 == drop).write.mode("append").parquet(f"{root}/drops/d{drop}")
-    q = inc.start_incremental_judge(spark, f"{root}/drops/*", gold, f"{root}/store", f"{root}/ckpt", k=DEFAULT_K)
-    q.awaitTermination()
-    return inc.running_stats(spark, f"{root}/store")
+    return inc.running_stats(spark, _streamed(spark, sf, "incremental-stats", 2))
 
 
 def provenance(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,86 +4,240 @@ New candidate files are judged as they land (file source with an explicit
 schema, ``availableNow`` or processing-time trigger):
 
 * stream-static inner join with the gold answers (extracted once per question);
-* streaming ``dropDuplicates`` on (question, candidate): a re-delivered
-  candidate is counted once;
-* streaming aggregation per question in ``update`` mode: count, pass@1 and
-  pass@k flags are order-free aggregates, so the state is one row per
-  question, however many candidates it has;
-* ``foreachBatch`` writes each batch's updated rows to the verdict store under
-  its ``batch_id`` partition (a replayed batch overwrites itself: idempotent).
-
-Readers apply last-wins (J5) over the store, so a later update replaces the
-older row and a restart never double-counts.  Running pass@k (I3) is computed
-over the store: each question's latest row is complete.
+* the candidates of a question are combined before the shuffle: one row per question and 32 candidate
+  numbers of an Arrow batch, with a bit per number seen and a bit per correct one;
+* ``transformWithState`` keeps ONE state row per question: the numbers seen (as bits) and the smallest correct
+  number.  The first delivery of a candidate counts, later ones do not; of deliveries in one micro-batch a correct
+  one wins.  A micro-batch emits the old and the new verdict of the questions that it changed;
+* ``foreachBatch`` adds them to the verdict store as one part (I2) and adds new minus old to the running totals (I3).
+
+The verdict store is a list of parts in levels: whenever ``fan_in`` parts of a level are there, they are merged
+into one of the next level, the latest verdict of a question winning.  So a read opens at most
+``fan_in - 1`` parts a level, and levels grow with the logarithm of the batches.  The list is replaced by one rename;
+a batch that is delivered again after its list was committed changes nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from evalloop.operators import judge as jd
 from evalloop.operators import metrics as mt
+from evalloop.session import path_exists
+from evalloop.sources.parts import PartLists
 
 CANDIDATE_SCHEMA = T.StructType([
     T.StructField("judge_key", T.StringType()), T.StructField("cand_idx", T.IntegerType()),
     T.StructField("text", T.StringType()),
 ])
 
-
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+QUESTION = ["judge_key", "dataset"]
+#: Candidate numbers per combined row: their bits, summed, stay in a long.
+BLOCK = 32
+#: The block of candidates without a number; they count once and are never correct within k.
+NO_NUMBER = -(1 << 40)
+
+CHANGES = T.StructType([
+    T.StructField("judge_key", T.StringType()), T.StructField("dataset", T.StringType()),
+    T.StructField("n_candidates", T.LongType()), T.StructField("pass_at_1", T.BooleanType()), T.StructField("pass_at_k", T.BooleanType()),
+    T.StructField("old_n", T.LongType()), T.StructField("old_pass_at_1", T.BooleanType()), T.StructField("old_pass_at_k", T.BooleanType()),
+])
+
+
+def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(judge_key, dataset, block, seen, correct)`` per Arrow batch from ``(judge_key, dataset, block, bit, ok)``.
+
+    Re-deliveries within the batch fold into one; a question that holds most rows shrinks to a row per 32 numbers.
+    """
+    keys = [*QUESTION, "block"]
+    for batch in batches:
+        single = pa.Table.from_batches([batch]).group_by([*keys, "bit"]).aggregate([("ok", "max")])
+        bits = single["bit"].to_numpy()
+        marked = single.append_column("seen", pa.array(1 << bits)).append_column(
+            "correct", pa.array((1 << bits) * single["ok_max"].to_numpy()))
+        out = marked.group_by(keys).aggregate([("seen", "sum"), ("correct", "sum")]).select([*keys, "seen_sum", "correct_sum"])
+        yield from out.rename_columns([*keys, "seen", "correct"]).to_batches()
+
+
+class Questions(StatefulProcessor):
+    """State of a question: its blocks of seen numbers, the number of candidates and the smallest correct number."""
+
+    def __init__(self, k: int, idle_ms: int | None = None):
+        self.k, self.idle_ms = max(int(k), 1), idle_ms
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("question", "seen binary, n bigint, first bigint", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self.state.get() if self.state.exists() else (b"", 0, None)
+        blocks = dict(struct.iter_unpack("<qQ", bytes(held[0])))
+        n, first = held[1], held[2]
+        correct: dict[int, int] = {}
+        seen: dict[int, int] = {}
+        for r in rows:
+            seen[r["block"]] = seen.get(r["block"], 0) | r["seen"]
+            correct[r["block"]] = correct.get(r["block"], 0) | r["correct"]
+        for block, bits in seen.items():
+            new = bits & ~blocks.get(block, 0)
+            if not new:
+                continue
+            blocks[block] = blocks.get(block, 0) | new
+            n += new.bit_count()
+            hits = correct[block] & new
+            if hits and block != NO_NUMBER:
+                at = block * BLOCK + (hits & -hits).bit_length() - 1
+                first = at if first is None else min(first, at)
+        if n == held[1]:
+            return
+        self.state.update((b"".join(struct.pack("<qQ", *b) for b in sorted(blocks.items())), n, first))
+        old = self._verdict(held[1], held[2]) if held[1] else (None, None, None)
+        yield Row(**dict(zip(CHANGES.names, (*key, *self._verdict(n, first), *old))))
+
+    def _verdict(self, n, first) -> tuple[int, bool, bool]:
+        return n, first == 0, first is not None and first < self.k
+
+
+class VerdictStore:
+    """Verdicts of the questions as parts in levels, and totals per dataset, one list per micro-batch."""
+
+    def __init__(self, spark: SparkSession, root: str, fan_in: int = 8, keep: int = 3):
+        self.spark, self.fan_in, self.keep = spark, max(int(fan_in), 2), keep
+        self.lists = PartLists(spark, root)
+        self.root = self.lists.root
+
+    def add(self, changes: DataFrame, batch_id: int, k: int, query: str | None = None) -> None:
+        """Add the changed verdicts of a micro-batch; one that the newest list holds already is left out."""
+        now = self.lists.read()
+        if now and batch_id <= now["batch"]:
+            return
+        part = {"path": f"parts/l0-{batch_id}", "level": 0}
+        changes.withColumn("k", F.lit(int(k))).withColumn("batch_id", F.lit(int(batch_id)).cast("long")) \
+            .write.mode("overwrite").parquet(f"{self.root}/{part['path']}")
+        totals = self._totals(now, part, batch_id)
+        parts = self._compacted([*(now["parts"] if now else []), part], batch_id)
+        self.lists.commit(batch_id, {"batch": int(batch_id), "k": int(k), "query": query, "parts": parts, "totals": totals})
+        self.lists.forget(self.keep, lambda c: [p["path"] for p in c["parts"]] + [c["totals"]])
+
+    def _totals(self, now: dict | None, part: dict, batch_id: int) -> str:
+        """Totals after this batch: those before plus, per changed question, its new verdict minus its old one."""
+        rows = self.spark.read.parquet(f"{self.root}/{part['path']}")
+        flag = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+        signed = rows.select("k", F.coalesce("dataset", F.lit("")).alias("dataset"),
+                             F.when(F.col("old_n").isNull(), 1).otherwise(0).cast("long").alias("n"),
+                             (flag("pass_at_1") - flag("old_pass_at_1")).alias("n_pass_1"),
+                             (flag("pass_at_k") - flag("old_pass_at_k")).alias("n_pass_k"))
+        if now:
+            signed = signed.unionByName(self.spark.read.parquet(f"{self.root}/{now['totals']}"))
+        path = f"totals/b{batch_id}"
+        signed.groupBy("k", "dataset").agg(*(F.sum(c).alias(c) for c in ("n", "n_pass_1", "n_pass_k"))) \
+            .coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{path}")
+        return path
+
+    def _compacted(self, parts: list[dict], batch_id: int) -> list[dict]:
+        """``parts`` with every ``fan_in`` of one level merged into one of the next."""
+        level = 0
+        while any(p["level"] >= level for p in parts):
+            same = [p for p in parts if p["level"] == level]
+            if len(same) >= self.fan_in:
+                merged = {"path": f"parts/l{level + 1}-{batch_id}", "level": level + 1}
+                _latest(self.spark.read.parquet(*(f"{self.root}/{p['path']}" for p in same))).write.mode("overwrite").parquet(
+                    f"{self.root}/{merged['path']}")
+                parts = [p for p in parts if p["level"] != level] + [merged]
+            level += 1
+        return parts
+
+    def verdicts(self) -> DataFrame:
+        """The latest verdict of every question."""
+        now = self._newest()
+        return _latest(self.spark.read.parquet(*self.lists.paths(now))).select(*QUESTION, "n_candidates", "pass_at_1", "pass_at_k", "k")
+
+    def totals(self) -> DataFrame:
+        """``(k, dataset, n, n_pass_1, n_pass_k)`` of everything judged so far: one row per dataset, whatever was judged."""
+        return self.spark.read.parquet(f"{self.root}/{self._newest()['totals']}")
+
+    def _newest(self) -> dict:
+        now = self.lists.read()
+        if now is None:
+            raise FileNotFoundError(f"no micro-batch was committed to {self.root}")
+        return now
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """J5 over questions: the row of the newest batch (partial aggregation)."""
+    others = [c for c in rows.columns if c not in QUESTION]
+    picked = rows.groupBy(*QUESTION).agg(F.max_by(F.struct(*others), "batch_id").alias("_r"))
+    return picked.select(*QUESTION, *[F.col(f"_r.{c}").alias(c) for c in others])
+
+
+def _query_id(spark: SparkSession, checkpoint_dir: str) -> str | None:
+    """The id that a streaming query wrote into its checkpoint, None before its first start."""
+    path = f"{checkpoint_dir.rstrip('/')}/metadata"
+    return json.loads(spark.read.text(path).first()[0])["id"] if path_exists(spark, path) else None
+
 
 def start_incremental_judge(spark: SparkSession, source_dir: str, problems: DataFrame, store_dir: str,
                             checkpoint_dir: str, k: int = 8, file_format: str = "parquet",
-                            available_now: bool = True, rocksdb_state: bool = False):
+                            available_now: bool = True, files_per_batch: int | None = None,
+                            idle_ms: int | None = None, fan_in: int = 8):
     """Stream candidate files from ``source_dir`` into the verdict store.
 
     ``problems``: (judge_key, dataset, answer).  Returns the ``StreamingQuery``
-    (``awaitTermination`` it for availableNow).  The dedup state keeps every
-    (question, candidate) seen, which is exact but grows with the stream: on a
-    cluster pass ``rocksdb_state=True`` for a new checkpoint (the provider of an
-    existing checkpoint cannot change).
+    (``awaitTermination`` it for availableNow).  ``files_per_batch`` bounds what one micro-batch reads.  State: one row per question, 16 bytes per 32 candidate numbers.
+    ``idle_ms``: the caller promises that a question which got no candidate for so long is complete, and its
+    state is dropped; without it the state is kept.  A store belongs to one checkpoint and one k: another raises.
+    A candidate without a key is no one's and is ignored; one without a number counts once and is never correct.
     """
-    stream = spark.readStream.schema(CANDIDATE_SCHEMA).format(file_format).load(source_dir)
+    stream = spark.readStream.schema(CANDIDATE_SCHEMA).format(file_format)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", int(files_per_batch))
     gold = jd.gold_finals(problems.filter(F.col("judge_key").isNotNull()), "judge_key", keep=["dataset"])
-    cands = stream.dropDuplicates(["judge_key", "cand_idx"])
-    preds = jd.candidate_finals(cands, "judge_key")
-    j = preds.join(gold, "judge_key", "inner")
+    preds = jd.candidate_finals(stream.load(source_dir), "judge_key")
     ok = (~F.col("gold_missing")) & (F.col("pred_norm") != "") & (F.col("pred_norm") == F.col("gt_norm"))
-    per_q = j.groupBy("judge_key", "dataset").agg(
-        F.count(F.lit(1)).alias("n_candidates"),
-        F.coalesce(F.bool_or(ok & (F.col("cand_idx") == 0)), F.lit(False)).alias("pass_at_1"),
-        F.coalesce(F.bool_or(ok & (F.col("cand_idx") < max(int(k), 1))), F.lit(False)).alias("pass_at_k"),
-    ).withColumn("k", F.lit(int(k)))
+    number = F.col("cand_idx").cast("long")
+    marks = preds.join(gold, "judge_key", "inner").select(
+        *QUESTION, F.coalesce(F.floor(number / BLOCK), F.lit(NO_NUMBER)).cast("long").alias("block"),
+        F.coalesce(F.pmod(number, F.lit(BLOCK)), F.lit(0)).cast("long").alias("bit"),
+        F.coalesce(ok, F.lit(False)).cast("long").alias("ok"))
+    combined = marks.mapInArrow(combine, "judge_key string, dataset string, block bigint, seen bigint, correct bigint")
+    changes = combined.groupBy(*QUESTION).transformWithState(
+        Questions(k, idle_ms), CHANGES, "Update", "ProcessingTime" if idle_ms else "None")
+
+    store = VerdictStore(spark, store_dir, fan_in)
+    held = store.lists.read()
+    if held and (held["k"] != int(k) or held["query"] != _query_id(spark, checkpoint_dir)):
+        raise ValueError(f"{store_dir} belongs to another checkpoint or another k than {checkpoint_dir}, {k}")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
-         .parquet(f"{store_dir.rstrip('/')}/verdicts"))
+        store.add(batch, batch_id, k, _query_id(spark, checkpoint_dir))
 
-    w = (per_q.writeStream.outputMode("update").foreachBatch(handle)
+    w = (changes.writeStream.outputMode("update").foreachBatch(handle)
          .option("checkpointLocation", checkpoint_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    # The provider is read when a query starts; other queries of the session keep theirs.
+    # The provider (the one that keeps such state) is read when a query starts; other queries of the session keep theirs.
     before = spark.conf.get(PROVIDER, None)
-    if rocksdb_state:
-        spark.conf.set(PROVIDER, ROCKSDB_PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB_PROVIDER)
     try:
         return w.start()
     finally:
-        if rocksdb_state:
-            spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
 
 
 def current_verdicts(spark: SparkSession, store_dir: str) -> DataFrame:
     """I2 read side: the latest verdict per question."""
-    v = spark.read.parquet(f"{store_dir.rstrip('/')}/verdicts")
-    return jd.last_wins(v, "judge_key", "batch_id").drop("batch_id")
+    return VerdictStore(spark, store_dir).verdicts()
 
 
 def running_stats(spark: SparkSession, store_dir: str) -> DataFrame:
-    """pass@1 / pass@k overall and per dataset over everything judged so far."""
-    return mt.stats_rollup(current_verdicts(spark, store_dir))
+    """pass@1 / pass@k overall and per dataset over everything judged so far, from the running totals alone."""
+    return mt.rates_of_totals(VerdictStore(spark, store_dir).totals())

@@ -2,9 +2,12 @@
 
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from evalloop.operators import enrich as en
+from evalloop.operators import metrics as mt
+from evalloop.sources.parts import PartLists
 from evalloop.streaming import incremental as inc
 
 
@@ -28,6 +31,63 @@ def test_incremental_replacement_and_no_double_count(spark):
     assert stats["overall"] == 2
 
 
+def run_stream(spark, root, problems, **options):
+    q = inc.start_incremental_judge(spark, f"{root}/in/*", problems, f"{root}/store", f"{root}/ckpt", k=2, **options)
+    q.awaitTermination()
+    return q
+
+
+def test_state_is_one_row_per_question_and_totals_follow_replacements(spark):
+    """Six micro-batches of one file each: re-deliveries, late correct answers, candidates without number or key."""
+    root = tempfile.mkdtemp(prefix="evalloop-stream-")
+    problems = spark.createDataFrame([(f"q{k}", f"d{k % 2}" if k else None, f"\\boxed{{{k}}}") for k in range(5)] + [("none", "d0", None)],
+                                     "judge_key string, dataset string, answer string")
+    right = lambda k, i: (f"q{k}", i, f"\\boxed{{{k}}}")
+    wrong = lambda k, i: (f"q{k}", i, "\\boxed{99}")
+    drops = [[wrong(k, 0) for k in range(5)] + [("none", 0, "x"), ("stranger", 0, "x"), (None, 0, "x")],
+             [right(0, 1), right(1, 40), wrong(2, 70_000)],
+             [right(2, 0), right(2, 1), right(2, 1)],  # number 0 was delivered wrong: the first delivery counts
+             [wrong(0, 1), right(3, 5), right(4, -1), ("q3", None, "\\boxed{3}"), ("q3", None, "\\boxed{3}")],
+             [right(0, 1), wrong(2, 0)],  # nothing new at all
+             [right(3, 1), wrong(3, 2)]]
+    store = inc.VerdictStore(spark, f"{root}/store")
+    for n, drop in enumerate(drops):
+        spark.createDataFrame(drop, inc.CANDIDATE_SCHEMA).coalesce(1).write.parquet(f"{root}/in/{n}")
+        if n in (1, 5):  # the first run has two batches, the restart four
+            q = run_stream(spark, root, problems, files_per_batch=1, fan_in=2)
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]][-1] == 6
+    got = {r.judge_key: (r.n_candidates, r.pass_at_1, r.pass_at_k) for r in inc.current_verdicts(spark, f"{root}/store").collect()}
+    assert got == {"q0": (2, False, True), "q1": (2, False, False), "q2": (3, False, True), "q3": (5, False, True),
+                   "q4": (2, False, True), "none": (1, False, False)}
+    now = store.lists.read()
+    assert now["batch"] >= 4 and len(now["parts"]) <= 3 and len({p["level"] for p in now["parts"]}) == len(now["parts"])
+    assert len(store.lists.versions()) == 3  # older lists and what only they name are gone
+    full = sorted(map(tuple, mt.stats_rollup(inc.current_verdicts(spark, f"{root}/store")).collect()), key=repr)
+    assert sorted(map(tuple, inc.running_stats(spark, f"{root}/store").collect()), key=repr) == full
+    # A batch that comes again after its list was committed changes nothing.
+    again = spark.createDataFrame([("q1", "d1", 9, True, True, 2, False, False)], inc.CHANGES)
+    store.add(again, now["batch"], 2)
+    assert store.lists.read() == now
+    with pytest.raises(ValueError):
+        inc.start_incremental_judge(spark, f"{root}/in/*", problems, f"{root}/store", f"{root}/other", k=2)
+
+
+def test_part_lists_commit_once_and_readers_see_whole_lists(spark):
+    lists = PartLists(spark, tempfile.mkdtemp(prefix="evalloop-parts-"))
+    assert lists.read() is None and lists.versions() == [] and lists.read(3) is None
+    for v in range(4):
+        spark.range(v).write.parquet(f"{lists.root}/p{v}")
+        lists.commit(v, {"parts": [{"path": f"p{i}"} for i in range(max(0, v - 1), v + 1)]})
+    with pytest.raises(FileExistsError):
+        lists.commit(3, {"parts": []})
+    assert [p[len(lists.root):] for p in lists.paths(lists.read())] == ["/p2", "/p3"]
+    lists.forget(2, lambda c: [p["path"] for p in c["parts"]])
+    assert lists.versions() == [2, 3]
+    assert spark.read.parquet(*lists.paths(lists.read(2))).count() == 3  # p1 and p2 are still named
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{lists.root}/p0")
+
+
 def test_complete_retries_and_errors(spark):
     calls = {"n": 0}
 
