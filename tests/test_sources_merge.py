@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from evalloop.operators import merge as mg
 from evalloop.sources import io
+from evalloop.sources.parts import PartLists
 
 SCHEMA = T.StructType([T.StructField("_judge_key", T.StringType()), T.StructField("v", T.LongType())])
 
@@ -67,19 +68,42 @@ def test_snapshot_merge(spark):
     root = tempfile.mkdtemp(prefix="evalloop-train-")
     a = spark.createDataFrame([("q1", "", "o1")], "instruction string, input string, output string")
     b = spark.createDataFrame([("q2", "", "o2"), ("q3", "", "o3")], "instruction string, input string, output string")
-    mg.merge_training_snapshot(spark, root, 0, a)
-    p1 = mg.merge_training_snapshot(spark, root, 1, b)
-    assert spark.read.parquet(p1).count() == 3  # merge count = sum
+    rows = lambda v: [r.instruction for r in mg.read_snapshot(spark, root, v).collect()]
+    assert mg.merge_training_snapshot(spark, root, 0, a) == 1
+    assert mg.merge_training_snapshot(spark, root, 1, b) == 2
+    assert sorted(rows(1)) == ["q1", "q2", "q3"] and rows(0) == ["q1"]  # merge count = sum
     with pytest.raises(FileExistsError):
         mg.merge_training_snapshot(spark, root, 1, b)
     with pytest.raises(FileNotFoundError):  # snapshot 2 is missing
         mg.merge_training_snapshot(spark, root, 3, b)
-    os.remove(os.path.join(p1, "_SUCCESS"))  # a write that did not end: no predecessor, and written anew
+    lists = PartLists(spark, root)
+    os.remove(lists._list(1))  # a write that did not end: no predecessor, and written anew
     with pytest.raises(FileNotFoundError):
         mg.merge_training_snapshot(spark, root, 2, b)
-    mg.merge_training_snapshot(spark, root, 1, b, shuffle_seed=1)
-    first = [r.instruction for r in spark.read.parquet(p1).collect()]
-    assert sorted(first) == ["q1", "q2", "q3"]
+    with pytest.raises(FileNotFoundError):
+        mg.read_snapshot(spark, root, 1)
+    mg.merge_training_snapshot(spark, root, 1, b)
+    assert sorted(rows(1)) == ["q1", "q2", "q3"]
+
+
+def test_a_round_writes_its_new_rows_only_and_the_order_is_that_of_the_parts(spark):
+    root = tempfile.mkdtemp(prefix="evalloop-train-")
+    row = lambda *names: spark.createDataFrame([(n, "t " + n) for n in names], "instruction string, output string")
+    for v, names in enumerate([("s1", "s2"), ("a1",), (), ("b1", "b2", "b3")]):
+        written = mg.merge_training_snapshot(spark, root, v, row(*names) if names else row("x").limit(0))
+        assert written == len(names)
+    lists = PartLists(spark, root)
+    assert [p["rows"] for p in lists.read(3)["parts"]] == [2, 1, 0, 3] and len(set(lists.paths(lists.read(3)))) == 4
+    got = mg.read_snapshot(spark, root, 3, order_col="part").orderBy("part", "instruction").collect()
+    assert [(r.part, r.instruction) for r in got] == [(0, "s1"), (0, "s2"), (1, "a1"), (3, "b1"), (3, "b2"), (3, "b3")]
+    assert mg.read_snapshot(spark, root, 1).count() == 3  # older versions stay as they were
+    # Shuffled or deduplicated versions are one new part, as rows of all parts change place or go.
+    mg.merge_training_snapshot(spark, root, 4, row("c1"), shuffle_seed=1)
+    assert len(lists.read(4)["parts"]) == 1 and mg.read_snapshot(spark, root, 4).count() == 7
+    extra = spark.createDataFrame([("d1", "t d1", 5)], "instruction string, output string, level int")
+    mg.merge_training_snapshot(spark, root, 5, extra)  # a column that older parts lack is null there
+    wide = {r.instruction: r.level for r in mg.read_snapshot(spark, root, 5).collect()}
+    assert wide["d1"] == 5 and wide["s1"] is None and len(wide) == 8
 
 
 def test_union_datasets(spark):
