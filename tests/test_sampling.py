@@ -108,3 +108,17 @@ def test_the_limit_of_a_sample_is_built_in(spark, capsys):
     sm.sample_per_group(df, "g", "k", 4).explain("formatted")
     plan = capsys.readouterr().out
     assert plan.count("WindowGroupLimit") >= 2 and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_small_groups_take_one_shuffle_and_hot_ones_are_spread(spark, monkeypatch, capsys):
+    """Groups below the limit meet no join and no stored copy of their keys; beside hot ones the positions are the same."""
+    rows = [(g, i) for g in range(40) for i in range(5)] + [(77, i) for i in range(400)] + [(None, i) for i in range(3)]
+    df = spark.createDataFrame(rows, "g long, o long").repartition(5)
+    sm.index_within_group(df, ["g"], ["o"]).explain()
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and "positions-" not in plan and plan.count("hashpartitioning(g") == 1
+    whole = sorted(map(str, sm.index_within_group(df, ["g"], ["o"]).collect()))
+    monkeypatch.setattr(sm, "HOT_ROWS", 100)
+    assert sorted(map(str, sm.index_within_group(df, ["g"], ["o"]).collect())) == whole
+    sm.index_within_group(df, ["g"], ["o"]).explain()
+    assert "Join" in capsys.readouterr().out
