@@ -155,3 +155,14 @@ def test_array_reader_rejects_other_files(spark):
     assert io.read_json_array(spark, os.path.join(d, "a.json"), SCHEMA).count() == 1
     with pytest.raises(ValueError, match="b.json"):
         io.read_json_array(spark, d, SCHEMA)
+
+
+def test_rows_are_derived_once_before_they_are_placed(spark):
+    """The plan that places merged rows reads a stored table, not what the rows come from."""
+    from evalloop.operators import merge as mg
+
+    parts = [spark.range(5).selectExpr("id AS k", "upper(concat('text ', id)) AS t"), None, spark.range(3).selectExpr("id AS k", "'x' AS t")]
+    out = mg.merge_rows(parts, order_cols=["k"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (" not in plan and "upper" not in plan
+    assert sorted((r.part_idx, r.part_row, r.k) for r in out.collect()) == [(0, i, i) for i in range(5)] + [(2, i, i) for i in range(3)]
